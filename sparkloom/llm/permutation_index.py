@@ -79,7 +79,7 @@ def search_block(candidates: pa.Table, queries: pa.Table, pivots: list[np.ndarra
         ids = np.array([np.iinfo(np.int64).max if i is None else i for i in c["vec_id"].to_pylist()], dtype=np.int64)
         c_row, q_row, q_id = np.asarray(c["row"]), np.asarray(q["row"]), np.asarray(q["vec_id"])
         own = np.array([p for p in pivots if len(p) == dim])
-        few = max(4 * k, ceil(share * len(x)))
+        few = max(20 * k, ceil(share * len(x)))
         index = None
         if len(own) >= 32 and few < len(x):
             p = lifted(own, most)
@@ -101,8 +101,8 @@ def search_block(candidates: pa.Table, queries: pa.Table, pivots: list[np.ndarra
     return pa.table({"query_row": pa.array(flat["query_row"], pa.int64()), "query_id": pa.array(flat["query_id"], pa.int64()), "vec_id": pa.array(flat["vec_id"], pa.int64(), mask=gone), "score": pa.array(flat["score"], pa.float64())})
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vector_col: str = "embedding", id_col: str = "vec_id", n_pivots: int = 256, listed: int = 64, share: float = 0.15, block: int = 4096, seed: int = 9) -> DataFrame:
-    """(query_id, rank, vec_id, score). `share` of each block, at least 4 k rows, is ranked again exactly."""
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vector_col: str = "embedding", id_col: str = "vec_id", n_pivots: int = 256, listed: int = 64, share: float = 0.25, block: int = 4096, seed: int = 9) -> DataFrame:
+    """(query_id, rank, vec_id, score). `share` of each block, at least 20 k rows, is ranked again exactly."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), is_query.alias("asks"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = rows.where(usable("v")).withColumn("row", F.monotonically_increasing_id())
     rows = stored(rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))), "vectors")
