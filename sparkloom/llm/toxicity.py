@@ -179,16 +179,22 @@ def threshold(z: np.ndarray, y: np.ndarray, default: float = 0.0, least: int = 1
     return float((z[order[best]] + low) / 2)
 
 
-def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        blobs = []
-        for start, n in slices(batch.column("text")):
-            words, at = word_features(batch.column("text").slice(start, n))
-            blobs += [words[at[i] : at[i + 1]].tobytes() for i in range(n)]
-        yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("part"), batch.column("text"), pa.array(blobs, pa.binary())], ["label", "part", "text", "words"])
+def _encoder(languages):
+    """Each row's label, part, likeliest language and word features."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, blobs = batch.column("text"), []
+            for start, n in slices(texts):
+                words, at = word_features(texts.slice(start, n))
+                blobs += [words[at[i] : at[i + 1]].tobytes() for i in range(n)]
+            lang = language_id.single_best(languages.value, texts) if languages.value.langs else np.zeros(len(texts), int)
+            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("part"), pa.array(lang, pa.int32()), pa.array(blobs, pa.binary())], ["label", "part", "lang", "words"])
+
+    return run
 
-def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", lang_col: str = "lang", sample_per_class: int = 2500, max_words: int = 1500) -> Net | None:
+
+def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", lang_col: str = "lang", sample_per_class: int = 1500, max_words: int = 1000) -> Net | None:
     """Fit net and thresholds on the rows given; None without rows of both classes.
 
     The sample is bounded: `sample_per_class` documents of each class in expectation, picked by a hash of the id, of
@@ -200,29 +206,24 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
     rows = docs.where(F.col(text_col).isNotNull() & (F.length(text_col) <= max_words * 8)).join(marks, F.col(id_col) == F.col("__id"))
     part = F.pmod(F.xxhash64(F.lit("part"), F.col("__id")), F.lit(5)).cast("int")
     rows = stored(rows.select("label", part.alias("part"), F.col(text_col).alias("text")).repartition(12), "toxic")
-    got = rows.mapInArrow(_encode, "label int, part int, text string, words binary").toPandas()
-    y, held = got["label"].to_numpy(np.float32), (got["part"] == 0).to_numpy()
+    languages = language_id.train(docs, text_col, lang_col, id_col, sample_per_lang=1000)
+    shared = docs.sparkSession.sparkContext.broadcast(languages)
+    got = rows.mapInArrow(_encoder(shared), "label int, part int, lang int, words binary").toPandas()
+    got = got.iloc[np.lexsort((pd.util.hash_array(got["words"].to_numpy()), got["label"]))]  # the same net however the rows arrive
+    y, held, lang = got["label"].to_numpy(np.float32), (got["part"] == 0).to_numpy(), got["lang"].to_numpy()
     if not len(y) or y.min() == y.max():
         return None
-    order = np.lexsort((got["text"].map(hash_text), got["label"]))  # the same net however the rows arrive
-    got, y, held = got.iloc[order], y[order], held[order]
     words = [np.frombuffer(b, np.int32).reshape(-1, FEATURES) for b in got["words"]]
-    use = ~held if y[~held].min() != y[~held].max() and held.any() else np.ones(len(y), bool)
+    use = ~held if held.any() and not held.all() and y[~held].min() != y[~held].max() else np.ones(len(y), bool)
     net = fit([words[i] for i in np.flatnonzero(use)], y[use])
-    net.languages = language_id.train(docs, text_col, lang_col, id_col, sample_per_lang=1000)
-    at = np.concatenate(([0], np.cumsum([len(w) for w in words])))
-    z = logits(net, np.concatenate(words), at)
-    lang = language_id.single_best(net.languages, pa.array(got["text"], pa.string())) if net.languages.langs else np.zeros(len(y), int)
+    net.languages = languages
+    z = np.concatenate([logits(net, np.concatenate(part), np.concatenate(([0], np.cumsum([len(w) for w in part])))) for part in (words[i : i + 100] for i in range(0, len(words), 100))])
     judged = held if held.any() else use
     overall = threshold(z[judged], y[judged])
-    net.shift = np.array([threshold(z[judged & (lang == k)], y[judged & (lang == k)], overall) for k in range(max(1, len(net.languages.langs)))])
+    net.shift = np.array([threshold(z[judged & (lang == k)], y[judged & (lang == k)], overall) for k in range(max(1, len(languages.langs)))])
     return net
 
 
-def hash_text(text: str) -> int:
-    return int(pd.util.hash_array(np.array([text], dtype=object))[0])
-
-
 def score(docs: DataFrame, net: Net | None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns in `keep`, score (0 to 1) and predicted (1 from 0.5 on)."""
     given = docs.select(F.col(text_col).cast("string").alias("__text"), *keep)
