@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding_dedup, language_id, mixing, ngram_join, permutation_index, token_counts, toxicity, url_rules
+from . import bpe, embedding_dedup, html_extract, language_id, mixing, ngram_join, permutation_index, token_counts, toxicity, url_rules
 from .common import tables
 
 
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_permutation_index": lambda s, d: permutation_index.op7_permutation_index(tables(s, d, "embeddings")),
         "op8_ngram_join": lambda s, d: ngram_join.op8_ngram_join(tables(s, d, "documents")),
         "op9_url_rules": lambda s, d: url_rules.op9_url_rules(tables(s, d, "pages"), tables(s, d, "labels")),
+        "op10_html_extract": lambda s, d: html_extract.op10_html_extract(tables(s, d, "pages")),
     }
 
 
