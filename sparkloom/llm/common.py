@@ -30,6 +30,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def small_side(df: DataFrame, name: str, most: int = 100_000) -> DataFrame:
+    """df stored; marked for broadcast if it has at most `most` rows, else left to a shuffled join."""
+    df = stored(df, name)
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def remainder(id_col: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo the modulus; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % F.lit(modulus)

@@ -139,14 +139,15 @@ def _longs(x) -> pa.Array:
 
 
 def sizes_and_classes(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """(doc_id, n, cls) of every row."""
+    """(doc_id, text_hash, n, cls) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle_sets(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _longs([len(s) for s in sets]), _longs([signature(s) for s in sets])], ["doc_id", "n", "cls"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), _longs([len(s) for s in sets]), _longs([signature(s) for s in sets])], ["doc_id", "text_hash", "n", "cls"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, cls long")
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, "doc_id long, text_hash long, n long, cls long")
 
 
 def frequent_tokens(docs: DataFrame, text_col: str, total: int, most: int, least_df: int = 8) -> tuple[np.ndarray, np.ndarray, int]:
@@ -366,7 +367,11 @@ def verified(pairs: DataFrame, sets: DataFrame, parts: int, percent: int) -> Dat
 
 
 def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", percent: int = 75, most_frequent: int = 1 << 19) -> DataFrame:
-    """(doc_id, n_shingles, cls, component_id) of every row. `most_frequent` bounds the broadcast of frequent tokens."""
+    """(doc_id, text_hash, n_shingles, component, component_id) of every row.
+
+    component tells the linked groups of non-empty sets apart; component_id is the smallest id in it. text_hash is
+    Spark's xxhash64 of the text. `most_frequent` bounds the broadcast of frequent tokens.
+    """
     members = stored(sizes_and_classes(docs, text_col, id_col), "classes")
     total = members.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     frequent = frequent_tokens(docs, text_col, total, most_frequent)
@@ -388,9 +393,9 @@ def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", percen
     by_class = members.groupBy("cls").agg(F.min("doc_id").alias("low"))
     grouped = by_class.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     smallest = grouped.groupBy("component").agg(F.min("low").alias("component_id"))
-    by_class = grouped.join(smallest, "component").select("cls", "component_id")
-    out = members.where("n > 0").join(by_class, "cls").select("doc_id", F.col("n").alias("n_shingles"), "cls", "component_id")
-    alone = members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), "cls", F.col("doc_id").alias("component_id"))
+    by_class = grouped.join(smallest, "component").select("cls", "component", "component_id")
+    out = members.where("n > 0").join(by_class, "cls").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "component", "component_id")
+    alone = members.where("n = 0").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.col("cls").alias("component"), F.col("doc_id").alias("component_id"))
     return out.unionByName(alone)
 
 
