@@ -50,10 +50,21 @@ def winnowed(hashes: Column, window: int = WINDOW) -> Column:
     return F.when(F.size(hashes) >= window, F.array_sort(F.array_distinct(F.transform(starts, least)))).otherwise(short)
 
 
+def held(expression: Column, name: str) -> Column:
+    """The expression as a generator's output: computed once per row, not wherever a lambda mentions it."""
+    return F.explode(F.array(expression)).alias(name)
+
+
+def document_grams(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K) -> DataFrame:
+    """(key, grams) of each document."""
+    return docs.select(key, held(words_with_lines(F.col(text)), "tokens")).select(key, held(grams(F.col("tokens"), k), "grams"))
+
+
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, pos, h, first, last) of the winnowed k-grams."""
-    made = docs.select(key, grams(words_with_lines(F.col(text))).alias("grams"))
-    made = made.select(key, "grams", F.explode(winnowed(F.transform("grams", lambda g: g["h"]))).alias("pos"))
+    made = document_grams(docs, key, text)
+    made = made.select(key, "grams", held(F.transform("grams", lambda g: g["h"]), "hashes"))
+    made = made.select(key, "grams", F.explode(winnowed(F.col("hashes"))).alias("pos"))
     at = F.element_at("grams", F.col("pos") + 1)
     return made.select(key, "pos", at["h"].alias("h"), at["first"].alias("first"), at["last"].alias("last"))
 

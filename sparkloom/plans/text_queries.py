@@ -9,12 +9,12 @@ from sparkloom.operators import duplication, findings, quality, usage
 from sparkloom.plans.history_queries import table
 
 #: Words that stand for a branch in prose.
-BRANCH = r"(?i)\b(if|or|and|und|oder|et|ou|y|o)\b"
+BRANCH = ("and", "or", "if", "und", "oder", "et", "ou", "y", "o")
 
 
 def kgram_hashes(s, d):
-    docs = table(s, d, "documents").select("doc_id", duplication.grams(duplication.words_with_lines(F.col("text"))).alias("g"))
-    return docs.select("doc_id", F.posexplode("g").alias("pos", "gram")).select("doc_id", "pos", F.col("gram.h").alias("h"))
+    docs = duplication.document_grams(table(s, d, "documents"))
+    return docs.select("doc_id", F.posexplode("grams").alias("pos", "gram")).select("doc_id", "pos", F.col("gram.h").alias("h"))
 
 
 def winnow_fingerprints(s, d):
@@ -67,7 +67,7 @@ def token_operators_operands(s, d):
 
 
 def _branches(s, d):
-    return table(s, d, "documents").select("doc_id", "source", "lang", (quality.occurrences(F.col("text"), BRANCH) + 1).alias("complexity"))
+    return table(s, d, "documents").select("doc_id", "source", "lang", (F.size(F.filter(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), F.lit(0)), lambda w: F.lower(w).isin(*BRANCH))) + 1).cast("long").alias("complexity"))
 
 
 def _maintainability(s, d):
@@ -234,8 +234,8 @@ def _merge(rows: str, keys: str) -> str:
     GROUP BY {keys}, island"""
 
 
-_RANGES = f""", both AS (SELECT doc_a AS doc_id, doc_b AS other_id FROM pr UNION ALL SELECT doc_b, doc_a FROM pr),
-rg AS MATERIALIZED ({_merge("SELECT DISTINCT both.doc_id, other_id, fp.first AS s, fp.last AS e FROM both JOIN fp ON fp.doc_id = both.doc_id JOIN e ON e.doc_id = other_id AND e.h = fp.h", "doc_id, other_id")})
+_RANGES = f""", bt AS (SELECT doc_a AS doc_id, doc_b AS other_id FROM pr UNION ALL SELECT doc_b, doc_a FROM pr),
+rg AS MATERIALIZED ({_merge("SELECT DISTINCT bt.doc_id, other_id, fp.first AS s, fp.last AS e FROM bt JOIN fp ON fp.doc_id = bt.doc_id JOIN e ON e.doc_id = other_id AND e.h = fp.h", "doc_id, other_id")})
 """
 _LOC = "len(list_filter(string_split({t}, chr(10)), lambda x: trim(x) <> '' AND NOT starts_with(trim(x), '#')))::BIGINT"
 _SYM = r"""
@@ -246,7 +246,7 @@ hc AS (SELECT doc_id, count(DISTINCT token) FILTER (WHERE kind = 'operator') AS
 hal AS (SELECT *, n1 + n2 AS vocabulary, total_operators + total_operands AS length,
   CASE WHEN n1 + n2 > 0 THEN (total_operators + total_operands) * log2((n1 + n2)::DOUBLE) ELSE 0.0 END AS volume,
   CASE WHEN n2 > 0 THEN n1 / 2.0 * total_operands / n2 ELSE 0.0 END AS difficulty FROM hc)"""
-_BR = rf"br AS (SELECT doc_id, source, lang, len(regexp_extract_all(text, '{BRANCH}'))::BIGINT + 1 AS complexity FROM documents)"
+_BR = f"br AS (SELECT doc_id, source, lang, len(list_filter(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda w: lower(w) IN {BRANCH}))::BIGINT + 1 AS complexity FROM documents)"
 _MI = f"""
 mi0 AS (SELECT hal.doc_id, round(volume, 2) AS volume, complexity, {_LOC.format(t='text')} AS loc FROM hal JOIN br USING (doc_id) JOIN documents d ON d.doc_id = hal.doc_id),
 mi1 AS (SELECT *, greatest(0.0, least(100.0, (171 - 5.2 * ln(greatest(volume, 1)) - 0.23 * complexity - 16.2 * ln(greatest(loc, 1))) * 100 / 171)) AS raw FROM mi0),
@@ -263,7 +263,11 @@ health AS (SELECT {key}, maintainability, complexity_score, duplication, round(r
 
 
 _q = lambda x: "'" + x.replace("'", "''") + "'"
-_PLACE = f"(regexp_matches({{v}}, {_q(text.PLACEHOLDER)}) OR " + " OR ".join(f"contains(lower({{v}}), {_q(p)})" for p in text.PLACEHOLDER_PARTS) + ")"
+def _place(v: str) -> str:
+    """SQL for text.is_placeholder."""
+    return f"(regexp_matches({v}, {_q(text.PLACEHOLDER)}) OR " + " OR ".join(f"contains(lower({v}), {_q(p)})" for p in text.PLACEHOLDER_PARTS) + ")"
+
+
 _REDACT = "CASE WHEN length({v}) <= 8 THEN repeat('*', length({v})) ELSE left({v}, 4) || '********' || right({v}, 2) END"
 
 
@@ -305,11 +309,11 @@ SELECT sum(least(n, loc))::BIGINT AS duplicated, sum(loc)::BIGINT AS loc, round(
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS source, generate_subscripts(string_split(text, chr(10)), 1)::INT AS line FROM documents),
 a AS (SELECT doc_id, line, unnest(regexp_extract_all(source, {_q(findings.ASSIGNMENT)}, 1)) AS name, unnest(regexp_extract_all(source, {_q(findings.ASSIGNMENT)}, 2)) AS value FROM l)
 SELECT doc_id, line, name, {_REDACT.format(v='value')} AS match, {_REDACT.format(v='value')} AS redacted FROM a
-WHERE regexp_matches(name, {_q(text.SECRET_NAME)}) AND NOT regexp_matches(name, {_q(text.NOT_SECRET_NAME)}) AND length(value) >= 8 AND NOT {_PLACE.format(v='value')} AND NOT regexp_matches(value, {_q(text.URL_VALUE)})""",
+WHERE regexp_matches(name, {_q(text.SECRET_NAME)}) AND NOT regexp_matches(name, {_q(text.NOT_SECRET_NAME)}) AND length(value) >= 8 AND NOT {_place('value')} AND NOT regexp_matches(value, {_q(text.URL_VALUE)})""",
     "token_signatures": f"SELECT value, {_signature_sql('value', 0)} AS signature, {_signature_sql('value', 2)} AS severity FROM (VALUES {', '.join(f'({_q(v)})' for v in SAMPLES)}) v(value) UNION ALL SELECT coalesce(n, 'none'), 'documents', count(*)::VARCHAR FROM (SELECT {_signature_sql('text', 0)} AS n FROM documents) GROUP BY 1",
     "entropy_scan": f"""
 WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9+/=_-]{{20,}}')) AS token FROM documents),
-b AS (SELECT doc_id, token, (SELECT -sum(c / length(token) * log2(c / length(token))) FROM (SELECT count(*)::DOUBLE AS c FROM (SELECT unnest(string_split(token, '')) AS x) GROUP BY x)) AS bits FROM t WHERE NOT {_PLACE.format(v='token')})
+b AS (SELECT doc_id, token, (SELECT -sum(c / length(token) * log2(c / length(token))) FROM (SELECT count(*)::DOUBLE AS c FROM (SELECT unnest(string_split(token, '')) AS x) GROUP BY x)) AS bits FROM t WHERE NOT {_place('token')})
 SELECT doc_id, {_REDACT.format(v='token')} AS match, length(token)::BIGINT AS length, round(bits, 4) AS bits FROM b WHERE b.bits >= 3.5""",
     "finding_dedupe": """
 WITH r AS (SELECT source AS path, length(string_split(text, chr(10))[1])::BIGINT AS line, left(text, 16) AS prefix, CASE WHEN lang = 'en' THEN 1 ELSE 2 END AS pass, doc_id FROM documents)
