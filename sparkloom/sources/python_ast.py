@@ -114,16 +114,15 @@ def nodes_of(path: str, source: str) -> Iterator[tuple]:
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         yield (path, 0, -1, "", 0, 0, "SyntaxError", None, None, None, 0, -1, -1, {})
         return
-    order, queue = {}, deque([tree])
-    while queue:
-        node = queue.popleft()
-        order[id(node)] = len(order)
-        queue.extend(ast.iter_child_nodes(node))
-    stack, n = [(tree, -1, "", 0, 0, -1, -1)], 0
+    rows, below = [], []
+    stack = [(tree, -1, "", 0, 0, -1, -1)]
     while stack:
         node, parent, where, idx, depth, function, cls = stack.pop()
-        own, n = n, n + 1
-        yield (path, own, parent, where, idx, order[id(node)], type(node).__name__, name_of(node), getattr(node, "lineno", None), getattr(node, "end_lineno", None), depth, function, cls, attributes(node))
+        own = len(rows)
+        rows.append((own, parent, where, idx, type(node).__name__, name_of(node), getattr(node, "lineno", None), getattr(node, "end_lineno", None), depth, function, cls, attributes(node)))
+        below.append([])
+        if parent >= 0:
+            below[parent].append(own)
         inner_function = own if isinstance(node, FUNCTIONS) else function
         inner_class = own if isinstance(node, ast.ClassDef) else cls
         children = []
@@ -132,6 +131,14 @@ def nodes_of(path: str, source: str) -> Iterator[tuple]:
                 if isinstance(child, ast.AST):
                     children.append((child, own, name, i, depth + 1, inner_function, inner_class))
         stack.extend(reversed(children))
+    # contexts and operators are shared objects, so the breadth-first order goes by row
+    bfs, queue = [0] * len(rows), deque([0])
+    for at in range(len(rows)):
+        own = queue.popleft()
+        bfs[own] = at
+        queue.extend(below[own])
+    for row in rows:
+        yield (path, *row[:4], bfs[row[0]], *row[4:])
 
 
 def parse(files: DataFrame) -> DataFrame:
