@@ -25,29 +25,31 @@ def words_with_lines(text: Column) -> Column:
     return F.flatten(F.transform(F.split(text, "\n"), lambda line, i: F.transform(words(line), lambda w: F.struct(w.alias("token"), (i + 1).cast("int").alias("line")))))
 
 
-def grams(tokens: Column, k: int = K) -> Column:
-    """array<struct<h, first, last>> of the k-grams: 16 hex digits of the joined tokens' MD5, and their lines."""
+def grams(tokens: Column, lines: Column, k: int = K) -> Column:
+    """array<struct<h, first, last>> of the k-grams: 16 hex digits of the joined tokens' MD5, and their lines.
+
+    tokens and lines are columns of a frame, not expressions, as the lambda mentions them for every k-gram.
+    """
     spans = F.when(F.size(tokens) >= k, F.sequence(F.lit(1), F.size(tokens) - (k - 1))).otherwise(F.array().cast("array<int>"))
 
     def gram(i: Column) -> Column:
-        part = F.slice(tokens, i, k)
-        joined = F.array_join(F.transform(part, lambda t: t["token"]), "|")
-        return F.struct(F.substring(F.md5(joined), 1, 16).alias("h"), F.element_at(part, 1)["line"].alias("first"), F.element_at(part, -1)["line"].alias("last"))
+        h = F.substring(F.md5(F.array_join(F.slice(tokens, i, k), "|")), 1, 16)
+        return F.struct(h.alias("h"), F.element_at(lines, i).alias("first"), F.element_at(lines, i + (k - 1)).alias("last"))
 
     return F.transform(spans, gram)
 
 
 def winnowed(hashes: Column, window: int = WINDOW) -> Column:
     """Sorted positions (from 0) of the selected k-grams: each window's least hash, the rightmost of equals; of fewer
-    k-grams than a window, the leftmost least."""
+    k-grams than a window, the leftmost least. hashes is a column of a frame."""
     starts = F.when(F.size(hashes) >= window, F.sequence(F.lit(0), F.size(hashes) - window)).otherwise(F.array().cast("array<int>"))
 
     def least(s: Column) -> Column:
-        # a lambda within a lambda: the inner index counts from the window's start
-        return -F.array_min(F.transform(F.slice(hashes, s + 1, window), lambda h, j: F.struct(h.alias("h"), (-(s + j)).alias("minus"))))["minus"]
+        part = F.slice(hashes, s + 1, window)
+        return (s + window - F.array_position(F.reverse(part), F.array_min(part))).cast("int")
 
     short = F.when(F.size(hashes) > 0, F.array((F.array_position(hashes, F.array_min(hashes)) - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
-    return F.when(F.size(hashes) >= window, F.array_sort(F.array_distinct(F.transform(starts, least)))).otherwise(short)
+    return F.when(F.size(hashes) >= window, F.array_distinct(F.transform(starts, least))).otherwise(short)
 
 
 def held(expression: Column, name: str) -> Column:
@@ -57,13 +59,14 @@ def held(expression: Column, name: str) -> Column:
 
 def document_grams(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K) -> DataFrame:
     """(key, grams) of each document."""
-    return docs.select(key, held(words_with_lines(F.col(text)), "tokens")).select(key, held(grams(F.col("tokens"), k), "grams"))
+    made = docs.select(key, held(words_with_lines(F.col(text)), "t")).select(key, F.col("t.token").alias("tokens"), F.col("t.line").alias("lines"))
+    return made.select(key, held(F.col("tokens"), "tokens"), "lines").select(key, "tokens", held(F.col("lines"), "lines")).select(key, held(grams(F.col("tokens"), F.col("lines"), k), "grams"))
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, pos, h, first, last) of the winnowed k-grams."""
     made = document_grams(docs, key, text)
-    made = made.select(key, "grams", held(F.transform("grams", lambda g: g["h"]), "hashes"))
+    made = made.select(key, "grams", held(F.col("grams.h"), "hashes"))
     made = made.select(key, "grams", F.explode(winnowed(F.col("hashes"))).alias("pos"))
     at = F.element_at("grams", F.col("pos") + 1)
     return made.select(key, "pos", at["h"].alias("h"), at["first"].alias("first"), at["last"].alias("last"))

@@ -22,11 +22,11 @@ def winnow_fingerprints(s, d):
 
 
 def duplicate_pairs(s, d):
-    return duplication.pairs(duplication.fingerprints(table(s, d, "documents"))).select("doc_a", "doc_b", F.col("shared").cast("long"), "similarity").orderBy(F.desc("similarity"), "doc_a", "doc_b")
+    return duplication.pairs(duplication.fingerprints(table(s, d, "documents")).persist()).select("doc_a", "doc_b", F.col("shared").cast("long"), "similarity").orderBy(F.desc("similarity"), "doc_a", "doc_b")
 
 
 def _ranges(s, d):
-    prints = duplication.fingerprints(table(s, d, "documents"))
+    prints = duplication.fingerprints(table(s, d, "documents")).persist()  # read four times
     return duplication.shared_ranges(prints, duplication.pairs(prints))
 
 
