@@ -341,6 +341,8 @@ def generated_page(rng: random.Random) -> str:
         return f"<{tag}>{pick('', '', '<b>')}{body}{pick('', '', '<br>')}" + ("" if tag == "p" and rng.random() < 0.3 else f"</{tag}>")
 
     parts = [main_text() for _ in range(pick(1, 1, 1, 2, 4, 8, 15))]
+    if rng.random() < 0.08:  # a page with next to nothing to say
+        parts = [f"<p>{MARK + words(1, 3)}.</p>"]
     if rng.random() < 0.8:
         parts.insert(0, f"<h1>{MARK + words(2, 8)}</h1>")
     for _ in range(pick(0, 0, 0, 1, 2)):
