@@ -5,7 +5,7 @@ word stands at. Ids become text again by a join with the id-to-piece table, whic
 
 Defined cases: a null text is an empty one, with no tokens and the digest of nothing; the special token's string is
 one token, as the tokenizer reads it; a document is handled whole, whatever its length; repeated rows and null ids
-are allowed, since places are keyed by a hash of id and text and words are matched as words.
+are allowed, since places are keyed by a hash of id and text, which equal rows share with equal words.
 """
 
 from __future__ import annotations
@@ -91,25 +91,28 @@ def places(batch: pa.RecordBatch, head: Head) -> tuple[np.ndarray, np.ndarray, p
 
 
 class Digests:
-    """Token counts and digests of documents given as places."""
+    """Ids and bytes of documents given as places. Words outside the head come with their ids; the bytes of those are
+    looked up in the id-to-piece table."""
 
-    def __init__(self, head: Head):
+    def __init__(self, head: Head, piece_table: list[bytes]):
         self.n = np.asarray(head.table["n_ids"]).astype(np.int64)
         self.ids = np.array(head.table["ids_text"].to_pylist(), dtype=object)
         self.piece = np.array(head.table["piece"].to_pylist(), dtype=object)
+        self.table = piece_table
 
-    def parts(self, value: np.ndarray, others: list[dict]) -> tuple[int, str, bytes]:
+    def parts(self, value: np.ndarray, others: dict[int, str]) -> tuple[int, str, bytes]:
         n_ids, ids, piece = self.n, self.ids, self.piece
-        if not others:
-            return int(n_ids[value].sum()), ",".join(ids[value].tolist()), b"".join(piece[value].tolist())
         own = value >= len(n_ids)
+        if not own.any():
+            return int(n_ids[value].sum()), ",".join(ids[value].tolist()), b"".join(piece[value].tolist())
         rest, inside = value[own] - len(n_ids), value[~own]
         texts, bytes_ = np.empty(len(value), object), np.empty(len(value), object)
         texts[~own], bytes_[~own] = ids[inside], piece[inside]
-        texts[own] = np.array([o["ids_text"] for o in others], dtype=object)[rest]
-        bytes_[own] = np.array([o["piece"] for o in others], dtype=object)[rest]
-        total = int(n_ids[inside].sum() + np.array([o["n_ids"] for o in others])[rest].sum())
-        return total, ",".join(texts.tolist()), b"".join(bytes_.tolist())
+        found = [others[i] for i in rest.tolist()]
+        split = [[int(x) for x in f.split(",")] for f in found]
+        texts[own] = np.array(found, dtype=object)
+        bytes_[own] = np.array([b"".join([self.table[k] for k in i]) for i in split] + [b""], dtype=object)[:-1]
+        return int(n_ids[inside].sum()) + sum(map(len, split)), ",".join(texts.tolist()), b"".join(bytes_.tolist())
 
 
 def sha(data: bytes) -> str:
@@ -121,51 +124,60 @@ def read_back(data: bytes) -> str:
     return data.decode("utf-8", errors="replace")
 
 
+def pieces_of(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows, to bound what a task holds."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", id_col: str = "doc_id", keep: tuple[str, ...] = ("doc_id",), outputs: tuple[str, ...] = ("n_tokens", "ids_sha256", "decoded_sha256"), head_words: int = 1 << 18) -> DataFrame:
     """The columns in `keep` and those in `outputs`: n_tokens, ids (array<int>), decoded, ids_sha256, decoded_sha256."""
     spark: SparkSession = docs.sparkSession
     description = read_tokenizer(vocabulary)
     table = stored(encode_words(distinct_words(docs, text_col), description), "words")
     head, outside = split_head(table, head_words)
-    shared = spark.sparkContext.broadcast(head.table)
+    shared = spark.sparkContext.broadcast((head.table, pieces(description)))
     kinds = {"n_tokens": "long", "ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
-    key = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    given = docs.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(keep)], key.alias("key"), split_words(F.col(text_col)).alias("words"))
+    whole = (F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    key, key2 = F.xxhash64(*whole), F.hash(*whole)  # 96 bits together
+    given = docs.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(keep)], key.alias("key"), key2.alias("key2"), split_words(F.col(text_col)).alias("words"))
     names = [f"__{i}" for i in range(len(keep))]
 
     def other_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = Head(shared.value)
-        for batch in batches:
+        head, seen = Head(shared.value[0]), set()
+        for batch in pieces_of(batches):
+            own = zip(batch.column("key").to_pylist(), batch.column("key2").to_pylist(), strict=True)
+            batch = batch.filter(pa.array([k not in seen and seen.add(k) is None for k in own], pa.bool_()))  # equal rows ask once
             _, _, words, number, first = places(batch, head)
-            keys = np.repeat(np.asarray(batch.column("key")), np.diff(first))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), words.take(pa.array(number))], ["key", "word"])
+            count = np.diff(first)
+            at = np.arange(len(number)) - np.repeat(first[:-1], count)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column("key")), count), pa.int64()), pa.array(np.repeat(np.asarray(batch.column("key2")), count), pa.int32()), pa.array(at, pa.int32()), words.take(pa.array(number))], ["key", "key2", "at", "word"])
 
     def payload(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, pack = Head(shared.value), zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            value, at, words, number, first = places(batch, head)
+        head, pack = Head(shared.value[0]), zstandard.ZstdCompressor(level=1)
+        for batch in pieces_of(batches):
+            value, at, _, _, _ = places(batch, head)
             blobs = [pack.compress(value[at[i] : at[i + 1]].astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()) for i in range(batch.num_rows)]
-            lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), words.take(pa.array(number)).cast(pa.string()))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], batch.column("key"), pa.array(blobs, pa.binary()), lists], [*names, "key", "blob", "others"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], batch.column("key"), batch.column("key2"), pa.array(blobs, pa.binary())], [*names, "key", "key2", "blob"])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digests, unpack = Digests(Head(shared.value)), zstandard.ZstdDecompressor()
-        for batch in batches:
+        digests, unpack = Digests(Head(shared.value[0]), shared.value[1]), zstandard.ZstdDecompressor()
+        for batch in pieces_of(batches):
             rows: dict[str, list] = {c: [] for c in outputs}
-            for blob, others, found in zip(batch.column("blob").to_pylist(), batch.column("others").to_pylist(), batch.column("found").to_pylist(), strict=True):
+            for blob, found in zip(batch.column("blob").to_pylist(), batch.column("found").to_pylist(), strict=True):
                 value = np.frombuffer(unpack.decompress(blob), np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel().astype(np.int64)
-                by_word = {f["word"]: f for f in found or ()}
-                total, ids, piece = digests.parts(value, [by_word[w] for w in others])
+                total, ids, piece = digests.parts(value, {f["at"]: f["ids_text"] for f in found or ()})
                 for c in outputs:
                     rows[c].append(total if c == "n_tokens" else sha(ids.encode()) if c == "ids_sha256" else [int(x) for x in ids.split(",") if x] if c == "ids" else read_back(piece) if c == "decoded" else sha(read_back(piece).encode()))
             made = [pa.array(rows[c], {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}[kinds[c]]) for c in outputs]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *made], [*names, *outputs])
 
     given_kinds = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, keep, strict=True))
-    wanted = given.select("key", "words").mapInArrow(other_words, "key long, word string").distinct()
-    found = wanted.join(table.where(outside).drop("n"), "word").groupBy("key").agg(F.collect_list(F.struct("word", "n_ids", "ids_text", "piece")).alias("found"))
-    rows = given.mapInArrow(payload, f"{given_kinds}, key long, blob binary, others array<string>").join(found, "key", "left")
-    out = rows.select(*names, "blob", "others", "found").mapInArrow(finish, f"{given_kinds}, " + ", ".join(f"{c} {kinds[c]}" for c in outputs))
+    wanted = given.select("key", "key2", "words").mapInArrow(other_words, "key long, key2 int, at int, word string")
+    found = wanted.join(table.where(outside).select("word", "ids_text"), "word").groupBy("key", "key2").agg(F.collect_set(F.struct("at", "ids_text")).alias("found"))
+    rows = given.mapInArrow(payload, f"{given_kinds}, key long, key2 int, blob binary").join(found, ["key", "key2"], "left")
+    out = rows.select(*names, "blob", "found").mapInArrow(finish, f"{given_kinds}, " + ", ".join(f"{c} {kinds[c]}" for c in outputs))
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], *outputs)
 
 

@@ -7,11 +7,14 @@ of a fixed length, travel to the executors as one broadcast; all others meet the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from math import ceil
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,9 +36,50 @@ def split_words(text: Column) -> Column:
     return F.when(F.contains(text, F.lit(END_OF_TEXT)), F.flatten(segments)).otherwise(plain)
 
 
-def distinct_words(docs: DataFrame, text_col: str) -> DataFrame:
-    """(word, n): every distinct word and how often it stands in the corpus."""
-    return docs.select(F.explode(split_words(F.col(text_col))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+def _packed(counts: dict[str, int], parts: int) -> pa.RecordBatch:
+    """A row for each hash part: its words, sorted, with counts, as a compressed Arrow stream."""
+    dealt: list[list[str]] = [[] for _ in range(parts)]
+    for word in counts:
+        dealt[crc32(word.encode()) % parts].append(word)
+    rows = []
+    for part, words in enumerate(dealt):
+        if words:
+            words.sort()
+            sink = pa.BufferOutputStream()
+            batch = pa.record_batch({"word": pa.array(words, pa.string()), "n": pa.array([counts[w] for w in words], pa.int64())})
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_batch(batch)
+            rows.append((part, sink.getvalue().to_pybytes()))
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "words"])
+
+
+def distinct_words(docs: DataFrame, text_col: str, held: int = 1_000_000) -> DataFrame:
+    """(word, n): every distinct word and how often it stands in the corpus.
+
+    Each task counts its words (up to `held` of them before it sends what it has) and sends them packed, by hash
+    part; a part adds up what it gets. A word is at most one entry per task and part, so none is a hot spot.
+    """
+    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, int] = {}
+        for batch in batches:
+            found = pc.value_counts(batch.column("words").flatten())
+            for word, n in zip(found.field("values").to_pylist(), found.field("counts").to_pylist(), strict=True):
+                counts[word] = counts.get(word, 0) + n
+            if len(counts) > held:
+                yield _packed(counts, parts)
+                counts = {}
+        if counts:
+            yield _packed(counts, parts)
+
+    def add(key: tuple, rows: pa.Table) -> pa.Table:
+        tables = [pa.ipc.open_stream(blob.as_buffer()).read_all() for blob in rows["words"]]
+        total = pa.concat_tables(tables).group_by("word").aggregate([("n", "sum")])
+        return pa.table({"word": total["word"], "n": total["n_sum"]})
+
+    packed = docs.select(split_words(F.col(text_col)).alias("words")).mapInArrow(count, "part int, words binary")
+    return packed.groupBy("part").applyInArrow(add, "word string, n long")
 
 
 @dataclass
@@ -54,7 +98,7 @@ class Head:
 
 
 def split_head(table: DataFrame, most: int = 1 << 18, longest: int = 48, parts: int = 8) -> tuple[Head, Column]:
-    """The head of a stored word table, collected, and the condition for the words that are not in it.
+    """The head of a stored word table, collected with the most frequent word first, and the condition for the others.
 
     Words are ranked by the bin of their count's logarithm, so that a histogram of a few hundred rows decides.
     """
@@ -67,7 +111,7 @@ def split_head(table: DataFrame, most: int = 1 << 18, longest: int = 48, parts:
             break
         total, least = total + words, at
     inside = short & (level >= least)
-    return Head(table.where(inside).drop("n").toArrow()), ~inside
+    return Head(table.where(inside).toArrow().sort_by([("n", "descending"), ("word", "ascending")]).drop_columns(["n"])), ~inside
 
 
 def partitions_for(rows: float, each: float) -> int:
