@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTER, joined_bytes, keep_share, remainder, runs, slices, stored
+from .common import LETTER, joined_bytes, keep_share, remainder, runs, slices, small_side, stored
 
 UND = "und"
 BITS = 16
@@ -162,7 +162,7 @@ def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_c
     seen = docs.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull())
     sizes = seen.groupBy(F.col(label_col).alias("__lang")).agg(F.count("*").alias("__n"))
     rows = seen.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"), F.col(label_col).alias("__lang"))
-    sample = rows.join(sizes, "__lang").where(keep_share(F.lit(float(sample_per_lang)) / F.col("__n"), "__id")).select(F.col("__lang").alias("lang"), "text")
+    sample = rows.join(small_side(sizes, "langs"), "__lang").where(keep_share(F.lit(float(sample_per_lang)) / F.col("__n"), "__id")).select(F.col("__lang").alias("lang"), "text")
     sample = stored(sample.repartition(16), "langid")
     schema = "lang string, gram int, n long"
     first = _fit(sample.mapInArrow(_count_map("text", "lang"), schema), alpha)

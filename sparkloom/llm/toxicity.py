@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import language_id
-from .common import BYTE_KEY, LETTER, joined_bytes, keep_share, mixed, powers, remainder, run_hashes, runs, slices, stored
+from .common import BYTE_KEY, LETTER, joined_bytes, keep_share, mixed, powers, remainder, run_hashes, runs, slices, small_side, stored
 
 BITS = 17
 PREFIXES = (3, 4, 5, 6)
@@ -202,7 +202,8 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
     """
     marks = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("label"))
     sizes = marks.groupBy("label").agg(F.count("*").alias("__n"))
-    marks = marks.join(F.broadcast(sizes), "label").where(keep_share(F.lit(float(sample_per_class)) / F.col("__n"), "__id"))
+    marks = marks.join(sizes, "label").where(keep_share(F.lit(float(sample_per_class)) / F.col("__n"), "__id"))
+    marks = small_side(marks, "marks")
     rows = docs.where(F.col(text_col).isNotNull() & (F.length(text_col) <= max_words * 8)).join(marks, F.col(id_col) == F.col("__id"))
     part = F.pmod(F.xxhash64(F.lit("part"), F.col("__id")), F.lit(5)).cast("int")
     rows = stored(rows.select("label", part.alias("part"), F.col(text_col).alias("text")).repartition(12), "toxic")
