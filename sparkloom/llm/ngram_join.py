@@ -14,10 +14,10 @@ prefix's tokens, which is more than a similar pair allows.
 Groups are a hash of the token, their number set by the power of two below the set's size, so that the pairs stay in
 proportion to the set. A set emits keys at each level that a partner's size can have; partners share a level.
 
-Candidates come in two rounds. First each posting list links neighbours in size order and each member to its first;
-what verification confirms becomes components. Then every pair of a list that lies in two components is verified.
-A list whose members are all connected by then yields nothing, so a large group of copies costs a multiple of its
-size and no link between different components is lost.
+Candidates come in rounds. In the first ones each posting list compares its members with one of them, the one most
+lists have or the first in a hash order; what verification confirms becomes components, and lists whose members all
+lie in one component are done. At last every pair of a list that lies in two components is verified, unless sizes or
+parity sketches rule it out, both for certain. So no link between different components is lost.
 
 Tokens are compared as 64-bit hashes in keys, as 40-bit hashes within a pair's verification.
 
@@ -34,15 +34,17 @@ from math import ceil, floor, log2
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, joined_bytes, mixed, run_hashes, runs, slices, stored
+from .common import LOWER, SPACE, joined_bytes, mixed, run_hashes, runs, slices, small_side, stored
 from .components import components
 from .word_table import partitions_for
 
 SHINGLE = 5
+SKETCH_BITS = 2048
 _ODD = mixed(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -279,61 +281,99 @@ def lists(posted: DataFrame, parts: int) -> DataFrame:
     return posted.repartition(parts, "key").mapInArrow(run, "list long, cls long, n int")
 
 
-def _per_list(rows: pa.Table, percent: int, comp: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs (smaller class first) of the lists in rows, sorted by list, size and class."""
-    name, cls, n = (np.asarray(rows[c]) for c in ("list", "cls", "n"))
+def sketch(tokens: np.ndarray) -> bytes:
+    """Parity bits: how many tokens fall to each of SKETCH_BITS places, odd or even.
+
+    Sets that differ in d tokens have sketches that differ in d bits at most, so a larger difference rules a pair out
+    for certain.
+    """
+    return np.packbits(np.bincount((tokens >> np.uint64(30)).astype(np.int64) & (SKETCH_BITS - 1), minlength=SKETCH_BITS).astype(np.uint8) & 1).tobytes()
+
+
+def star_pairs(rows: pa.Table, percent: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each list's members with one of them, where in another component: the member that most lists have (seed 0), or
+    the first in a hash order. Overlapping lists mostly agree on it, so that members meet few different ones."""
+    name, cls, n, deg = (np.asarray(rows[c]) for c in ("list", "cls", "n", "deg"))
+    own = np.asarray(rows["comp"]) if "comp" in rows.column_names else cls
+    order = np.lexsort((mixed(cls.astype(np.uint64) + np.uint64(seed)), -deg if seed == 0 else np.zeros(len(deg), np.int64), name))
+    name, cls, n, own = name[order], cls[order], n[order].astype(np.int64), own[order]
+    first = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1])))
+    centre = np.repeat(first, np.diff(np.append(first, len(name))))
+    ok = (own != own[centre]) & (n * 100 >= n[centre] * percent) & (n[centre] * 100 >= n * percent)
+    return cls[ok], cls[centre[ok]]
+
+
+def cross_pairs(rows: pa.Table, percent: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of a list in different components that sizes and sketches allow. Rows with a sketch are the task's
+    dictionary of classes, the others its lists."""
+    given = rows.filter(pc.is_valid(rows["sketch"]))
+    known, once = np.unique(np.asarray(given["cls"]), return_index=True)
+    planes = np.frombuffer(b"".join(given["sketch"].take(pa.array(once)).to_pylist()), np.uint64).reshape(len(known), -1)
+    rows = rows.filter(pc.is_null(rows["sketch"]))
+    name, cls, n, own = (np.asarray(rows[c]) for c in ("list", "cls", "n", "comp"))
     order = np.lexsort((cls, n, name))
-    name, cls, n = name[order], cls[order], n[order].astype(np.int64)
+    name, cls, n, own = name[order], cls[order], n[order].astype(np.int64), own[order]
+    at = np.searchsorted(known, cls)
     first = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1])))
-    length = np.diff(np.append(first, len(name)))
-    if not comp:
-        a = np.concatenate((np.arange(len(name) - 1), np.repeat(first, length)))
-        b = np.concatenate((np.arange(1, len(name)), np.arange(len(name))))
-    else:
-        own = np.asarray(rows["comp"])[order]
-        left, right = [], []
-        for f, m in zip(first.tolist(), length.tolist(), strict=True):
-            sizes, at = n[f : f + m], own[f : f + m]
-            upto = np.searchsorted(sizes, sizes * 100 // percent, side="right")
-            for i in range(m - 1):
-                j = np.flatnonzero(at[i + 1 : upto[i]] != at[i]) + i + 1
+    left, right = [], []
+    for f, m in zip(first.tolist(), np.diff(np.append(first, len(name))).tolist(), strict=True):
+        sizes, comp, p = n[f : f + m], own[f : f + m], planes[at[f : f + m]]
+        upto = np.searchsorted(sizes, sizes * 100 // percent, side="right")
+        for i in range(m - 1):
+            j = np.flatnonzero(comp[i + 1 : upto[i]] != comp[i]) + i + 1
+            if len(j):
+                differ = np.bitwise_count(p[j] ^ p[i]).sum(axis=1)
+                j = j[differ.astype(np.int64) * (100 + percent) <= (sizes[j] + sizes[i]) * (100 - percent)]
                 left.append(np.full(len(j), f + i))
                 right.append(f + j)
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-    ok = (name[a] == name[b]) & (cls[a] != cls[b]) & (n[a] * 100 >= n[b] * percent)
-    a, b = cls[a[ok]], cls[b[ok]]
-    pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-    return pair[:, 0], pair[:, 1]
+    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
+    return cls[a], cls[b]
 
 
-def candidates(listed: DataFrame, parts: int, percent: int, comp: bool) -> DataFrame:
-    """Distinct (a, b) of classes to verify."""
+def candidates(listed: DataFrame, parts: int, percent: int, pairs_of, seed: int = 0, by: str = "list") -> DataFrame:
+    """Distinct (a, b), a < b, of classes to verify."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if got:
-            a, b = _per_list(pa.Table.from_batches(got), percent, comp)
-            yield pa.RecordBatch.from_arrays([_longs(a), _longs(b)], ["a", "b"])
+            a, b = pairs_of(pa.Table.from_batches(got), percent, seed)
+            pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+            pair = pair[pair[:, 0] < pair[:, 1]]
+            yield pa.RecordBatch.from_arrays([_longs(pair[:, 0]), _longs(pair[:, 1])], ["a", "b"])
 
-    return listed.repartition(parts, "list").mapInArrow(run, "a long, b long").distinct()
+    return listed.repartition(parts, by).mapInArrow(run, "a long, b long").distinct()
 
 
-def class_sets(docs: DataFrame, members: DataFrame, wanted: DataFrame, text_col: str, id_col: str, checked: int = 1_000_000) -> DataFrame:
-    """(cls, tokens) of the classes in `wanted`, from one document each; 40 bits of each token, packed.
+def with_sketches(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """The lists, dealt by their most connected member so that overlapping lists meet, and each class's sketch once
+    wherever it is needed."""
+    hubs = placed.groupBy("list").agg(F.max(F.struct("deg", "cls")).alias("hub")).select("list", F.col("hub.cls").alias("part"))
+    rows = placed.join(hubs, "list").select("part", "list", "cls", "n", "comp", F.lit(None).cast("binary").alias("sketch"))
+    need = rows.select("part", "cls").distinct().join(sets.select("cls", "sketch"), "cls")
+    return rows.unionByName(need.select("part", F.lit(0).cast("long").alias("list"), "cls", F.lit(0).alias("n"), F.lit(0).cast("long").alias("comp"), "sketch"))
 
-    The ids of those documents are broadcast if they are few enough, else the documents meet them in a shuffle.
+
+def class_sets(docs: DataFrame, members: DataFrame, wanted: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """(cls, tokens, sketch) of the classes in `wanted`, from one document each; 40 bits of each token, packed.
+
+    The ids of those documents are broadcast if they are few enough, else the documents meet them in a shuffle. A
+    repeated id may bring a class twice or one that isn't wanted.
     """
     reps = members.join(wanted, "cls").groupBy("cls").agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL").select("rep").distinct()
-    reps = stored(reps, "reps")
-    side = F.broadcast(reps) if reps.count() <= checked else reps
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text")).join(side, "rep", "left_semi").select("text")
+    reps = small_side(reps, "reps", 1_000_000)
+    text = F.col(text_col).cast("string")
+    with_id = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("rep"), text.alias("text")).join(reps, "rep", "left_semi").select("text")
+    # classes all of whose rows have no id are found by their text
+    nameless = members.join(wanted, "cls").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("text_hash").alias("text_hash")).where("rep IS NULL").select("text_hash")
+    nameless = small_side(nameless, "nameless", 1_000_000)
+    without = docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNull()).select(F.xxhash64(text).alias("text_hash"), text.alias("text")).join(nameless, "text_hash", "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle_sets(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([_longs([signature(s) for s in sets]), pa.array([packed(np.sort(s >> np.uint64(24))) for s in sets], pa.binary())], ["cls", "tokens"])
+            yield pa.RecordBatch.from_arrays([_longs([signature(s) for s in sets]), pa.array([packed(np.sort(s >> np.uint64(24))) for s in sets], pa.binary()), pa.array([sketch(s) for s in sets], pa.binary())], ["cls", "tokens", "sketch"])
 
-    return rows.mapInArrow(run, "cls long, tokens binary").join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
+    return with_id.unionByName(without).mapInArrow(run, "cls long, tokens binary, sketch binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, parts: int, percent: int) -> DataFrame:
@@ -341,7 +381,7 @@ def verified(pairs: DataFrame, sets: DataFrame, parts: int, percent: int) -> Dat
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(parts))
     pairs = pairs.withColumn("block", F.xxhash64(F.least(block("a"), block("b")), F.greatest(block("a"), block("b"))))
     need = pairs.select("block", F.col("a").alias("cls")).union(pairs.select("block", "b")).distinct()
-    shipped = need.join(sets, "cls").select("block", F.col("cls").alias("a"), F.lit(0).cast("long").alias("b"), "tokens")
+    shipped = need.join(sets.select("cls", "tokens"), "cls").select("block", F.col("cls").alias("a"), F.lit(0).cast("long").alias("b"), "tokens")
     rows = shipped.unionByName(pairs.withColumn("tokens", F.lit(None).cast("binary")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,7 +406,14 @@ def verified(pairs: DataFrame, sets: DataFrame, parts: int, percent: int) -> Dat
     return rows.repartition(parts, "block").sortWithinPartitions("block", F.col("tokens").isNull()).select("block", "a", "b", "tokens").mapInArrow(run, "a long, b long")
 
 
-def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", percent: int = 75, most_frequent: int = 1 << 19) -> DataFrame:
+def _placed(listed: DataFrame, found: DataFrame) -> DataFrame:
+    """(list, cls, n, deg, comp) of the lists whose members lie in more than one component."""
+    rows = listed.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
+    open_ = rows.groupBy("list").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("list")
+    return stored(rows.join(open_, "list", "left_semi").select("list", "cls", "n", "deg", "comp"), "placed")
+
+
+def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", percent: int = 75, most_frequent: int = 1 << 19, rounds: int = 2) -> DataFrame:
     """(doc_id, text_hash, n_shingles, component, component_id) of every row.
 
     component tells the linked groups of non-empty sets apart; component_id is the smallest id in it. text_hash is
@@ -378,17 +425,19 @@ def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", percen
     parts = partitions_for(total / 4, 750_000)
     listed = stored(lists(postings(docs, text_col, frequent, percent), parts), "lists")
     listed = stored(listed.dropDuplicates(["list", "cls"]), "lists")
+    listed = stored(listed.join(listed.groupBy("cls").agg(F.count("*").cast("int").alias("deg")), "cls"), "lists")
     few = partitions_for(listed.count(), 750_000)
     sets = stored(class_sets(docs, members, listed.select("cls").distinct(), text_col, id_col), "sets")
-    pairs = stored(candidates(listed, few, percent, False), "pairs")
-    links = stored(verified(pairs, sets, few, percent), "links")
-    found = stored(components(links), "linked")
-    placed = listed.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
-    open_ = placed.groupBy("list").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("list")
-    placed = placed.join(open_, "list", "left_semi").select("list", "cls", "n", "comp")
-    rest = stored(candidates(placed, few, percent, True).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    more = verified(rest, sets, few, percent)
-    found = components(links.union(more))
+    links, placed = None, listed
+    for seed in range(rounds):
+        pairs = stored(candidates(placed, few, percent, star_pairs, seed), "pairs")
+        more = stored(verified(pairs, sets, few, percent), "links")
+        links = more if links is None else links.unionByName(more)
+        found = stored(components(links), "linked")
+        placed = _placed(listed, found)
+    last = with_sketches(placed, sets)
+    pairs = stored(candidates(last, few, percent, cross_pairs, by="part"), "pairs")
+    found = components(links.unionByName(verified(pairs, sets, few, percent)))
     # ids: the smallest of each class, then of each component
     by_class = members.groupBy("cls").agg(F.min("doc_id").alias("low"))
     grouped = by_class.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
