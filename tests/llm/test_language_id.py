@@ -1,6 +1,5 @@
 import numpy as np
 import pyarrow as pa
-from conftest import *  # noqa: F403
 
 from sparkloom.llm import language_id as li
 
