@@ -2,8 +2,8 @@
 
 Equal vectors of a label are one class. Every class is turned by random rotations into a code of sign bits; a stored
 factor per class corrects the code's inner products, so that sign(Rx).Ry / factor(x) estimates <x, y> without bias.
-Bands of code bits deal the classes to buckets; enough bands are used that a pair at the threshold meets with
-probability 1 - `miss`. A first pass over the buckets carries codes alone and keeps the classes that have a possible
+Bands of further sign bits, each bit with a random direction of its own so that bits and bands are independent, deal
+the classes to buckets; enough bands are used that a pair at the threshold meets with probability 1 - `miss`. A first pass over the buckets carries codes alone and keeps the classes that have a possible
 partner there by the codes' Hamming distance. A second one brings the vectors of those: estimates and their
 confidence bounds decide which pairs are recomputed exactly, in double precision. A pair counts in the first band it
 shares only, so no pair is counted twice and no pair is ever a row: buckets send counts and a spanning forest.
@@ -18,6 +18,7 @@ takes the smallest id of its component, or stays null; vectors of other lengths
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from math import acos, ceil, log, log2, pi
 
 import numpy as np
@@ -39,6 +40,7 @@ def usable(vector: str):
     return F.coalesce(v.isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
+@lru_cache(maxsize=8)
 def rotations(dim: int, seed: int = 5) -> np.ndarray:
     """Random rotations side by side (dim by CODE_BITS or more)."""
     rng = np.random.default_rng(seed + dim)
@@ -49,6 +51,12 @@ def rotations(dim: int, seed: int = 5) -> np.ndarray:
     return np.concatenate(parts, axis=1)[:, : max(CODE_BITS, dim)].astype(np.float32)
 
 
+@lru_cache(maxsize=8)
+def directions(dim: int, columns: int, seed: int = 3) -> np.ndarray:
+    """Independent random directions (dim by columns)."""
+    return np.random.default_rng((seed, dim)).normal(size=(dim, columns))
+
+
 def band_plan(n: int, threshold: float, miss: float) -> tuple[int, int]:
     """(bits in a band, bands): buckets of about 4 unrelated vectors, and a pair at the threshold lost with `miss`."""
     bits = max(8, ceil(log2(max(n, 2))) - 2)
@@ -56,15 +64,13 @@ def band_plan(n: int, threshold: float, miss: float) -> tuple[int, int]:
     return bits, ceil(log(miss) / log(1 - p))
 
 
-def band_keys(turned: np.ndarray, bits: int, bands: int, label: np.ndarray, seed: int = 3) -> np.ndarray:
-    """A 64-bit key of label, band and bits for each row and band; a band is a random choice of code bits."""
-    rng = np.random.default_rng(seed)
-    weight = np.uint64(1) << np.arange(bits, dtype=np.uint64)
-    out = np.empty((len(turned), bands), np.uint64)
-    for j in range(bands):
-        out[:, j] = (turned[:, rng.choice(turned.shape[1], bits, replace=False)] > 0) @ weight
+def band_keys(units: np.ndarray, bits: int, bands: int, label: np.ndarray) -> np.ndarray:
+    """A 64-bit key of label, length, band and bits for each row and band; no two bands share a direction."""
+    dim = units.shape[1]
+    above = (units @ directions(dim, bits * bands) > 0).reshape(len(units), bands, bits)
+    out = (above @ (1 << np.arange(bits))).astype(np.uint64)
     out = mixed(out + np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return mixed(out ^ label.astype(np.uint64)[:, None] ^ np.uint64(turned.shape[1]))
+    return mixed(out ^ label.astype(np.uint64)[:, None] ^ np.uint64(dim))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -159,13 +165,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, vector_col: str
         for batch in batches:
             sizes = np.diff(np.asarray(batch.column("v").offsets))
             for dim in np.unique(sizes):
-                part = batch.filter(pa.array(sizes == dim))
-                turned = _units(_matrix(part.column("v"))).astype(np.float32) @ rotations(int(dim))
-                keys = band_keys(turned, bits, bands, np.asarray(part.column("label_key")))
-                packed = pa.array([c.tobytes() for c in np.packbits(turned[:, :CODE_BITS] > 0, axis=1)], pa.binary())
-                for start in range(0, part.num_rows, 2048):
-                    k = keys[start : start + 2048]
-                    own = pa.array(np.repeat(np.arange(start, start + len(k)), bands))
+                whole = batch.filter(pa.array(sizes == dim))
+                for start in range(0, whole.num_rows, 2048):
+                    part = whole.slice(start, 2048)
+                    units = _units(_matrix(part.column("v")))
+                    k = band_keys(units, bits, bands, np.asarray(part.column("label_key")))
+                    turned = units.astype(np.float32) @ rotations(int(dim))
+                    packed = pa.array([c.tobytes() for c in np.packbits(turned[:, :CODE_BITS] > 0, axis=1)], pa.binary())
+                    own = pa.array(np.repeat(np.arange(part.num_rows), bands))
                     yield pa.RecordBatch.from_arrays([pa.array(k.ravel().view(np.int64)), part.column("cls").take(own), packed.take(own)], ["key", "cls", "code"])
 
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,9 +196,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, vector_col: str
                 here = slice(first, first + m)
                 units = _units(_matrix(vectors.slice(first, m)))
                 dim = units.shape[1]
-                turn = rotations(dim)
-                turned = units.astype(np.float32) @ turn
-                keys = band_keys(turned, bits, bands, np.asarray(table["label_key"].slice(first, m)))
+                turned = units.astype(np.float32) @ rotations(dim)
+                keys = band_keys(units, bits, bands, np.asarray(table["label_key"].slice(first, m)))
                 band = _band_of(keys, int(np.asarray(table["key"].slice(first, 1))[0]))
                 pairs = _partners(side[here])
                 for j in range(band):  # the first band that a pair shares judges it

@@ -58,6 +58,21 @@ def test_dedup_equals_sql(spark, data):
     assert spark_rows(rows) == duck_rows(data, ed.OP6_SQL)
 
 
+@pytest.mark.parametrize("n", [1_000, 10_000, 100_000, 1_000_000])
+@pytest.mark.parametrize("dim", [8, 64])
+def test_pairs_at_the_threshold_meet(n, dim):
+    """60,000 random pairs at cosine 0.93: no more than 0.1% of them, and some room for chance, share no band."""
+    rng = np.random.default_rng(4)
+    bits, bands = ed.band_plan(n, 0.93, 1e-3)
+    missed = 0
+    for _ in range(12):
+        a, b = ed._units(rng.normal(size=(5000, dim))), rng.normal(size=(5000, dim))
+        b = ed._units(b - (a * b).sum(axis=1, keepdims=True) * a)
+        x, y = (ed.band_keys(v, bits, bands, np.zeros(5000, np.int64)) for v in (a, 0.93 * a + np.sqrt(1 - 0.93**2) * b))
+        missed += int((x != y).all(axis=1).sum())
+    assert missed <= 60_000 * 1.5e-3
+
+
 def test_estimates_are_unbiased():
     rng = np.random.default_rng(1)
     x, y = ed._units(rng.normal(size=(300, 64))), ed._units(rng.normal(size=(300, 64)))
