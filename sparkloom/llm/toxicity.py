@@ -2,8 +2,9 @@
 
 A word is the sum of hashed embeddings: of the whole word and of its first 3 to 6 bytes, so that inflected forms of a
 stem share most of their embedding. Filters of one, two and three words slide over the document, max pooling keeps
-each filter's strongest answer, and a logistic unit weighs them. On held-back training rows a threshold is chosen for
-each language, with the language guessed from the text alone; scores are shifted so that the threshold is 0.5.
+each filter's strongest answer, and a logistic unit weighs them. On all held-back labelled rows, of whatever length, a
+threshold is chosen for each language, with the language guessed from the text alone; the executors score those rows
+and send counts by language, label and logit. Scores are shifted so that the threshold is 0.5.
 
 Defined cases: null and empty texts, and texts without a word, score as a document without any toxic word; without
 positive or without negative labels every score is 0; rows are judged one by one, so repeated rows get the same
@@ -12,13 +13,14 @@ answer; labels of null or unknown documents are ignored, repeated ones count as
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +31,10 @@ BITS = 17
 PREFIXES = (3, 4, 5, 6)
 FEATURES = 1 + len(PREFIXES)
 DIM, FILTERS, WIDTHS = 16, 8, (1, 2, 3)
-PAD = max(WIDTHS) - 1
+PAD = max(WIDTHS)
+#: Logits are counted in steps of 1 / STEPS up to MOST for the thresholds; training embeds about so many words at once.
+STEPS, MOST = 256, 100
+AT_ONCE = 50_000
 
 
 @dataclass
@@ -62,7 +67,10 @@ def word_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _places(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Row of each word in an array with PAD empty rows after each text; each text's first row; rows in all."""
+    """Row of each word in an array with PAD empty rows after each text; each text's first row; rows in all.
+
+    Windows may start at a text's words or at its first empty row: they end before the next text.
+    """
     n = at[1:] - at[:-1]
     first = at[:-1] + PAD * np.arange(len(n))
     rows = np.arange(int(n.sum())) + np.repeat(PAD * np.arange(len(n)), n)
@@ -97,11 +105,40 @@ def logits(net: Net, words: np.ndarray, at: np.ndarray) -> np.ndarray:
     if len(at) < 2:
         return np.zeros(0)
     rows, first, total = _places(at)
-    pooled = np.maximum.reduceat(_answers(net, embedded(net, words, rows, total)), first, axis=0)
+    ends = first + at[1:] - at[:-1] + 1
+    pooled = np.maximum.reduceat(_answers(net, embedded(net, words, rows, total)), np.stack([first, ends], axis=1).ravel(), axis=0)[::2]
     return np.maximum(pooled, 0) @ net.out + net.out_bias
 
 
-def fit(docs: list[np.ndarray], y: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.05, seed: int = 11) -> Net:
+class Packed(Sequence):
+    """Documents' word features, packed until they are asked for."""
+
+    def __init__(self, blobs: Sequence[bytes]):
+        self.blobs, self.unpack = blobs, zstandard.ZstdDecompressor()
+
+    def __len__(self) -> int:
+        return len(self.blobs)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return np.frombuffer(self.unpack.decompress(self.blobs[i]), np.int32).reshape(-1, FEATURES)
+
+
+def _portions(docs: Sequence[np.ndarray], part: np.ndarray) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """The documents in `part` in portions of about AT_ONCE words; a longer one stands alone, whole."""
+    own, held, total = [], [], 0
+    for i in part:
+        d = docs[i]
+        if own and total + len(d) > AT_ONCE:
+            yield np.array(own), held
+            own, held, total = [], [], 0
+        own.append(i)
+        held.append(d)
+        total += len(d)
+    if own:
+        yield np.array(own), held
+
+
+def fit(docs: Sequence[np.ndarray], y: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.05, seed: int = 11) -> Net:
     """Adagrad on the logistic loss. One dimension of the embedding starts as the bucket's log-odds between classes."""
     rng = np.random.default_rng(seed)
     seen = np.zeros((2, 1 << BITS))
@@ -127,101 +164,130 @@ def fit(docs: list[np.ndarray], y: np.ndarray, epochs: int = 6, batch: int = 64,
 
     for _ in range(epochs):
         for part in np.array_split(rng.permutation(len(docs)), max(1, len(docs) // batch)):
-            at = np.concatenate(([0], np.cumsum([len(docs[i]) for i in part])))
-            words = np.concatenate([docs[i] for i in part]) if at[-1] else np.zeros((0, FEATURES), np.int32)
-            rows, first, total = _places(at)
-            x = embedded(net, words, rows, total)
-            a = _answers(net, x)
-            ends = np.append(first[1:], total)
-            top = np.stack([a[s:e].argmax(axis=0) + s for s, e in zip(first, ends, strict=True)])
-            pooled = np.take_along_axis(a, top, axis=0)
-            z = np.clip(np.maximum(pooled, 0) @ net.out + net.out_bias, -30, 30)
-            d = ((1 / (1 + np.exp(-z)) - y[part]) / len(part)).astype(np.float32)
-            back = d[:, None] * net.out * (pooled > 0)
-            g_taps, g_x = np.zeros_like(net.taps), {}
-            word_at = np.full(total, -1)
-            word_at[rows] = np.arange(len(rows))
-            touched, pulls = [], []
-            for j in range(max(WIDTHS)):
-                live = np.flatnonzero(wide > j)
-                at_row = np.minimum(top[:, live] + j, total - 1)
-                g = back[:, live]
-                for c, f in enumerate(live):
-                    g_taps[:, tap_of[f] + j, f % FILTERS] += g[:, c] @ x[at_row[:, c]]
-                pulled = g[:, :, None] * net.taps[:, tap_of[live] + j, live % FILTERS].T[None]
-                hit = (word_at[at_row] >= 0) & (g != 0)
-                touched.append(word_at[at_row][hit])
-                pulls.append(pulled[hit])
-            at_word, pull = np.concatenate(touched), np.concatenate(pulls)
-            if len(at_word):
-                buckets = words[at_word].ravel()
+            g_taps, g_bias, g_out, g_out_bias = np.zeros_like(net.taps), np.zeros_like(net.bias), np.zeros_like(net.out), 0.0
+            touched, pulls = [np.zeros((0, FEATURES), np.int32)], [np.zeros((0, DIM), np.float32)]
+            for own, held in _portions(docs, part):
+                at = np.concatenate(([0], np.cumsum([len(d) for d in held])))
+                words = np.concatenate(held)
+                rows, first, total = _places(at)
+                x = embedded(net, words, rows, total)
+                a = _answers(net, x)
+                ends = first + at[1:] - at[:-1] + 1
+                top = np.stack([a[s:e].argmax(axis=0) + s for s, e in zip(first, ends, strict=True)])
+                pooled = np.take_along_axis(a, top, axis=0)
+                z = np.clip(np.maximum(pooled, 0) @ net.out + net.out_bias, -30, 30)
+                d = ((1 / (1 + np.exp(-z)) - y[own]) / len(part)).astype(np.float32)
+                back = d[:, None] * net.out * (pooled > 0)
+                word_at = np.full(total, -1)
+                word_at[rows] = np.arange(len(rows))
+                for j in range(max(WIDTHS)):
+                    live = np.flatnonzero(wide > j)
+                    at_row = np.minimum(top[:, live] + j, total - 1)
+                    g = back[:, live]
+                    for c, f in enumerate(live):
+                        g_taps[:, tap_of[f] + j, f % FILTERS] += g[:, c] @ x[at_row[:, c]]
+                    pulled = g[:, :, None] * net.taps[:, tap_of[live] + j, live % FILTERS].T[None]
+                    hit = (word_at[at_row] >= 0) & (g != 0)
+                    touched.append(words[word_at[at_row][hit]])
+                    pulls.append(pulled[hit])
+                g_bias += back.sum(axis=0)
+                g_out += (d[:, None] * np.maximum(pooled, 0)).sum(axis=0)
+                g_out_bias += d.sum()
+            buckets, pull = np.concatenate(touched).ravel(), np.concatenate(pulls)
+            if len(buckets):
                 u, inverse = np.unique(buckets, return_inverse=True)
                 g_emb = np.zeros((len(u), DIM), np.float32)
                 np.add.at(g_emb, inverse, np.repeat(pull, FEATURES, axis=0))
                 grown["emb"][u] += g_emb * g_emb
                 net.emb[u] -= rate * g_emb / np.sqrt(grown["emb"][u])
             step("taps", g_taps)
-            step("bias", back.sum(axis=0))
-            step("out", (d[:, None] * np.maximum(pooled, 0)).sum(axis=0))
-            step("out_bias", np.float32(d.sum()))
+            step("bias", g_bias)
+            step("out", g_out)
+            step("out_bias", np.float32(g_out_bias))
     return net
 
 
-def threshold(z: np.ndarray, y: np.ndarray, default: float = 0.0, least: int = 10) -> float:
-    """The logit that separates the classes with the highest F1, in the middle of the gap; default with few rows."""
-    if y.sum() < least or (1 - y).sum() < least:
+def threshold(z: np.ndarray, y: np.ndarray, default: float = 0.0, least: int = 10, count: np.ndarray | None = None) -> float:
+    """The logit that separates the classes with the highest F1, in the middle of the gap; default with few rows.
+
+    `count` says how many rows each entry stands for, one if it isn't given.
+    """
+    count = np.ones(len(z)) if count is None else count
+    toxic = (count * y).sum()
+    if toxic < least or count.sum() - toxic < least:
         return default
-    order = np.argsort(-z, kind="stable")
-    hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
+    value, at = np.unique(-z, return_inverse=True)
+    hits = np.cumsum(np.bincount(at, count * y))
+    f1 = 2 * hits / (np.cumsum(np.bincount(at, count)) + toxic)
     best = int(f1.argmax())
-    low = z[order[best + 1]] if best + 1 < len(y) else z[order[best]] - 1
-    return float((z[order[best]] + low) / 2)
+    low = -value[best + 1] if best + 1 < len(value) else -value[best] - 1
+    return float((low - value[best]) / 2)
+
+
+def _languages(languages, texts: pa.Array) -> np.ndarray:
+    return language_id.single_best(languages, texts) if languages.langs else np.zeros(len(texts), int)
+
+
+def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row's label and packed word features, of the whole text."""
+    pack = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        texts, blobs = batch.column("text"), []
+        for start, n in slices(texts, 1 << 20):
+            words, at = word_features(texts.slice(start, n))
+            blobs += [pack.compress(words[at[i] : at[i + 1]].tobytes()) for i in range(n)]
+        yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(blobs, pa.binary())], ["label", "words"])
 
 
-def _encoder(languages):
-    """Each row's label, part, likeliest language and word features."""
+def _logit_counts(rows: DataFrame, net: Net) -> pd.DataFrame:
+    """label, lang, step and how many of the rows (label, text) have them; the executors score the rows."""
+    shared = rows.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
         for batch in batches:
-            texts, blobs = batch.column("text"), []
-            for start, n in slices(texts):
-                words, at = word_features(texts.slice(start, n))
-                blobs += [words[at[i] : at[i + 1]].tobytes() for i in range(n)]
-            lang = language_id.single_best(languages.value, texts) if languages.value.langs else np.zeros(len(texts), int)
-            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("part"), pa.array(lang, pa.int32()), pa.array(blobs, pa.binary())], ["label", "part", "lang", "words"])
+            texts = batch.column("text")
+            for start, n in slices(texts, 1 << 20):
+                piece = texts.slice(start, n)
+                z = logits(m, *word_features(piece))
+                step = np.rint(np.clip(z, -MOST, MOST) * STEPS).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column("label").slice(start, n), pa.array(_languages(m.languages, piece), pa.int32()), pa.array(step)], ["label", "lang", "step"])
 
-    return run
+    return rows.mapInArrow(run, "label int, lang int, step int").groupBy("label", "lang", "step").agg(F.count("*").alias("many")).toPandas()
 
 
-def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", lang_col: str = "lang", sample_per_class: int = 1500, max_words: int = 1000) -> Net | None:
+def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", lang_col: str = "lang", sample_per_class: int = 1500) -> Net | None:
     """Fit net and thresholds on the rows given; None without rows of both classes.
 
-    The sample is bounded: `sample_per_class` documents of each class in expectation, picked by a hash of the id, of
-    up to `max_words` words each (longer ones aren't in the sample). A fifth of it chooses the thresholds.
+    A fifth of the labelled rows is held back and chooses the thresholds, all of it. The net is fitted on a bounded
+    sample of the others' whole texts: `sample_per_class` documents of each class in expectation, before the held-back
+    ones leave, picked by a hash of the id.
     """
     marks = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("label"))
+    part = lambda c: F.pmod(F.xxhash64(F.lit("part"), F.col(c).cast("string")), F.lit(5)) == 0
     sizes = marks.groupBy("label").agg(F.count("*").alias("__n"))
-    marks = marks.join(sizes, "label").where(keep_share(F.lit(float(sample_per_class)) / F.col("__n"), "__id"))
-    marks = small_side(marks, "marks")
-    rows = docs.where(F.col(text_col).isNotNull() & (F.length(text_col) <= max_words * 8)).join(marks, F.col(id_col) == F.col("__id"))
-    part = F.pmod(F.xxhash64(F.lit("part"), F.col("__id")), F.lit(5)).cast("int")
-    rows = stored(rows.select("label", part.alias("part"), F.col(text_col).alias("text")).repartition(12), "toxic")
+    picked = small_side(marks.join(sizes, "label").where(keep_share(F.lit(float(sample_per_class)) / F.col("__n"), "__id")).select("__id", "label"), "marks")
+    texts = docs.where(F.col(text_col).isNotNull())
+    rows = texts.join(picked, F.col(id_col) == F.col("__id")).select("label", part("__id").alias("held"), F.col(text_col).alias("text"))
+    rows = stored(rows.repartition(12), "toxic")
     languages = language_id.train(docs, text_col, lang_col, id_col, sample_per_lang=1000)
-    shared = docs.sparkSession.sparkContext.broadcast(languages)
-    got = rows.mapInArrow(_encoder(shared), "label int, part int, lang int, words binary").toPandas()
-    got = got.iloc[np.lexsort((pd.util.hash_array(got["words"].to_numpy()), got["label"]))]  # the same net however the rows arrive
-    y, held, lang = got["label"].to_numpy(np.float32), (got["part"] == 0).to_numpy(), got["lang"].to_numpy()
-    if not len(y) or y.min() == y.max():
+    known = {(r["held"], r["label"]) for r in rows.select("held", "label").distinct().collect()}
+    if {label for _, label in known} != {0, 1}:
         return None
-    words = [np.frombuffer(b, np.int32).reshape(-1, FEATURES) for b in got["words"]]
-    use = ~held if held.any() and not held.all() and y[~held].min() != y[~held].max() else np.ones(len(y), bool)
-    net = fit([words[i] for i in np.flatnonzero(use)], y[use])
+    used = rows.where("NOT held") if {(False, 0), (False, 1)} <= known else rows
+    got = used.select("label", "text").mapInArrow(_encoded, "label int, words binary").toPandas()
+    got = got.iloc[np.lexsort((pd.util.hash_array(got["words"].to_numpy()), got["label"]))]  # the same net however the rows arrive
+    net = fit(Packed(got["words"].to_list()), got["label"].to_numpy(np.float32))
     net.languages = languages
-    z = np.concatenate([logits(net, np.concatenate(part), np.concatenate(([0], np.cumsum([len(w) for w in part])))) for part in (words[i : i + 100] for i in range(0, len(words), 100))])
-    judged = held if held.any() else use
-    overall = threshold(z[judged], y[judged])
-    net.shift = np.array([threshold(z[judged & (lang == k)], y[judged & (lang == k)], overall) for k in range(max(1, len(languages.langs)))])
+    # the part is told from the documents' ids before the join, so that other texts are not moved
+    held_marks = small_side(marks.where(part("__id")), "held")
+    held = texts.where(part(id_col)).join(held_marks, F.col(id_col) == F.col("__id")).select("label", F.col(text_col).alias("text"))
+    counts = _logit_counts(held, net)
+    if not len(counts):
+        counts = _logit_counts(used.select("label", "text"), net)
+    z, y, many, lang = counts["step"].to_numpy() / STEPS, counts["label"].to_numpy(), counts["many"].to_numpy(), counts["lang"].to_numpy()
+    overall = threshold(z, y, count=many)
+    net.shift = np.array([threshold(z[lang == k], y[lang == k], overall, count=many[lang == k]) for k in range(max(1, len(languages.langs)))])
     return net
 
 

@@ -41,3 +41,40 @@ def test_odd_rows(odd_docs, no_docs, spark):
 def test_threshold_in_the_gap():
     z, y = np.array([-3.0, -2.0, 1.0, 3.0] * 10), np.array([0, 0, 1, 1] * 10)
     assert -2 < tx.threshold(z, y) < 1
+
+
+def test_long_texts_train_and_calibrate(spark):
+    """Only long texts are toxic; their toxic words stand anywhere, and long clean ones are to be left alone."""
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 5))
+    docs, labels = [], []
+    for i in range(500):
+        words, toxic = [word() for _ in range(1800 if i % 2 else 40)], i % 4 == 1
+        if toxic:
+            words[int(rng.integers(len(words)))] = "zorgu" + "".join(rng.choice(list("klmnop"), 3))
+        docs.append((i, " ".join(words), "en"))
+        labels.append((i, int(toxic)))
+    d, y = spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    assert all(len(t) > 8000 for i, t, _ in docs if i % 2)
+    got = {r["doc_id"]: r for r in tx.op4_toxicity(d, y).collect()}
+    held = [(got[i]["predicted"], t) for i, t in labels if got[i]["held_out"]]
+    assert len(held) > 60 and np.mean([p == t for p, t in held]) >= 0.95
+
+
+def test_portions_change_no_net(monkeypatch):
+    """Gradients summed over portions of a batch equal those of the whole batch, and texts are scored alone."""
+    rng = np.random.default_rng(5)
+    y = np.array([0, 1] * 20, np.float32)
+    docs = [rng.integers(0, 1 << tx.BITS, (int(rng.integers(0, 30)), tx.FEATURES)).astype(np.int32) for _ in y]
+    whole = tx.fit(docs, y, epochs=2)
+    monkeypatch.setattr(tx, "AT_ONCE", 20)
+    parts = tx.fit(docs, y, epochs=2)
+    assert np.allclose(whole.emb, parts.emb, atol=1e-4) and np.allclose(whole.taps, parts.taps, atol=1e-4) and np.allclose(whole.out, parts.out, atol=1e-4)
+    at = np.concatenate(([0], np.cumsum([len(d) for d in docs])))
+    alone = [tx.logits(whole, d, np.array([0, len(d)]))[0] for d in docs]
+    assert np.allclose(tx.logits(whole, np.concatenate(docs), at), alone, atol=1e-5)
+
+
+def test_threshold_of_counts():
+    z, y, count = np.array([-3.0, -2.0, 1.0, 1.0, 3.0]), np.array([0, 0, 0, 1, 1]), np.array([40, 5, 2, 9, 20])
+    assert tx.threshold(z, y, count=count) == tx.threshold(np.repeat(z, count), np.repeat(y, count)) == -0.5
