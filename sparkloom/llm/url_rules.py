@@ -17,7 +17,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_share, stored
+from .common import stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 AFTER = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -59,28 +59,28 @@ def basket(url: Column, host: Column, path: Column) -> Column:
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_sort(F.array_distinct(F.concat(scheme, parents, parts, keys))))
 
 
-def mine(baskets: DataFrame, min_support: float = 0.002, min_confidence: float = 0.5, min_count: int = 20, sample: int = 200_000, longest: int = 4) -> DataFrame:
+def mine(baskets: DataFrame, min_confidence: float = 0.5, min_count: int = 20) -> DataFrame:
     """(rule_id, tokens, confidence, support) from rows of (items, blocked boolean).
 
-    FP-growth is fitted on a sample bounded by `sample` baskets in expectation, picked by a hash of their row's key.
+    FP-growth is fitted on all baskets; a rule of any length counts if `min_count` blocked baskets hold it.
     """
-    rows = baskets.where(F.size("items") > 0)
-    n = rows.count()
-    rows = stored(rows.where(keep_share(F.lit(sample / max(n, 1)), "key")).select("items", "blocked"), "baskets")
+    rows = stored(baskets.where(F.size("items") > 0).select("items", "blocked"), "baskets")
     spark, n = baskets.sparkSession, rows.count()
     rule_schema = "rule_id long, tokens array<string>, confidence double, support double"
     if not n:
         return spark.createDataFrame([], rule_schema)
     items = rows.select(F.when(F.col("blocked"), F.concat("items", F.array(F.lit(BLOCKED)))).otherwise(F.col("items")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_count / n), minConfidence=min_confidence).fit(items)
-    found = model.associationRules.where((F.col("consequent") == F.array(F.lit(BLOCKED))) & (F.size("antecedent") <= longest))
+    model = FPGrowth(itemsCol="items", minSupport=(min_count - 0.5) / n, minConfidence=min_confidence).fit(items)
+    found = model.associationRules.where((F.col("consequent") == F.array(F.lit(BLOCKED))))
     found = found.select(F.xxhash64(F.array_sort("antecedent")).alias("rule_id"), F.array_sort("antecedent").alias("tokens"), "confidence", "support")
     found = stored(found, "rules")
-    # a rule goes if a shorter one, made of some of its tokens, is as confident: met through their shared tokens
-    a = found.select("rule_id", F.size("tokens").alias("size"), "confidence", F.explode("tokens").alias("token")).alias("a")
-    b = found.select("rule_id", F.size("tokens").alias("size"), "confidence", F.explode("tokens").alias("token")).alias("b")
+    # a rule goes if a shorter one, made of some of its tokens, is as confident: met through the shorter one's rarest token
+    tokens = found.select("rule_id", F.size("tokens").alias("size"), "confidence", "tokens", F.explode("tokens").alias("token"))
+    often = tokens.groupBy("token").agg(F.count("*").alias("often"))
+    a = tokens.join(often, "token").groupBy("rule_id").agg(F.min(F.struct("often", "token")).getField("token").alias("token"), F.first("size").alias("size"), F.first("confidence").alias("confidence"), F.first("tokens").alias("tokens")).alias("a")
+    b = found.select("rule_id", F.size("tokens").alias("size"), "confidence", "tokens", F.explode("tokens").alias("token")).alias("b")
     inside = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.size") < F.col("b.size")) & (F.col("a.confidence") >= F.col("b.confidence")))
-    worse = inside.groupBy("a.rule_id", "b.rule_id", "a.size").agg(F.count("*").alias("n")).where(F.col("n") == F.col("size")).select(F.col("b.rule_id").alias("rule_id")).distinct()
+    worse = inside.where(F.size(F.array_except("a.tokens", "b.tokens")) == 0).select(F.col("b.rule_id").alias("rule_id")).distinct()
     return found.join(worse, "rule_id", "left_anti")
 
 

@@ -36,6 +36,24 @@ def test_mined_rules(spark):
     assert all((got[i] == "block") == bool(t) for i, _, t in rows)
 
 
+def test_long_rules(spark):
+    """Only five tokens together are bad: pages that lack one of them are good, and as many."""
+    parts = ["a", "b", "c", "d", "e"]
+    urls = [("/".join(parts), 1)] * 60 + [("/".join(p for p in parts if p != gone), 0) for gone in parts for _ in range(60)]
+    pages = spark.createDataFrame([(i, f"https://site.com/{u}") for i, (u, _) in enumerate(urls)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1, t) for i, (_, t) in enumerate(urls)], "doc_id long, quality int, toxic int")
+    got = {r["page_id"]: r["verdict"] for r in ur.judge(pages, ur.mine(ur.labelled_baskets(pages, labels), min_confidence=0.9)).collect()}
+    assert all((got[i] == "block") == bool(t) for i, (_, t) in enumerate(urls))
+
+
+def test_rare_host_of_many_pages(spark):
+    """A host with 30 of 30,000 pages, all bad, is a rule."""
+    pages = spark.range(30_000).select(F.col("id").alias("page_id"), F.when(F.col("id") % 1000 == 0, "https://spam.com/x").otherwise("https://good.com/x").alias("url"))
+    labels = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), (F.col("id") % 1000 == 0).cast("int").alias("toxic"))
+    found = {tuple(r["tokens"]): r["confidence"] for r in ur.mine(ur.labelled_baskets(pages, labels)).collect()}
+    assert found == {("h=spam.com",): 1.0}
+
+
 def test_every_page_once(spark, data, labels):
     pages = spark.read.parquet(f"{data}/pages.parquet")
     got = ur.op9_url_rules(pages, labels)
