@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 from sparkloom.llm import bpe, language_id, mixing, ngram_join, toxicity
 from sparkloom.llm.common import remainder, small_side, stored, tables
 
-#: Least share of the main language in a text that stays.
-LEAST_SHARE = 0.5
-
 
 def _judged(docs: DataFrame, judge: Callable[..., DataFrame], condition: Column) -> DataFrame:
     """The rows of docs that meet a condition on the judge's columns; docs may have columns of any name."""
@@ -27,9 +24,9 @@ def _judged(docs: DataFrame, judge: Callable[..., DataFrame], condition: Column)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a language, and those whose main language has less than half of the text."""
+    """Drops texts without a language; texts in several languages stay, whatever the main one's share."""
     model = language_id.train(docs.where(remainder("doc_id", 3) != 1))
-    return _judged(docs, lambda d, **k: language_id.identify(d, model, **k), (F.col("lang_pred") != language_id.UND) & (F.col("score") >= LEAST_SHARE))
+    return _judged(docs, lambda d, **k: language_id.identify(d, model, **k), F.col("lang_pred") != language_id.UND)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

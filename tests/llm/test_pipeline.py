@@ -37,6 +37,15 @@ def test_odd_rows(spark, odd_docs, data):
     assert [name for name, _ in cp.STAGES][0] == "language ID" and re.search("BPE", cp.STAGES[-1][0])
 
 
+def test_mixed_texts_stay(spark, docs, data):
+    """A clean text of several languages, none with half of its words, has a language and stays."""
+    lead = {r["lang"]: r["text"] for r in docs.where("lang IS NOT NULL AND length(text) > 1500").groupBy("lang").agg(F.min("text").alias("text")).collect()}
+    assert len(lead) >= 3
+    parts = [" ".join(t.split()[:n]) for t, n in zip([lead[k] for k in sorted(lead)], (50, 50, 50, 50), strict=False)]
+    extra = docs.limit(1).withColumn("doc_id", F.lit(10**9).cast(docs.schema["doc_id"].dataType)).withColumn("text", F.lit(" ".join(parts)))
+    assert cp.language(spark, docs.unionByName(extra), data).where(f"doc_id = {10**9}").count() == 1
+
+
 def test_empty(spark, no_docs, data):
     for _, stage in cp.STAGES:
         assert stage(spark, no_docs, data).count() == 0
