@@ -1,7 +1,8 @@
 """Byte-level BPE encoding and decoding through a distinct-word table.
 
 Words are split in Spark, each distinct word is encoded once by the tokenizer, and its ids return to the places the
-word stands at. Ids become text again by a join with the id-to-piece table, which has a row per vocabulary entry.
+word stands at. The query and the pipeline turn ids into bytes by a lookup in a broadcast id-to-piece list, which takes the
+place of a join with the id-to-piece table; only `decode`, which neither of them calls, makes that join.
 
 Defined cases: a null text is an empty one, with no tokens and the digest of nothing; the special token's string is
 one token, as the tokenizer reads it; a document is handled whole, whatever its length; repeated rows and null ids
