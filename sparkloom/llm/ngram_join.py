@@ -14,16 +14,19 @@ prefix's tokens, which is more than a similar pair allows.
 Groups are a hash of the token, their number set by the power of two below the set's size, so that the pairs stay in
 proportion to the set. A set emits keys at each level that a partner's size can have; partners share a level.
 
-Candidates come in rounds. In the first ones each posting list compares its members with one of them, the one most
-lists have or the first in a hash order; what verification confirms becomes components, and lists whose members all
-lie in one component are done. At last every pair of a list that lies in two components is verified, unless sizes or
-parity sketches rule it out, both for certain. So no link between different components is lost.
+The posting lists of one hub, the member that most lists have, are one neighbourhood: its members meet once, whatever
+number of lists they share. Neighbourhoods of more than `block` members are cut into blocks by hash. Sizes and parity
+sketches rule pairs out, both for certain. Two rounds verify a spanning forest of each block's remaining pairs, the
+closest ones first, with blocks cut anew; what they confirm becomes components. At last all remaining pairs of a
+neighbourhood that lie in two components are verified, block against block, so no link between components is lost.
 
-Tokens are compared as 64-bit hashes in keys, as 40-bit hashes within a pair's verification.
+Tokens are compared as 64-bit hashes, sets by 126 bits. Index keys and the classes in posting lists are cut to as many
+bits as the corpus needs: a clash adds a pair that verification refuses.
 
 Defined cases: null texts and texts without a word have an empty set, size 0, link with nothing and are their own
 component; with fewer than five words the whole sequence is the one shingle; a null id takes its class's smallest id,
-and stays null without one; repeated rows are members of the same class; an empty table gives an empty result.
+and stays null without one; repeated rows are members of the same class; an empty table gives an empty result; columns
+of any other name and type are ignored.
 """
 
 from __future__ import annotations
@@ -34,17 +37,15 @@ from math import ceil, floor, log2
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, joined_bytes, mixed, run_hashes, runs, slices, small_side, stored
+from .common import LOWER, SPACE, bounded_batches, joined_bytes, mixed, run_hashes, runs, slices, small_side, stored
 from .components import components
 from .word_table import partitions_for
 
 SHINGLE = 5
-SKETCH_BITS = 2048
 _ODD = mixed(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -71,12 +72,14 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def signature(tokens: np.ndarray) -> int:
-    """A 63-bit hash of the set: the class id. 0 is the empty set's."""
+def signature(tokens: np.ndarray) -> tuple[int, int]:
+    """Two 63-bit hashes of the set, which tell classes apart. (0, 0) is the empty set's."""
     if not len(tokens):
-        return 0
-    total = mixed(np.array([mixed(tokens).sum(), np.bitwise_xor.reduce(mixed(tokens ^ np.uint64(0x5BF03635F0935AD1))) + np.uint64(len(tokens))], dtype=np.uint64))
-    return int(mixed(total[:1] * np.uint64(3) + total[1:])[0] >> np.uint64(1)) or 1
+        return 0, 0
+    one, two = mixed(tokens), mixed(tokens ^ np.uint64(0x5BF03635F0935AD1))
+    total = mixed(np.array([one.sum(), np.bitwise_xor.reduce(one) + np.uint64(len(tokens)), two.sum(), np.bitwise_xor.reduce(two)], dtype=np.uint64))
+    both = mixed(total[::2] * np.uint64(3) + total[1::2]) >> np.uint64(1)
+    return int(both[0]) or 1, int(both[1]) or 1
 
 
 def allowance(size: np.ndarray | int, percent: int):
@@ -140,23 +143,42 @@ def _longs(x) -> pa.Array:
     return pa.array(np.asarray(x).astype(np.int64), pa.int64())
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """Parity bits: how many tokens fall to each of sketch_bits(n) places, odd or even.
+
+    Sets that differ in d tokens have sketches that differ in d bits at most, so a larger difference rules a pair out
+    for certain. The halves of a sketch, added bit by bit, are the sketch of half as many bits.
+    """
+    bits = sketch_bits(len(tokens))
+    return np.packbits(np.bincount(((tokens >> np.uint64(30)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def sketch_bits(n: int) -> int:
+    """Two to four bits a token; sizes that can be similar differ by a factor of two in it at most."""
+    return max(128, min(1 << 20, 2 << (max(1, n) - 1).bit_length()))
+
+
 def sizes_and_classes(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """(doc_id, text_hash, n, cls) of every row."""
+    """(doc_id, text_hash, n, s1, s2, sketch) of every row; a task sends a class's sketch once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = {(0, 0)}
         for batch in batches:
             sets = shingle_sets(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), _longs([len(s) for s in sets]), _longs([signature(s) for s in sets])], ["doc_id", "text_hash", "n", "cls"])
+            marks = [signature(s) for s in sets]
+            sketches = [sketch(s) if m not in seen and seen.add(m) is None else None for s, m in zip(sets, marks, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), _longs([len(s) for s in sets]), _longs([m[0] for m in marks]), _longs([m[1] for m in marks]), pa.array(sketches, pa.binary())], ["doc_id", "text_hash", "n", "s1", "s2", "sketch"])
 
     text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, "doc_id long, text_hash long, n long, cls long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, "doc_id long, text_hash long, n long, s1 long, s2 long, sketch binary")
 
 
 def frequent_tokens(docs: DataFrame, text_col: str, total: int, most: int, least_df: int = 8) -> tuple[np.ndarray, np.ndarray, int]:
     """(sorted token values, their frequency class, shift): the tokens in most documents, at most `most` of them.
 
-    Counted over all documents, on hashes cut to log2(total) + 9 bits: each task sends, for each range of hashes, its
-    distinct values and counts as one packed row. A cut hash can only make a token look more frequent than it is.
+    Counted over all documents, a task's equal sets once, on hashes cut to log2(total) + 9 bits: each task sends, for
+    each range of hashes, its distinct values and counts as one packed row. A cut hash can only make a token look more
+    frequent than it is.
     """
     bits = min(62, ceil(log2(max(total, 2))) + 9)
     shift, n_ranges = 64 - bits, partitions_for(total, 2_000_000)
@@ -170,11 +192,14 @@ def frequent_tokens(docs: DataFrame, text_col: str, total: int, most: int, least
             rows = [(i, packed(values[a:b]), zstandard.ZstdCompressor(level=1).compress(n[a:b].astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes())) for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["part", "tokens", "counts"])
 
-        held, size = [], 0
+        held, size, seen = [], 0, set()
         for batch in batches:
-            sets = shingle_sets(batch.column("text"))
-            held += sets
-            size += sum(map(len, sets))
+            for s in shingle_sets(batch.column("text")):
+                mark = signature(s)
+                if mark not in seen:
+                    seen.add(mark)
+                    held.append(s)
+                    size += len(s)
             if size > 8_000_000:
                 yield flush(held)
                 held, size = [], 0
@@ -221,175 +246,260 @@ def classes_of(tokens: np.ndarray, frequent: np.ndarray, level: np.ndarray, near
     return out
 
 
-def postings(docs: DataFrame, text_col: str, frequent: tuple[np.ndarray, np.ndarray, int], percent: int) -> DataFrame:
-    """(key, cls, n): the index; a task posts each class once."""
+def posting_lists(docs: DataFrame, text_col: str, frequent: tuple[np.ndarray, np.ndarray, int], percent: int, total: int, id_bits: int) -> DataFrame:
+    """(list, id): posting lists of two or more members, equal lists of a part once. `id` is s1 cut to id_bits.
+
+    A task posts each class once and sends, for each range of keys, one packed row of its sorted keys and their ids.
+    """
+    bits = min(63, ceil(log2(max(total, 2))) + 10)
+    parts = partitions_for(total / 4, 750_000)
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, level, shift = shared.value
+        bounds = np.array([(i << bits) // parts for i in range(parts + 1)], dtype=np.uint64)
         near = np.zeros(1 << 24, bool)
         near[(tokens & np.uint64(len(near) - 1)).astype(np.int64)] = True
-        seen: set[int] = set()
+
+        def flush(keys: list[np.ndarray], ids: list[int]) -> pa.RecordBatch:
+            key, own = np.concatenate(keys), np.repeat(np.array(ids, np.uint64), [len(k) for k in keys])
+            order = np.argsort(key, kind="stable")
+            key, own = key[order], own[order]
+            cut = np.searchsorted(key, bounds)
+            rows = [(i, packed(key[a:b]), zstandard.ZstdCompressor(level=1).compress(own[a:b].view(np.uint8).reshape(-1, 8).T.tobytes())) for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["part", "keys", "ids"])
+
+        seen: set[tuple[int, int]] = {(0, 0)}
+        keys, ids, size = [], [], 0
         for batch in batches:
-            keys, classes, sizes = [], [], []
             for s in shingle_sets(batch.column("text")):
-                cls = signature(s)
-                if cls in seen or not len(s):
+                mark = signature(s)
+                if mark in seen:
                     continue
-                seen.add(cls)
-                k = prefix_keys(s, classes_of(s, tokens, level, near, shift), percent)
-                keys.append(k)
-                classes.append(cls)
-                sizes.append(len(s))
-            n = [len(k) for k in keys]
-            if sum(n):
-                yield pa.RecordBatch.from_arrays([_longs(np.concatenate(keys).view(np.int64)), _longs(np.repeat(classes, n)), pa.array(np.repeat(sizes, n).astype(np.int32))], ["key", "cls", "n"])
-
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "key long, cls long, n int")
-
-
-def lists(posted: DataFrame, parts: int) -> DataFrame:
-    """(list, cls, n): posting lists of two or more classes, equal lists of a partition once, members by size."""
+                seen.add(mark)
+                keys.append(prefix_keys(s, classes_of(s, tokens, level, near, shift), percent) >> np.uint64(64 - bits))
+                ids.append(mark[0] >> (63 - id_bits))
+                size += len(keys[-1])
+            if size > 4_000_000:
+                yield flush(keys, ids)
+                keys, ids, size = [], [], 0
+        if size:
+            yield flush(keys, ids)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        key, cls, n = (np.concatenate([np.asarray(b.column(c)) for b in got]) for c in ("key", "cls", "n"))
+    def merge(group: tuple, rows: pa.Table) -> pa.Table:
+        key = np.concatenate([unpacked(b.as_py()) for b in rows["keys"]])
+        own = np.concatenate([np.frombuffer(zstandard.ZstdDecompressor().decompress(b.as_py()), np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel() for b in rows["ids"]])
         order = np.argsort(key, kind="stable")
         first = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
         length = np.diff(np.append(first, len(order)))
         order = order[np.repeat(length > 1, length)]  # most keys have one member
-        key, cls, n = key[order], cls[order], n[order]
-        order = np.lexsort((cls, n, key))
-        key, cls, n = key[order], cls[order], n[order]
-        fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (cls[1:] != cls[:-1]))) if len(key) else np.zeros(0, bool)
-        key, cls, n = key[fresh], cls[fresh], n[fresh]
+        key, own = key[order], own[order]
+        order = np.lexsort((own, key))
+        key, own = key[order], own[order]
+        fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (own[1:] != own[:-1]))) if len(key) else np.zeros(0, bool)
+        key, own = key[fresh], own[fresh]
         if not len(key):
-            return
+            return pa.table({"list": pa.array([], pa.int64()), "id": pa.array([], pa.int64())})
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         length = np.diff(np.append(first, len(key)))
         place = (np.arange(len(key)) - np.repeat(first, length)).astype(np.uint64)
-        name = mixed(np.add.reduceat(mixed(cls.astype(np.uint64) + place * np.uint64(0x9E3779B97F4A7C15)), first))
+        name = mixed(np.add.reduceat(mixed(own + place * np.uint64(0x9E3779B97F4A7C15)), first))
         _, once = np.unique(name, return_index=True)
         use = np.zeros(len(first), bool)
         use[once] = True
         use &= length > 1
-        rows = np.repeat(use, length)
-        yield pa.RecordBatch.from_arrays([_longs(np.repeat(name[use], length[use]).view(np.int64)), _longs(cls[rows]), pa.array(n[rows], pa.int32())], ["list", "cls", "n"])
-
-    return posted.repartition(parts, "key").mapInArrow(run, "list long, cls long, n int")
-
-
-def sketch(tokens: np.ndarray) -> bytes:
-    """Parity bits: how many tokens fall to each of SKETCH_BITS places, odd or even.
-
-    Sets that differ in d tokens have sketches that differ in d bits at most, so a larger difference rules a pair out
-    for certain.
-    """
-    return np.packbits(np.bincount((tokens >> np.uint64(30)).astype(np.int64) & (SKETCH_BITS - 1), minlength=SKETCH_BITS).astype(np.uint8) & 1).tobytes()
-
-
-def star_pairs(rows: pa.Table, percent: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each list's members with one of them, where in another component: the member that most lists have (seed 0), or
-    the first in a hash order. Overlapping lists mostly agree on it, so that members meet few different ones."""
-    name, cls, n, deg = (np.asarray(rows[c]) for c in ("list", "cls", "n", "deg"))
-    own = np.asarray(rows["comp"]) if "comp" in rows.column_names else cls
-    order = np.lexsort((mixed(cls.astype(np.uint64) + np.uint64(seed)), -deg if seed == 0 else np.zeros(len(deg), np.int64), name))
-    name, cls, n, own = name[order], cls[order], n[order].astype(np.int64), own[order]
-    first = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1])))
-    centre = np.repeat(first, np.diff(np.append(first, len(name))))
-    ok = (own != own[centre]) & (n * 100 >= n[centre] * percent) & (n[centre] * 100 >= n * percent)
-    return cls[ok], cls[centre[ok]]
-
-
-def cross_pairs(rows: pa.Table, percent: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of a list in different components that sizes and sketches allow. Rows with a sketch are the task's
-    dictionary of classes, the others its lists."""
-    given = rows.filter(pc.is_valid(rows["sketch"]))
-    known, once = np.unique(np.asarray(given["cls"]), return_index=True)
-    planes = np.frombuffer(b"".join(given["sketch"].take(pa.array(once)).to_pylist()), np.uint64).reshape(len(known), -1)
-    rows = rows.filter(pc.is_null(rows["sketch"]))
-    name, cls, n, own = (np.asarray(rows[c]) for c in ("list", "cls", "n", "comp"))
-    order = np.lexsort((cls, n, name))
-    name, cls, n, own = name[order], cls[order], n[order].astype(np.int64), own[order]
-    at = np.searchsorted(known, cls)
-    first = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1])))
-    left, right = [], []
-    for f, m in zip(first.tolist(), np.diff(np.append(first, len(name))).tolist(), strict=True):
-        sizes, comp, p = n[f : f + m], own[f : f + m], planes[at[f : f + m]]
-        upto = np.searchsorted(sizes, sizes * 100 // percent, side="right")
-        for i in range(m - 1):
-            j = np.flatnonzero(comp[i + 1 : upto[i]] != comp[i]) + i + 1
-            if len(j):
-                differ = np.bitwise_count(p[j] ^ p[i]).sum(axis=1)
-                j = j[differ.astype(np.int64) * (100 + percent) <= (sizes[j] + sizes[i]) * (100 - percent)]
-                left.append(np.full(len(j), f + i))
-                right.append(f + j)
-    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-    return cls[a], cls[b]
-
-
-def candidates(listed: DataFrame, parts: int, percent: int, pairs_of, seed: int = 0, by: str = "list") -> DataFrame:
-    """Distinct (a, b), a < b, of classes to verify."""
+        return pa.table({"list": _longs(np.repeat(name[use], length[use]).view(np.int64)), "id": _longs(own[np.repeat(use, length)])})
+
+    posted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(post, "part int, keys binary, ids binary")
+    return posted.groupBy("part").applyInArrow(merge, "list long, id long")
+
+
+class Sketches:
+    """The sketches of a block's members, given in order of size; `apart` compares one with those after it."""
+
+    def __init__(self, blobs: list[bytes]):
+        self.bits = np.array([8 * len(b) for b in blobs])
+        self.planes: dict[int, tuple[int, np.ndarray]] = {}
+        for bits in np.unique(self.bits).tolist():
+            first, end = np.searchsorted(self.bits, (bits, 2 * bits + 1)).tolist()
+            rows = np.empty((end - first, bits // 64), np.uint64)
+            for i in range(first, end):
+                own = np.frombuffer(blobs[i], np.uint64)
+                rows[i - first] = own if len(own) == rows.shape[1] else own[: len(own) // 2] ^ own[len(own) // 2 :]
+            self.planes[bits] = first, rows
+
+    def apart(self, i: int, upto: int) -> np.ndarray:
+        """In how many bits the sketches of i + 1 to upto - 1 differ from that of i, of the coarser one's bits."""
+        first, rows = self.planes[int(self.bits[i])]
+        return np.bitwise_count(rows[i + 1 - first : upto - first] ^ rows[i - first]).sum(axis=1).astype(np.int64)
+
+
+def possible_pairs(n: np.ndarray, comp: np.ndarray, side: np.ndarray, blobs: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, apart): pairs of a block's rows, given in order of size, in different components that sizes and sketches
+    allow; with sides 1 and 2 only pairs between them."""
+    sketches, left, right, by = Sketches(blobs), [], [], []
+    upto = np.searchsorted(n, n * 100 // percent, side="right")
+    for i in range(len(n) - 1):
+        here = slice(i + 1, upto[i])
+        ok = comp[here] != comp[i]
+        if side[i]:
+            ok &= side[here] != side[i]
+        if not ok.any():
+            continue
+        apart = sketches.apart(i, int(upto[i]))
+        j = np.flatnonzero(ok & (apart * (100 + percent) <= (n[here] + n[i]) * (100 - percent)))
+        if len(j):
+            left.append(np.full(len(j), i))
+            right.append(j + i + 1)
+            by.append(apart[j])
+    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right, by))
+
+
+def closest_forest(a: np.ndarray, b: np.ndarray, apart: np.ndarray, comp: np.ndarray) -> np.ndarray:
+    """Which of the pairs make a spanning forest of the components, the closest pairs first."""
+    order = np.argsort(apart, kind="stable")
+    a, b = a[order], b[order]
+    _, own = np.unique(comp, return_inverse=True)
+    taken = np.zeros(len(a), bool)
+    while True:
+        at = np.flatnonzero(own[a] != own[b])
+        if not len(at):
+            return order[taken]
+        best = np.full(len(comp), len(a))
+        np.minimum.at(best, own[a[at]], at)
+        np.minimum.at(best, own[b[at]], at)
+        best = np.unique(best[best < len(a)])
+        taken[best] = True
+        x, y = own[a[best]], own[b[best]]
+        low = np.arange(len(comp))
+        while True:  # the smallest number that each component is now linked with
+            least = np.minimum(low[x], low[y])
+            new = low.copy()
+            np.minimum.at(new, x, least)
+            np.minimum.at(new, y, least)
+            new = new[new]
+            if (new == low).all():
+                break
+            low = new
+        own = low[own]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each bucket; the rows come sorted by bucket."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        bucket = np.asarray(batch.column("bucket"))
+        cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a == b:
+                continue
+            if held and held[-1].column("bucket")[0].as_py() != bucket[a]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def candidates(dealt: DataFrame, sketches: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """(a, b, bucket) of classes to verify, each pair once, from rows (bucket, side, cls, n, comp): all possible pairs
+    of a bucket, or a spanning forest of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if got:
-            a, b = pairs_of(pa.Table.from_batches(got), percent, seed)
-            pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-            pair = pair[pair[:, 0] < pair[:, 1]]
-            yield pa.RecordBatch.from_arrays([_longs(pair[:, 0]), _longs(pair[:, 1])], ["a", "b"])
-
-    return listed.repartition(parts, by).mapInArrow(run, "a long, b long").distinct()
+        for table in _blocks(batches):
+            cls, once = np.unique(np.asarray(table["cls"]), return_index=True)
+            n, comp, side = (np.asarray(table[c])[once].astype(np.int64) for c in ("n", "comp", "side"))
+            order = np.argsort(n, kind="stable")
+            cls, n, comp, side = cls[order], n[order], comp[order], side[order]
+            a, b, apart = possible_pairs(n, comp, side, table["sketch"].take(pa.array(once[order])).to_pylist(), percent)
+            if forest and len(a):
+                use = closest_forest(a, b, apart / (n[a] + n[b]), comp)
+                a, b = a[use], b[use]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([_longs(np.minimum(cls[a], cls[b])), _longs(np.maximum(cls[a], cls[b])), _longs(np.full(len(a), table["bucket"][0].as_py()))], ["a", "b", "bucket"])
+
+    rows = dealt.join(sketches, "cls").select("bucket", "side", "cls", "n", "comp", "sketch")
+    rows = rows.repartition(partitions_for(dealt.count(), 100_000), "bucket").sortWithinPartitions("bucket")
+    return rows.mapInArrow(run, "a long, b long, bucket long").groupBy("a", "b").agg(F.min("bucket").alias("bucket"))
+
+
+def neighbourhoods(placed: DataFrame) -> DataFrame:
+    """(part, cls, n, comp): the classes of all lists that have the same most connected member, once each."""
+    hubs = placed.groupBy("list").agg(F.max(F.struct("deg", "cls")).alias("hub")).select("list", F.col("hub.cls").alias("part"))
+    return placed.join(hubs, "list").select("part", "cls", "n", "comp").distinct()
 
 
-def with_sketches(placed: DataFrame, sets: DataFrame) -> DataFrame:
-    """The lists, dealt by their most connected member so that overlapping lists meet, and each class's sketch once
-    wherever it is needed."""
-    hubs = placed.groupBy("list").agg(F.max(F.struct("deg", "cls")).alias("hub")).select("list", F.col("hub.cls").alias("part"))
-    rows = placed.join(hubs, "list").select("part", "list", "cls", "n", "comp", F.lit(None).cast("binary").alias("sketch"))
-    need = rows.select("part", "cls").distinct().join(sets.select("cls", "sketch"), "cls")
-    return rows.unionByName(need.select("part", F.lit(0).cast("long").alias("list"), "cls", F.lit(0).alias("n"), F.lit(0).cast("long").alias("comp"), "sketch"))
+def cut_anew(near: DataFrame, large: DataFrame, block: int, seed: int) -> DataFrame:
+    """(bucket, side, cls, n, comp): neighbourhoods cut into blocks by a hash, with the hub in each of them."""
+    rows = near.join(large, "part", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("m") / block), F.lit(1)).cast("int"))
+    own = F.pmod(F.xxhash64(F.lit(seed), "cls"), F.col("blocks")).cast("int")
+    at = F.when(F.col("cls") == F.col("part"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
+    return rows.withColumn("at", F.explode(at)).select(F.xxhash64("part", "at").alias("bucket"), F.lit(0).alias("side"), "cls", "n", "comp")
 
 
-def class_sets(docs: DataFrame, members: DataFrame, wanted: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """(cls, tokens, sketch) of the classes in `wanted`, from one document each; 40 bits of each token, packed.
+def block_against_block(near: DataFrame, large: DataFrame, block: int) -> DataFrame:
+    """(bucket, side, cls, n, comp): every pair of a neighbourhood's classes in different components shares a bucket.
 
-    The ids of those documents are broadcast if they are few enough, else the documents meet them in a shuffle. A
-    repeated id may bring a class twice or one that isn't wanted.
+    Of a large neighbourhood, the members of the component that has most of them need to meet only the others.
+    """
+    most = near.join(large, "part", "left_semi").groupBy("part", "comp").agg(F.count("*").alias("k")).groupBy("part").agg(F.max(F.struct("k", "comp")).alias("most"))
+    stats = small_side(large.join(most, "part").select("part", F.col("most.comp").alias("main"), F.ceil(F.col("most.k") / block).cast("int").alias("mains"), F.ceil((F.col("m") - F.col("most.k")) / block).cast("int").alias("others")), "large")
+    rows = near.join(stats, "part", "left")
+    small = rows.where("main IS NULL").select(F.xxhash64("part").alias("bucket"), F.lit(0).alias("side"), "cls", "n", "comp")
+    hashed = lambda n: F.pmod(F.xxhash64(F.lit("block"), "cls"), F.greatest(F.col(n), F.lit(1))).cast("int")
+    upto = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+    inside, outside = rows.where("comp = main").withColumn("own", hashed("mains")), rows.where("comp <> main").withColumn("own", hashed("others"))
+    out = ("cls", "n", "comp")
+    crossed = inside.withColumn("at", F.explode(upto("others"))).select(F.xxhash64("part", F.lit("x"), "own", "at").alias("bucket"), F.lit(1).alias("side"), *out)
+    crossing = outside.withColumn("at", F.explode(upto("mains"))).select(F.xxhash64("part", F.lit("x"), "at", "own").alias("bucket"), F.lit(2).alias("side"), *out)
+    among = outside.withColumn("at", F.explode(upto("others"))).select(F.xxhash64("part", F.lit("y"), F.least("own", "at"), F.greatest("own", "at")).alias("bucket"), F.when(F.col("own") == F.col("at"), 0).when(F.col("own") < F.col("at"), 1).otherwise(2).alias("side"), *out)
+    return small.unionByName(crossed).unionByName(crossing).unionByName(among)
+
+
+def class_sets(docs: DataFrame, wanted: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """(s1, s2, tokens) of the classes in `wanted` (low, text_hash), from one document each, packed.
+
+    The keys of those documents are broadcast if they are few enough, else the documents meet them in a shuffle. A
+    repeated id may bring a class that isn't wanted; a task sends each class once.
     """
-    reps = members.join(wanted, "cls").groupBy("cls").agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL").select("rep").distinct()
-    reps = small_side(reps, "reps", 1_000_000)
     text = F.col(text_col).cast("string")
-    with_id = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("rep"), text.alias("text")).join(reps, "rep", "left_semi").select("text")
+    given = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).where(F.col("text").isNotNull())
+    named = small_side(wanted.where("low IS NOT NULL").select(F.col("low").alias("id")).distinct(), "reps", 1_000_000)
     # classes all of whose rows have no id are found by their text
-    nameless = members.join(wanted, "cls").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("text_hash").alias("text_hash")).where("rep IS NULL").select("text_hash")
-    nameless = small_side(nameless, "nameless", 1_000_000)
-    without = docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNull()).select(F.xxhash64(text).alias("text_hash"), text.alias("text")).join(nameless, "text_hash", "left_semi").select("text")
+    nameless = small_side(wanted.where("low IS NULL").select("text_hash").distinct(), "nameless", 1_000_000)
+    without = given.where(F.col("id").isNull()).withColumn("text_hash", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = {(0, 0)}
         for batch in batches:
-            sets = shingle_sets(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([_longs([signature(s) for s in sets]), pa.array([packed(np.sort(s >> np.uint64(24))) for s in sets], pa.binary()), pa.array([sketch(s) for s in sets], pa.binary())], ["cls", "tokens", "sketch"])
-
-    return with_id.unionByName(without).mapInArrow(run, "cls long, tokens binary, sketch binary")
-
-
-def verified(pairs: DataFrame, sets: DataFrame, parts: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link. Classes are dealt to blocks by hash; a block pair gets each of its sets once."""
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(parts))
-    pairs = pairs.withColumn("block", F.xxhash64(F.least(block("a"), block("b")), F.greatest(block("a"), block("b"))))
-    need = pairs.select("block", F.col("a").alias("cls")).union(pairs.select("block", "b")).distinct()
-    shipped = need.join(sets.select("cls", "tokens"), "cls").select("block", F.col("cls").alias("a"), F.lit(0).cast("long").alias("b"), "tokens")
-    rows = shipped.unionByName(pairs.withColumn("tokens", F.lit(None).cast("binary")))
+            rows = []
+            for s in shingle_sets(batch.column("text")):
+                mark = signature(s)
+                if mark not in seen:
+                    seen.add(mark)
+                    rows.append((*mark, packed(s)))
+            yield pa.RecordBatch.from_arrays([_longs([r[0] for r in rows]), _longs([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.binary())], ["s1", "s2", "tokens"])
+
+    found = given.join(named, "id", "left_semi").select("text").unionByName(without.join(nameless, "text_hash", "left_semi").select("text"))
+    return found.mapInArrow(run, "s1 long, s2 long, tokens binary")
+
+
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text_col: str, id_col: str, percent: int) -> DataFrame:
+    """The pairs (a, b, bucket) that link; a bucket gets each of its sets once, before its pairs."""
+    need = pairs.select("bucket", F.col("a").alias("cls")).union(pairs.select("bucket", "b")).distinct()
+    need = stored(need.join(classes.select("cls", "s1", "s2", "low", "text_hash"), "cls"), "need")
+    n = need.count()
+    sets = class_sets(docs, need.select("low", "text_hash").distinct(), text_col, id_col)
+    slim = need.select("bucket", "cls", "s1", "s2")
+    shipped = sets.join(F.broadcast(slim) if n <= 1_000_000 else slim, ["s1", "s2"]).select("bucket", F.col("cls").alias("a"), F.lit(0).cast("long").alias("b"), "tokens")
+    rows = shipped.unionByName(pairs.select("bucket", "a", "b", F.lit(None).cast("binary").alias("tokens")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
-        at, left, right = None, [], []
-        for batch in batches:  # in order of block, its sets before its pairs
-            cols = [batch.column(c).to_pylist() for c in ("block", "a", "b", "tokens")]
-            for where, a, b, tokens in zip(*cols, strict=True):
+        at = None
+        for batch in batches:
+            left, right = [], []
+            for where, a, b, tokens in zip(*(batch.column(c).to_pylist() for c in ("bucket", "a", "b", "tokens")), strict=True):
                 if where != at:
                     at, held = where, {}
                 if tokens is not None:
@@ -401,50 +511,57 @@ def verified(pairs: DataFrame, sets: DataFrame, parts: int, percent: int) -> Dat
                     left.append(a)
                     right.append(b)
             yield pa.RecordBatch.from_arrays([_longs(left), _longs(right)], ["a", "b"])
-            left, right = [], []
 
-    return rows.repartition(parts, "block").sortWithinPartitions("block", F.col("tokens").isNull()).select("block", "a", "b", "tokens").mapInArrow(run, "a long, b long")
+    dealt = rows.repartition(partitions_for(n, 10_000), "bucket").sortWithinPartitions("bucket", F.col("tokens").isNull())
+    return dealt.select("bucket", "a", "b", "tokens").mapInArrow(run, "a long, b long")
 
 
-def _placed(listed: DataFrame, found: DataFrame) -> DataFrame:
+def _open(listed: DataFrame, found: DataFrame) -> DataFrame:
     """(list, cls, n, deg, comp) of the lists whose members lie in more than one component."""
     rows = listed.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
     open_ = rows.groupBy("list").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("list")
-    return stored(rows.join(open_, "list", "left_semi").select("list", "cls", "n", "deg", "comp"), "placed")
+    return rows.join(open_, "list", "left_semi").select("list", "cls", "n", "deg", "comp")
 
 
-def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", percent: int = 75, most_frequent: int = 1 << 19, rounds: int = 2) -> DataFrame:
+def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", percent: int = 75, most_frequent: int = 1 << 19, rounds: int = 2, block: int = 512) -> DataFrame:
     """(doc_id, text_hash, n_shingles, component, component_id) of every row.
 
     component tells the linked groups of non-empty sets apart; component_id is the smallest id in it. text_hash is
-    Spark's xxhash64 of the text. `most_frequent` bounds the broadcast of frequent tokens.
+    Spark's xxhash64 of the text. `most_frequent` bounds the broadcast of frequent tokens, `block` what meets at once.
     """
-    members = stored(sizes_and_classes(docs, text_col, id_col), "classes")
-    total = members.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    frequent = frequent_tokens(docs, text_col, total, most_frequent)
-    parts = partitions_for(total / 4, 750_000)
-    listed = stored(lists(postings(docs, text_col, frequent, percent), parts), "lists")
-    listed = stored(listed.dropDuplicates(["list", "cls"]), "lists")
-    listed = stored(listed.join(listed.groupBy("cls").agg(F.count("*").cast("int").alias("deg")), "cls"), "lists")
-    few = partitions_for(listed.count(), 750_000)
-    sets = stored(class_sets(docs, members, listed.select("cls").distinct(), text_col, id_col), "sets")
+    bounded_batches(docs.sparkSession)
+    members = stored(sizes_and_classes(docs, text_col, id_col), "members")
+    classes = members.where("n > 0").groupBy("s1", "s2").agg(F.min("n").alias("n"), F.min("doc_id").alias("low"), F.min("text_hash").alias("text_hash"))
+    classes = stored(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    facts = classes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("many")).first()
+    frequent = frequent_tokens(docs, text_col, facts["total"], most_frequent)
+    id_bits = min(63, ceil(log2(max(facts["many"], 2))) + 8)
+    lists = posting_lists(docs, text_col, frequent, percent, facts["total"], id_bits)
+    by_id = classes.select(F.shiftright("s1", 63 - id_bits).alias("id"), "cls", "n")
+    listed = stored(stored(lists, "lists").distinct().join(by_id, "id").select("list", "cls", "n"), "lists")
+    listed = stored(listed.join(listed.groupBy("cls").agg(F.count("*").cast("int").alias("deg")), "cls").withColumn("comp", F.col("cls")), "lists")
+    wanted = classes.join(listed.select("cls").distinct(), "cls").select("s1", "s2", "cls")
+    sketches = members.where("sketch IS NOT NULL").select("s1", "s2", "sketch").join(wanted, ["s1", "s2"])
+    sketches = stored(sketches.groupBy("cls").agg(F.first("sketch").alias("sketch")), "sketches")
     links, placed = None, listed
-    for seed in range(rounds):
-        pairs = stored(candidates(placed, few, percent, star_pairs, seed), "pairs")
-        more = stored(verified(pairs, sets, few, percent), "links")
+    for seed in range(rounds + 1):
+        near = stored(neighbourhoods(placed), "near")
+        large = small_side(near.groupBy("part").agg(F.count("*").alias("m")).where(F.col("m") > block), "large")
+        last = seed == rounds
+        dealt = stored(block_against_block(near, large, block) if last else cut_anew(near, large, block, seed), "dealt")
+        pairs = stored(candidates(dealt, sketches, percent, forest=not last), "pairs")
+        more = stored(verified(pairs, classes, docs, text_col, id_col, percent), "links")
         links = more if links is None else links.unionByName(more)
         found = stored(components(links), "linked")
-        placed = _placed(listed, found)
-    last = with_sketches(placed, sets)
-    pairs = stored(candidates(last, few, percent, cross_pairs, by="part"), "pairs")
-    found = components(links.unionByName(verified(pairs, sets, few, percent)))
+        if not last:
+            placed = stored(_open(listed.drop("comp"), found), "open")
     # ids: the smallest of each class, then of each component
-    by_class = members.groupBy("cls").agg(F.min("doc_id").alias("low"))
-    grouped = by_class.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    grouped = classes.select("s1", "s2", "cls", "low").join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     smallest = grouped.groupBy("component").agg(F.min("low").alias("component_id"))
-    by_class = grouped.join(smallest, "component").select("cls", "component", "component_id")
-    out = members.where("n > 0").join(by_class, "cls").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "component", "component_id")
-    alone = members.where("n = 0").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.col("cls").alias("component"), F.col("doc_id").alias("component_id"))
+    by_class = grouped.join(smallest, "component").select("s1", "s2", "component", "component_id")
+    slim = members.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "s1", "s2")
+    out = slim.where("n_shingles > 0").join(by_class, ["s1", "s2"]).select("doc_id", "text_hash", "n_shingles", "component", "component_id")
+    alone = slim.where("n_shingles = 0").select("doc_id", "text_hash", "n_shingles", F.lit(-1).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
     return out.unionByName(alone)
 
 
