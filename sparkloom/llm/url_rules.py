@@ -1,14 +1,19 @@
 """URL filtering by association rules, in DataFrame and SQL functions and Spark's FP-growth only.
 
 Labelled URLs become baskets of tokens (scheme, host and its parents, path parts, query keys) with their label as one
-more item. FP-growth mines the frequent combinations; rules that conclude the blocking label stay if support and
-confidence are high enough and no shorter rule inside them is as confident. They match by an inverted index: the
-distinct baskets' tokens meet the rules' tokens, and a rule fits a basket that holds as many of its tokens as it has.
-Given rules on host and path come first; mined rules judge what none of them fits.
-
-Defined cases: a null URL or one without `://` has empty host and path and its basket is empty: it is allowed; without
-labelled rows there are no mined rules and everything else is allowed; equal URLs get equal verdicts; other columns
-are ignored by `judge` unless named in `keep`.
+more item. Tokens that stand in exactly the same labelled baskets are one item, so that URLs which occur again and
+again, however long, add one item each to the frequent combinations and not a power of two. FP-growth mines the
+combinations; rules that conclude a label, to block or to allow, stay if their support is high enough, if they are more
+confident than that label's share of all baskets by a factor and by more than chance explains, and if no shorter rule
+inside them is as confident. They match by an inverted index: a rule is posted under the rarest of its items, and fits
+a basket that holds the others too. Of the rules that fit, the one of the highest odds against that share decides.
+Given rules on host and path come first; mined rules judge what none of them fits, and the label that most baskets
+have judges the rest.
+
+Defined cases: a null URL or one without `://` has empty host and path and its basket is empty: the default judges it;
+without labelled rows there are no mined rules and everything else is allowed; equal URLs get equal verdicts; pages
+without an id, labels without a page and repeated labels are allowed (a page is bad if one of its labels says so);
+columns of any other name are ignored, or carried as they are if `keep` names them.
 """
 
 from __future__ import annotations
@@ -17,11 +22,11 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import small_side, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 AFTER = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-BLOCKED = "label=block"
+BLOCKED, ALLOWED = "label=block", "label=allow"
 
 #: (verdict, host, path): the contract's rules.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -59,45 +64,89 @@ def basket(url: Column, host: Column, path: Column) -> Column:
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_sort(F.array_distinct(F.concat(scheme, parents, parts, keys))))
 
 
-def mine(baskets: DataFrame, min_confidence: float = 0.5, min_count: int = 20) -> DataFrame:
-    """(rule_id, tokens, confidence, support) from rows of (items, blocked boolean).
+def _merged(rows: DataFrame, min_count: int) -> DataFrame:
+    """(token, item): tokens of the baskets (row, items) that stand in min_count of them, with one token that stands
+    for all those found in exactly the same baskets."""
+    mark = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), "row"))
+    tokens = rows.select("row", F.explode("items").alias("token")).groupBy("token").agg(F.count("*").alias("n"), mark(1).alias("x"), mark(2).alias("y"))
+    tokens = stored(tokens.where(F.col("n") >= min_count), "tokens")
+    return tokens.join(tokens.groupBy("n", "x", "y").agg(F.min("token").alias("item")), ["n", "x", "y"]).select("token", "item", "n")
 
-    FP-growth is fitted on all baskets; a rule of any length counts if `min_count` blocked baskets hold it.
+
+def _with_items(baskets: DataFrame, tokens: DataFrame, key: str) -> DataFrame:
+    """(key, items) of baskets (key, items): their tokens replaced by the items, others left out."""
+    found = baskets.select(key, F.explode("items").alias("token")).join(tokens.select("token", "item"), "token")
+    return found.groupBy(key).agg(F.array_sort(F.collect_set("item")).alias("items"))
+
+
+def mine(baskets: DataFrame, min_confidence: float = 0.5, min_count: int = 20, min_lift: float = 1.2, min_z: float = 3.0) -> DataFrame:
+    """(rule_id, tokens, verdict, confidence, support, strength, alike) from rows of (items, blocked boolean).
+
+    FP-growth is fitted on all baskets; a rule of any length counts if `min_count` baskets of its label hold it, if
+    it is `min_lift` times as confident as the label's share, and `min_z` standard errors above it. `alike` lists, for
+    each of the rule's tokens, the tokens that stand for the same item, and n the item's baskets.
     """
-    rows = stored(baskets.where(F.size("items") > 0).select("items", "blocked"), "baskets")
-    spark, n = baskets.sparkSession, rows.count()
-    rule_schema = "rule_id long, tokens array<string>, confidence double, support double"
-    if not n:
-        return spark.createDataFrame([], rule_schema)
-    items = rows.select(F.when(F.col("blocked"), F.concat("items", F.array(F.lit(BLOCKED)))).otherwise(F.col("items")).alias("items"))
+    schema = "rule_id long, tokens array<string>, verdict string, confidence double, support double, strength double, alike array<struct<item: string, n: long, tokens: array<string>>>"
+    rows = baskets.where(F.size("items") > 0).select("items", "blocked").withColumn("row", F.monotonically_increasing_id())
+    rows = stored(rows, "baskets")
+    spark, facts = baskets.sparkSession, rows.agg(F.count("*").alias("n"), F.count_if("blocked").alias("blocked")).first()
+    n = facts["n"]
+    if n < min_count:
+        return spark.createDataFrame([], schema)
+    tokens = small_side(_merged(rows, min_count), "tokens")
+    plain = rows.select("row", "blocked").join(_with_items(rows, tokens, "row"), "row", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    items = stored(plain.select(F.concat("items", F.array(F.when(F.col("blocked"), F.lit(BLOCKED)).otherwise(F.lit(ALLOWED)))).alias("items")), "baskets")
     model = FPGrowth(itemsCol="items", minSupport=(min_count - 0.5) / n, minConfidence=min_confidence).fit(items)
-    found = model.associationRules.where((F.col("consequent") == F.array(F.lit(BLOCKED))))
-    found = found.select(F.xxhash64(F.array_sort("antecedent")).alias("rule_id"), F.array_sort("antecedent").alias("tokens"), "confidence", "support")
-    found = stored(found, "rules")
-    # a rule goes if a shorter one, made of some of its tokens, is as confident: met through the shorter one's rarest token
-    tokens = found.select("rule_id", F.size("tokens").alias("size"), "confidence", "tokens", F.explode("tokens").alias("token"))
-    often = tokens.groupBy("token").agg(F.count("*").alias("often"))
-    a = tokens.join(often, "token").groupBy("rule_id").agg(F.min(F.struct("often", "token")).getField("token").alias("token"), F.first("size").alias("size"), F.first("confidence").alias("confidence"), F.first("tokens").alias("tokens")).alias("a")
-    b = found.select("rule_id", F.size("tokens").alias("size"), "confidence", "tokens", F.explode("tokens").alias("token")).alias("b")
-    inside = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.size") < F.col("b.size")) & (F.col("a.confidence") >= F.col("b.confidence")))
+    found = model.associationRules.where(F.element_at("consequent", 1).isin(BLOCKED, ALLOWED))
+    found = found.select(F.array_sort("antecedent").alias("tokens"), F.when(F.element_at("consequent", 1) == BLOCKED, "block").otherwise("allow").alias("verdict"), "confidence", "support")
+    share = F.when(F.col("verdict") == "block", facts["blocked"] / n).otherwise(1 - facts["blocked"] / n)
+    held = F.col("support") * n / F.col("confidence")  # baskets that hold the rule's tokens
+    found = found.withColumn("share", share).withColumn("held", held)
+    z = (F.col("confidence") - F.col("share")) * F.sqrt("held") / F.sqrt(F.greatest(F.col("share") * (1 - F.col("share")), F.lit(1e-12)))
+    found = found.where((F.col("confidence") >= F.col("share") * min_lift) & (z >= min_z))
+    smooth = (F.col("confidence") * F.col("held") + 1) / (F.col("held") + 2)
+    strength = F.ln(smooth / (1 - smooth)) - F.ln((F.col("share") * n + 1) / (n - F.col("share") * n + 1))
+    found = stored(found.select(F.xxhash64("verdict", "tokens").alias("rule_id"), "tokens", "verdict", "confidence", "support", strength.alias("strength")), "rules")
+    # a rule goes if a shorter one of its verdict, made of some of its tokens, is as confident: met through the shorter one's rarest token
+    each = found.select("rule_id", F.size("tokens").alias("size"), "verdict", "confidence", "tokens", F.explode("tokens").alias("token"))
+    often = each.groupBy("token").agg(F.count("*").alias("often"))
+    a = each.join(often, "token").groupBy("rule_id").agg(F.min(F.struct("often", "token")).getField("token").alias("token"), F.first("size").alias("size"), F.first("verdict").alias("verdict"), F.first("confidence").alias("confidence"), F.first("tokens").alias("tokens")).alias("a")
+    b = each.alias("b")
+    inside = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.verdict") == F.col("b.verdict")) & (F.col("a.size") < F.col("b.size")) & (F.col("a.confidence") >= F.col("b.confidence")))
     worse = inside.where(F.size(F.array_except("a.tokens", "b.tokens")) == 0).select(F.col("b.rule_id").alias("rule_id")).distinct()
-    return found.join(worse, "rule_id", "left_anti")
+    alike = tokens.groupBy("item").agg(F.first("n").alias("n"), F.collect_set("token").alias("same"))
+    kept = found.join(worse, "rule_id", "left_anti")
+    named = kept.select("rule_id", F.explode("tokens").alias("item")).join(alike, "item").groupBy("rule_id").agg(F.array_sort(F.collect_list(F.struct("item", "n", F.col("same").alias("tokens")))).alias("alike"))
+    return stored(kept.join(named, "rule_id").select("rule_id", "tokens", "verdict", "confidence", "support", "strength", "alike"), "rules")
 
 
-def judge(pages: DataFrame, rules: DataFrame, given: tuple[tuple[str, str, str], ...] = RULES, url_col: str = "url", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """The columns in `keep`, host, path, rule, verdict and confidence (of the mined rule that blocks, else null)."""
+def judge(pages: DataFrame, rules: DataFrame, given: tuple[tuple[str, str, str], ...] = RULES, url_col: str = "url", keep: tuple[str, ...] = ("page_id",), default: str = "allow") -> DataFrame:
+    """The columns in `keep`, host, path, rule, verdict and confidence (of the mined rule that decides, else null)."""
     rows = pages.select(*keep, F.col(url_col).cast("string").alias("__url"))
     rows = rows.withColumn("__host", host_of(F.col("__url"))).withColumn("__path", path_of(F.col("__url")))
     rule, verdict = given_rule(F.col("__host"), F.col("__path"), given)
     rows = rows.withColumn("__rule", rule).withColumn("__given", verdict).withColumn("__items", basket(F.col("__url"), F.col("__host"), F.col("__path")))
-    rows = rows.withColumn("__key", F.array_join("__items", " "))
-    distinct = rows.where(F.col("__given").isNull()).groupBy("__key").agg(F.first("__items").alias("items"))
-    posted = rules.select("rule_id", "confidence", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
-    hits = distinct.select("__key", F.explode("items").alias("token")).join(posted, "token").groupBy("__key", "rule_id", "size", "confidence").agg(F.count("*").alias("n"))
-    blocked = hits.where(F.col("n") == F.col("size")).groupBy("__key").agg(F.max("confidence").alias("__confidence"))
-    out = rows.join(blocked, "__key", "left")
-    mined = F.when(F.col("__confidence").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
-    return out.select(*keep, F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"), F.coalesce("__given", mined).alias("verdict"), F.when(F.col("__given").isNull(), F.col("__confidence")).alias("confidence"))
+    rows = rows.withColumn("__key", F.xxhash64("__items"))
+    out = rows
+    if "alike" in rules.columns and not rules.isEmpty():
+        distinct = rows.where(F.col("__given").isNull() & (F.size("__items") > 0)).groupBy("__key").agg(F.first("__items").alias("items"))
+        tokens = small_side(rules.select(F.explode("alike").alias("a")).select(F.explode("a.tokens").alias("token"), F.col("a.item").alias("item")).distinct(), "tokens")
+        # each rule stands under its rarest item
+        rarest = F.array_min(F.transform("alike", lambda a: F.struct(a["n"], a["item"])))["item"]
+        posted = small_side(rules.select(rarest.alias("item"), "tokens", F.struct("strength", F.size("tokens").alias("size"), (F.col("verdict") == "block").alias("blocks"), "verdict", "confidence").alias("by")), "posted")
+        held = _with_items(distinct, tokens, "__key")
+        hits = held.select("__key", "items", F.explode("items").alias("item")).join(posted, "item").where(F.size(F.array_except("tokens", "items")) == 0)
+        found = hits.groupBy("__key").agg(F.max("by").alias("by")).select("__key", F.col("by.verdict").alias("__mined"), F.col("by.confidence").alias("__confidence"))
+        out = rows.join(small_side(found, "judged"), "__key", "left")
+    else:
+        out = rows.withColumn("__mined", F.lit(None).cast("string")).withColumn("__confidence", F.lit(None).cast("double"))
+    return out.select(*keep, F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"), F.coalesce("__given", "__mined", F.lit(default)).alias("verdict"), F.when(F.col("__given").isNull(), F.col("__confidence")).alias("confidence"))
+
+
+def usual_verdict(baskets: DataFrame) -> str:
+    """The label that most baskets have; allow if as many have either, or none."""
+    got = baskets.agg(F.count("*").alias("n"), F.count_if("blocked").alias("blocked")).first()
+    return "block" if 2 * got["blocked"] > got["n"] else "allow"
 
 
 def labelled_baskets(pages: DataFrame, labels: DataFrame) -> DataFrame:
@@ -110,4 +159,5 @@ def labelled_baskets(pages: DataFrame, labels: DataFrame) -> DataFrame:
 
 def op9_url_rules(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """page_id, host, path, rule, verdict and confidence of every page."""
-    return judge(pages, mine(labelled_baskets(pages, labels)))
+    baskets = stored(labelled_baskets(pages, labels), "labelled")
+    return judge(pages, mine(baskets), default=usual_verdict(baskets))

@@ -1,3 +1,7 @@
+import itertools
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,3 +74,54 @@ def test_odd_rows(spark, labels):
 def test_no_python_in_the_plan(spark, data, labels):
     plan = ur.op9_url_rules(spark.read.parquet(f"{data}/pages.parquet"), labels)._jdf.queryExecution().executedPlan().toString()
     assert not any(w in plan for w in ("Python", "Pandas", "Arrow"))
+
+
+def plain_rules(baskets, min_confidence=0.5, min_count=20, min_lift=1.2, min_z=3.0):
+    """Every combination of tokens, by counting: {(tokens, verdict): (confidence, strength)}, pruned as the rules are."""
+    n, bad = len(baskets), sum(b for _, b in baskets)
+    held = {}
+    for items, blocked in baskets:
+        for size in range(1, len(items) + 1):
+            for combination in itertools.combinations(sorted(items), size):
+                held.setdefault(combination, [0, 0])[blocked] += 1
+    rules = {}
+    for tokens, both in held.items():
+        for verdict, hits, share in (("allow", both[0], 1 - bad / n), ("block", both[1], bad / n)):
+            total = sum(both)
+            confidence = hits / total
+            z = (confidence - share) * total**0.5 / max(share * (1 - share), 1e-12) ** 0.5
+            if hits >= min_count and confidence >= min_confidence and confidence >= share * min_lift and z >= min_z:
+                smooth = (hits + 1) / (total + 2)
+                rules[tokens, verdict] = confidence, math.log(smooth / (1 - smooth)) - math.log((share * n + 1) / (n - share * n + 1))
+    worse = {(t, v) for t, v in rules for u, w in rules if v == w and len(u) < len(t) and set(u) <= set(t) and rules[u, w][0] >= rules[t, v][0]}
+    return {k: x for k, x in rules.items() if k not in worse}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_whole_query_against_counting(spark, seed):
+    """Planted hosts and folders of bad and of good pages; every page's verdict equals that of plain counting."""
+    rng = random.Random(seed)
+    pages, labels = [], []
+    for i in range(1500):
+        host, part, key = rng.choice("pqrs"), rng.choice("abc"), rng.choice(["", "?ref=1", "?id=2&ref=3"])
+        pages.append((i, f"https://{host}.site{rng.choice('12')}.com/{part}/{rng.randint(0, 9)}{key}"))
+        chance = 0.95 if host == "p" and part == "a" else 0.02 if host == "q" else 0.9 if "ref=3" in key and part == "c" else 0.3
+        if rng.random() < 0.8:
+            labels.append((i, 1, int(rng.random() < chance)))
+    frame, marks = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    items = {r["page_id"]: r["items"] for r in frame.select("page_id", ur.basket(F.col("url"), ur.host_of(F.col("url")), ur.path_of(F.col("url"))).alias("items")).collect()}
+    rules = plain_rules([(items[i], t) for i, _, t in labels])
+    assert {v for _, v in rules} == {"allow", "block"}
+    got = {r["page_id"]: r["verdict"] for r in ur.op9_url_rules(frame, marks).collect()}
+    for i, _ in pages:
+        fit = [(round(s, 9), len(t), v == "block", v) for (t, v), (_, s) in rules.items() if set(t) <= set(items[i])]
+        assert got[i] == (max(fit)[3] if fit else "allow")
+
+
+def test_long_urls_that_repeat(spark):
+    """A URL of 60 parts on 40 bad pages: one item, not 2^60 combinations."""
+    long = "https://x.com/" + "/".join(f"part{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    rows = [(i, long if i % 3 == 0 else f"https://y.com/{'ab'[i % 2]}", int(i % 3 == 0)) for i in range(120)]
+    pages, labels = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string"), spark.createDataFrame([(i, 1, t) for i, _, t in rows], "doc_id long, quality int, toxic int")
+    got = {r["page_id"]: r["verdict"] for r in ur.op9_url_rules(pages, labels).collect()}
+    assert all((got[i] == "block") == bool(t) for i, _, t in rows)
