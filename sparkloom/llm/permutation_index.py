@@ -1,17 +1,20 @@
 """Approximate nearest neighbours by a permutation index.
 
-Every vector is represented by its nearest pivots, in order. The pivots' inverted files list the vectors that have
-them, with the place they have there. A query walks the files of its own pivots and adds up, for each vector found,
-how much nearer the two orders are than orders without a pivot in common: the footrule distance. The vectors of the
-least distance are ranked again by the exact inner product, in double precision.
+Every vector is represented by its nearest pivots, in order. The pivots' inverted files hold, for the vectors of a
+block, how far from the end of the list the pivot stands there (nothing for vectors that don't list it). A query walks
+the files of its own pivots and adds up, for each vector, how much nearer the two orders are than orders without a
+pivot in common: the footrule distance, taken from its maximum. The vectors of the least distance are ranked again by
+the exact inner product, in double precision.
 
 Pivots are a bounded sample; all vectors are indexed. For inner products of vectors of different lengths, vectors get
 one more component that makes their norms equal, which keeps the order of inner products. Candidates and queries are
-dealt out in blocks; a block pair sends each query's best, so no more than k rows per query and block travel.
+dealt out in blocks by a hash of id and vector; a block pair sends each query's best, so no more than k rows per query
+and block travel, and the answer doesn't depend on how the rows come partitioned.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part; a query whose own row
-is the only one finds nothing; fewer candidates than k are all returned; ties go to the smaller id, null ids last;
-repeated rows are candidates of each other; vectors are compared with those of the same length only.
+is the only one finds nothing; fewer candidates than k are all returned; ties go to the smaller id, null ids last,
+also where a tie reaches over the end of what is ranked again; repeated rows are candidates of each other; vectors are
+compared with those of the same length only; columns of any other name and type are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import stored
 from .embedding_dedup import usable
 
+NO_ID = np.iinfo(np.int64).max
+
 
 def _rows(column) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -39,86 +44,88 @@ def lifted(x: np.ndarray, most: float) -> np.ndarray:
     return np.concatenate([x, np.sqrt(np.maximum(0.0, 1 - (x * x).sum(axis=1, keepdims=True)))], axis=1).astype(np.float32)
 
 
-def places(turned: np.ndarray, listed: int) -> tuple[np.ndarray, np.ndarray]:
+def orders(turned: np.ndarray, listed: int) -> np.ndarray:
     """Each row's `listed` nearest pivots, nearest first."""
     near = np.argpartition(-turned, listed - 1, axis=1)[:, :listed] if listed < turned.shape[1] else np.tile(np.arange(turned.shape[1]), (len(turned), 1))
     order = np.argsort(-np.take_along_axis(turned, near, axis=1), axis=1, kind="stable")
-    near = np.take_along_axis(near, order, axis=1)
-    return near, np.arange(near.shape[1])
+    return np.take_along_axis(near, order, axis=1)
 
 
 class InvertedFiles:
-    """For each pivot, the rows that list it and the place it has there."""
+    """For each pivot, over a block's rows: the length of the lists less the pivot's place, 0 where it isn't listed."""
 
     def __init__(self, near: np.ndarray, pivots: int):
         n, self.listed = near.shape
-        order = np.argsort(near.ravel(), kind="stable")
-        self.rows, self.place = (order // self.listed).astype(np.int64), (order % self.listed).astype(np.int32)
-        self.first = np.searchsorted(near.ravel()[order], np.arange(pivots + 1))
-        self.n = n
+        self.files = np.zeros((pivots, n), np.uint16)
+        for place in range(self.listed):
+            self.files[near[:, place], np.arange(n)] = self.listed - place
 
     def nearness(self, own: np.ndarray) -> np.ndarray:
-        """Of a query that lists the pivots `own`: the footrule distance to each row, taken from its maximum."""
-        rows, gain = [], []
+        """Of a query that lists the pivots `own`: half the footrule distance to each row, taken from its maximum."""
+        out, part = np.zeros(self.files.shape[1], np.uint32), np.empty(self.files.shape[1], np.uint16)
         for place, pivot in enumerate(own.tolist()):
-            at = slice(self.first[pivot], self.first[pivot + 1])
-            rows.append(self.rows[at])
-            gain.append(2 * self.listed - self.place[at] - place - np.abs(self.place[at] - place))
-        return np.bincount(np.concatenate(rows), np.concatenate(gain), minlength=self.n)
+            out += np.minimum(self.files[pivot], np.uint16(self.listed - place), out=part)
+        return out
 
 
-def search_block(candidates: pa.Table, queries: pa.Table, pivots: list[np.ndarray], most: float, k: int, listed: int, share: float) -> pa.Table:
+def search_block(candidates: pa.Table, queries: pa.Table, pivots: list[np.ndarray], most: float, k: int, listed: int, asked: int, share: float) -> pa.Table:
     """(query_row, query_id, vec_id, score): each query's best k of a block."""
     out: dict[str, list] = {"query_row": [], "query_id": [], "vec_id": [], "score": []}
-    c_size, q_size = (np.diff(np.asarray((t["v"].combine_chunks() if isinstance(t["v"], pa.ChunkedArray) else t["v"]).offsets)) if t.num_rows else np.zeros(0, np.int64) for t in (candidates, queries))
+    size = lambda t, c: np.diff(np.asarray((t[c].combine_chunks() if isinstance(t[c], pa.ChunkedArray) else t[c]).offsets)) if t.num_rows else np.zeros(0, np.int64)
+    c_size, q_size = size(candidates, "v"), size(queries, "q_v")
     for dim in np.unique(q_size):
         c, q = candidates.filter(pa.array(c_size == dim)), queries.filter(pa.array(q_size == dim))
         if not c.num_rows:
             continue
-        x, y = _rows(c["v"]), _rows(q["v"])
-        ids = np.array([np.iinfo(np.int64).max if i is None else i for i in c["vec_id"].to_pylist()], dtype=np.int64)
-        c_row, q_row, q_id = np.asarray(c["row"]), np.asarray(q["row"]), np.asarray(q["vec_id"])
+        ids = np.array([NO_ID if i is None else i for i in c["vec_id"].to_pylist()], dtype=np.int64)
+        order = np.argsort(ids, kind="stable")  # positions follow ids, for ties
+        x, y, ids = _rows(c["v"])[order], _rows(q["q_v"]), ids[order]
+        c_row, q_row, q_id = np.asarray(c["row"])[order], np.asarray(q["q_row"]), np.asarray(q["q_id"])
         own = np.array([p for p in pivots if len(p) == dim])
         few = max(20 * k, ceil(share * len(x)))
         index = None
         if len(own) >= 32 and few < len(x):
             p = lifted(own, most)
-            here = min(listed, len(p))
-            index = InvertedFiles(places(lifted(x, most) @ p.T, here)[0], len(p))
+            index = InvertedFiles(orders(lifted(x, most) @ p.T, min(listed, len(p))), len(p))
             unit = y / np.sqrt((y * y).sum(axis=1, keepdims=True))
-            wanted = places(unit.astype(np.float32) @ p[:, :-1].T, here)[0]
+            wanted = orders(unit.astype(np.float32) @ p[:, :-1].T, min(asked, len(p)))
+            later = np.arange(len(x), dtype=np.int64)
         for i in range(len(y)):
-            at = np.arange(len(x)) if index is None else np.argpartition(-index.nearness(wanted[i]), few)[: few + 1]
+            at = np.arange(len(x)) if index is None else np.argpartition(later - index.nearness(wanted[i]).astype(np.int64) * len(x), few)[: few + 1]
             at = at[c_row[at] != q_row[i]]
-            score = x[at] @ y[i]
+            score = (x[at] * y[i]).sum(axis=1)  # by row in one order, so that equal vectors have equal scores
             best = np.lexsort((ids[at], -score))[:k]
             out["query_row"].append(np.full(len(best), q_row[i]))
             out["query_id"].append(np.full(len(best), q_id[i]))
             out["vec_id"].append(ids[at][best])
             out["score"].append(score[best])
     flat = {name: np.concatenate(v) if v else np.zeros(0, np.float64 if name == "score" else np.int64) for name, v in out.items()}
-    gone = flat["vec_id"] == np.iinfo(np.int64).max
-    return pa.table({"query_row": pa.array(flat["query_row"], pa.int64()), "query_id": pa.array(flat["query_id"], pa.int64()), "vec_id": pa.array(flat["vec_id"], pa.int64(), mask=gone), "score": pa.array(flat["score"], pa.float64())})
+    return pa.table({"query_row": pa.array(flat["query_row"], pa.int64()), "query_id": pa.array(flat["query_id"], pa.int64()), "vec_id": pa.array(flat["vec_id"], pa.int64(), mask=flat["vec_id"] == NO_ID), "score": pa.array(flat["score"], pa.float64())})
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vector_col: str = "embedding", id_col: str = "vec_id", n_pivots: int = 256, listed: int = 64, share: float = 0.25, block: int = 4096, seed: int = 9) -> DataFrame:
-    """(query_id, rank, vec_id, score). `share` of each block, at least 20 k rows, is ranked again exactly."""
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vector_col: str = "embedding", id_col: str = "vec_id", n_pivots: int = 512, listed: int = 256, asked: int = 64, share: float = 0.05, block: int = 16384, seed: int = 9) -> DataFrame:
+    """(query_id, rank, vec_id, score). A vector lists `listed` pivots, a query asks `asked` of them; `share` of each
+    block, at least 20 k rows, is ranked again exactly."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), is_query.alias("asks"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = rows.where(usable("v")).withColumn("row", F.monotonically_increasing_id())
     rows = stored(rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))), "vectors")
     facts = rows.agg(F.count("*").alias("n"), F.max("norm").alias("norm"), F.count_if("asks").alias("asks")).first()
-    picked = rows.select("v").distinct().orderBy(F.xxhash64(F.lit(seed), "v")).limit(n_pivots).collect()
-    pivots, most = [np.array(r["v"]) for r in picked], float(facts["norm"] or 1.0)
+    # pivots come from a share of the vectors that a hash picks, equal ones once
+    draw = F.xxhash64(F.lit(seed), "v")
+    some = rows.where(F.pmod(F.xxhash64(F.lit(seed + 1), "v"), F.lit(max(1, facts["n"] // (8 * n_pivots)))) == 0)
+    pivots, most = [np.array(r["v"]) for r in some.select("v").distinct().orderBy(draw).limit(n_pivots).collect()], float(facts["norm"] or 1.0)
     c_blocks, q_blocks = max(1, ceil(facts["n"] / block)), max(1, ceil(facts["asks"] / block))
-    dealt = lambda what, n: F.pmod(F.xxhash64(F.lit(what), "row"), F.lit(n)).cast("int")
+    nameless = F.when(F.col("vec_id").isNull(), F.col("row"))  # rows without an id aren't told apart by it
+    dealt = lambda what, n: F.pmod(F.xxhash64(F.lit(what), "vec_id", "v", nameless), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     candidates = rows.select("vec_id", "row", "v", dealt("c", c_blocks).alias("cb")).withColumn("qb", every(q_blocks))
-    queries = rows.where("asks").select("vec_id", "row", "v", dealt("q", q_blocks).alias("qb")).withColumn("cb", every(c_blocks))
+    # names of their own: both sides read one table
+    queries = rows.where("asks").select(F.col("vec_id").alias("q_id"), F.col("row").alias("q_row"), F.col("v").alias("q_v"), dealt("q", q_blocks).alias("to_qb")).withColumn("to_cb", every(c_blocks))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        return search_block(left, right, pivots, most, k, listed, share)
+        return search_block(left, right, pivots, most, k, listed, asked, share)
 
-    found = candidates.groupBy("qb", "cb").cogroup(queries.groupBy("qb", "cb")).applyInArrow(run, "query_row long, query_id long, vec_id long, score double")
+    found = candidates.groupBy("qb", "cb").cogroup(queries.groupBy("to_qb", "to_cb")).applyInArrow(run, "query_row long, query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id")))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
