@@ -8,7 +8,8 @@ is kept has kept ancestors. Kept text is given block by block.
 
 Defined cases: a null or empty page has no text; a page without any markup is its own text; unclosed, crossed and
 stray tags, broken comments and attributes are read as browsers do, roughly, and never raise; pages are judged one by
-one, so repeated rows get equal texts; a page is handled whole, whatever its length.
+one, so repeated rows get equal texts; a page is handled whole, whatever its length; columns of any other name and
+type are ignored, or carried as they are if `keep` names them.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import boosting
+from .common import bounded_batches
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template svg math xmp noembed noframes".split())
@@ -73,14 +76,48 @@ def hints_of(attributes: str) -> frozenset:
     return frozenset(out)
 
 
+class OpenElements:
+    """The elements open at a place of the page, with their places by tag and those of blocks, so that no end tag has
+    to look through all of them."""
+
+    def __init__(self) -> None:
+        self.stack, self.tags = [0], ["#"]
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, element: int, tag: str) -> None:
+        self.at.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append(element)
+        self.tags.append(tag)
+
+    def last(self, *tags: str) -> int:
+        """The place of the innermost open element of these tags, 0 if there is none."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def cut(self, place: int) -> None:
+        """Close the elements from this place on."""
+        while len(self.stack) > place:
+            self.stack.pop()
+            self.at[self.tags.pop()].pop()
+        while self.blocks and self.blocks[-1] >= place:
+            self.blocks.pop()
+
+
+@lru_cache(maxsize=64)
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(f"</{re.escape(tag)}", re.I | re.A)
+
+
 def parse(source: str) -> Page:
-    """The page's tree; what a browser would repair is repaired alike where it bears on text."""
-    page, stack, block, at, n = Page(), [0], 0, 0, len(source)
-    tags, lower = page.tags, None
+    """The page's tree; what a browser would repair is repaired alike where it bears on text. Time is in proportion to
+    the page, however its tags are nested."""
+    page, open_elements, block, at, n = Page(), OpenElements(), 0, 0, len(source)
 
     def text(until: int) -> None:
         if until > at:
-            page.runs.append((stack[-1], block, source[at:until]))
+            page.runs.append((open_elements.stack[-1], block, source[at:until]))
 
     while at < n:
         open_ = source.find("<", at)
@@ -117,51 +154,34 @@ def parse(source: str) -> Page:
         attributes, at = source[name.end() : stop - 1], stop
         if tag in BLOCK:
             block += 1
+        innermost = open_elements.blocks[-1] if open_elements.blocks else 0
         if closing:
-            if tag in ("body", "html"):
-                continue
-            for i in range(len(stack) - 1, 0, -1):
-                if tags[stack[i]] == tag:
-                    del stack[i:]
-                    break
-                if tag not in BLOCK and tags[stack[i]] in BLOCK and tag != "a":
-                    break
+            place = open_elements.last(tag)
+            # an inline element's end doesn't reach out of its block
+            if place and tag not in ("body", "html") and (tag in BLOCK or tag == "a" or place > innermost):
+                open_elements.cut(place)
             continue
-        if tag in ("html", "body", "head") and tag in (tags[i] for i in stack):
+        if tag in ("html", "body", "head") and open_elements.last(tag):
             continue
-        if tag in CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if tags[stack[i]] == "p":
-                    del stack[i:]
-                    break
-                if tags[stack[i]] in BLOCK:
-                    break
-        if tag == "body" or tag in BLOCK and "head" in (tags[i] for i in stack[:3]) and tag != "title":
-            for i in range(1, len(stack)):
-                if tags[stack[i]] == "head":
-                    del stack[i:]
-                    break
+        if tag in CLOSES_P and innermost and open_elements.tags[innermost] == "p":
+            open_elements.cut(innermost)
+        head = open_elements.last("head")
+        if head and (tag == "body" or tag in BLOCK and tag != "title" and head < 3):
+            open_elements.cut(head)
         if tag in ENDS:
             ended, fence = ENDS[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if tags[stack[i]] in fence:
-                    break
-                if tags[stack[i]] in ended:
-                    del stack[i:]
-                    break
+            place = open_elements.last(*ended)
+            if place > open_elements.last(*fence):
+                open_elements.cut(place)
         page.tags.append(tag)
-        page.parents.append(stack[-1])
+        page.parents.append(open_elements.stack[-1])
         page.hints.append(hints_of(attributes) if "=" in attributes else frozenset())
         if tag in RAW and not attributes.endswith("/"):
-            lower = source.lower() if lower is None else lower
-            end_at = lower.find(f"</{tag}", at)
-            if end_at < 0:
-                at = n
-            else:
-                close = source.find(">", end_at)
-                at = n if close < 0 else close + 1
+            found = _raw_end(tag).search(source, at)
+            close = source.find(">", found.start()) if found else -1
+            at = n if close < 0 else close + 1
         elif tag not in VOID:
-            stack.append(len(page.tags) - 1)
+            open_elements.push(len(page.tags) - 1, tag)
     return page
 
 
@@ -263,12 +283,12 @@ def blocks(page: Page, keep: list[bool]) -> str:
     at, held = None, []
     for i, block, text in [*page.runs, (0, -1, "")]:
         if block != at:
-            line = " ".join(html.unescape("".join(held)).split())
+            line = " ".join("".join(held).split())
             if line:
                 out.append(line)
             at, held = block, []
         if keep[i]:
-            held.append(text)
+            held.append(html.unescape(text) if "&" in text else text)
         elif page.tags[i] == "br":
             held.append(" ")
     return "\n\n".join(out)
@@ -287,7 +307,8 @@ def generated_page(rng: random.Random) -> str:
     words = lambda a, b: " ".join(word() for _ in range(rng.randint(a, b)))
     sentence = lambda: words(4, 16).capitalize() + rng.choice(".....!?")
     pick = lambda *x: rng.choice(x)
-    hint = lambda kind: rng.choice(HINTS[kind].split())
+    mute = rng.random() < 0.2
+    hint = lambda kind: word() if mute else rng.choice(HINTS[kind].split())
 
     def attr(kind: str, chance: float = 0.8) -> str:
         if rng.random() > chance:
@@ -362,8 +383,11 @@ def generated_page(rng: random.Random) -> str:
     return f"<html><head><title>{words(2, 6)}</title><style>p{{}}</style></head><body>{stray if rng.random() < 0.1 else ''}{before}{core}{after}</body></html>"
 
 
+@lru_cache(maxsize=4)
 def train(pages: int = 1200, seed: int = 4) -> boosting.Boosted:
-    """Trees fitted to generated pages: whether main text lies in an element, for those whose parent has some."""
+    """Trees fitted to generated pages: whether main text lies in an element, for those whose parent has some.
+
+    The same model every time, so a process trains it once."""
     rng, xs, ys = random.Random(seed), [], []
     for _ in range(pages):
         page = parse(generated_page(rng))
@@ -392,6 +416,7 @@ def extract(sources: list[str | None], model: boosting.Boosted) -> list[str]:
 
 def main_text(pages: DataFrame, model: boosting.Boosted, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The columns in `keep`, text and n_chars."""
+    bounded_batches(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(model)
     given = pages.select(F.col(html_col).cast("string").alias("__html"), *keep)
 
