@@ -54,11 +54,11 @@ def grade(score: Column) -> Column:
 
 
 def mi_rating(mi: Column) -> Column:
-    return F.when(mi >= 80, "A").when(mi >= 60, "B").when(mi >= 40, "C").otherwise("D")
+    return F.when(mi >= 80, "Excellent").when(mi >= 60, "Good").when(mi >= 40, "Fair").otherwise("Poor")
 
 
 def coverage_rating(pct: Column) -> Column:
-    return F.when(pct >= 90, "A").when(pct >= 70, "B").when(pct >= 40, "C").otherwise("D")
+    return F.when(pct >= 90, "Excellent").when(pct >= 70, "Good").when(pct >= 40, "Fair").otherwise("Poor")
 
 
 def halstead(n1: Column, n2: Column, big_n1: Column, big_n2: Column) -> dict[str, Column]:

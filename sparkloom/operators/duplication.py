@@ -1,12 +1,18 @@
 """Duplication by k-gram fingerprints: winnowing, an inverted-index join, and merged line ranges.
 
-A document's k-grams and fingerprints are made inside its row, by higher-order functions, so that nothing is shuffled
-before the index join.
+A document's k-grams and fingerprints are made within its Arrow batch, so that nothing is shuffled before the index
+join; a fingerprint's hash is the first 64 bits of the MD5 of its tokens, joined by a bar, as hexadecimal digits.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Callable, Iterator
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,77 +20,91 @@ from sparkloom.functions import scoring
 
 #: K-gram length, window, and the least similarity reported.
 K, WINDOW, LEAST_SIMILARITY = 9, 5, 10.0
+#: Documents of one fingerprint that meet in one task; more are cut into blocks.
+BLOCK = 1000
+_BLANKS = re.compile("[ \t\r]+")
+_SCHEMA = "pos int, h string, first int, last int"
 
 
-def words(text: Column) -> Column:
-    return F.filter(F.split(text, "[ \t\n\r]+"), lambda w: w != "")
-
-
-def words_with_lines(text: Column) -> Column:
-    """array<struct<token, line>>, lines counted from 1."""
-    return F.flatten(F.transform(F.split(text, "\n"), lambda line, i: F.transform(words(line), lambda w: F.struct(w.alias("token"), (i + 1).cast("int").alias("line")))))
-
-
-def grams(tokens: Column, lines: Column, k: int = K) -> Column:
-    """array<struct<h, first, last>> of the k-grams: 16 hex digits of the joined tokens' MD5, and their lines.
-
-    tokens and lines are columns of a frame, not expressions, as the lambda mentions them for every k-gram.
-    """
-    spans = F.when(F.size(tokens) >= k, F.sequence(F.lit(1), F.size(tokens) - (k - 1))).otherwise(F.array().cast("array<int>"))
+def words_with_lines(text: str | None) -> tuple[list[str], list[int]]:
+    """A text's words and the lines they stand in, counted from 1."""
+    words, lines = [], []
+    for number, line in enumerate((text or "").split("\n"), 1):
+        found = [w for w in _BLANKS.split(line) if w]
+        words += found
+        lines += [number] * len(found)
+    return words, lines
 
-    def gram(i: Column) -> Column:
-        h = F.substring(F.md5(F.array_join(F.slice(tokens, i, k), "|")), 1, 16)
-        return F.struct(h.alias("h"), F.element_at(lines, i).alias("first"), F.element_at(lines, i + (k - 1)).alias("last"))
 
-    return F.transform(spans, gram)
+def gram_hashes(tokens: list[str], k: int = K) -> list[str]:
+    """16 hexadecimal digits for every k-gram."""
+    return [md5("|".join(tokens[i : i + k]).encode(), usedforsecurity=False).hexdigest()[:16] for i in range(len(tokens) - k + 1)]
 
 
-def winnowed(hashes: Column, window: int = WINDOW) -> Column:
+def winnowed(hashes: list[str], window: int = WINDOW) -> np.ndarray:
     """Sorted positions (from 0) of the selected k-grams: each window's least hash, the rightmost of equals; of fewer
-    k-grams than a window, the leftmost least. hashes is a column of a frame."""
-    starts = F.when(F.size(hashes) >= window, F.sequence(F.lit(0), F.size(hashes) - window)).otherwise(F.array().cast("array<int>"))
-
-    def least(s: Column) -> Column:
-        part = F.slice(hashes, s + 1, window)
-        return (s + window - F.array_position(F.reverse(part), F.array_min(part))).cast("int")
-
-    short = F.when(F.size(hashes) > 0, F.array((F.array_position(hashes, F.array_min(hashes)) - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
-    return F.when(F.size(hashes) >= window, F.array_distinct(F.transform(starts, least))).otherwise(short)
-
-
-def held(expression: Column, name: str) -> Column:
-    """The expression as a generator's output: computed once per row, not wherever a lambda mentions it."""
-    return F.explode(F.array(expression)).alias(name)
+    k-grams than a window, the leftmost least."""
+    if len(hashes) < window:
+        return np.array([min(range(len(hashes)), key=hashes.__getitem__)] if hashes else [], np.int64)
+    values = np.array(hashes, dtype=f"S{max(map(len, hashes))}")
+    order = np.unique(values, return_inverse=True)[1]  # ranks compare as the digits do
+    parts = np.lib.stride_tricks.sliding_window_view(order, window)[:, ::-1]
+    return np.unique(np.arange(len(parts)) + window - 1 - parts.argmin(axis=1))
+
+
+def _rows(docs: DataFrame, key: str, columns: list[str], tokens_of: Callable, chosen: Callable[[list[str]], np.ndarray], k: int) -> DataFrame:
+    """(key, pos, h, first, last) of the chosen k-grams of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, pos, digits, first, last = [], [], [], [], []
+            for row, values in enumerate(zip(*(batch.column(c).to_pylist() for c in columns), strict=True)):
+                tokens, lines = tokens_of(*values)
+                hashes = gram_hashes(tokens, k)
+                use = chosen(hashes).tolist()
+                at += [row] * len(use)
+                pos += use
+                digits += [hashes[i] for i in use]
+                first += [lines[i] for i in use]
+                last += [lines[i + k - 1] for i in use]
+            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(at, pa.int64())), pa.array(pos, pa.int32()), pa.array(digits, pa.string()), pa.array(first, pa.int32()), pa.array(last, pa.int32())], [key, "pos", "h", "first", "last"])
+
+    return docs.select(key, *columns).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, {_SCHEMA}")
 
 
 def document_grams(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K) -> DataFrame:
-    """(key, grams) of each document."""
-    made = docs.select(key, held(words_with_lines(F.col(text)), "t")).select(key, F.col("t.token").alias("tokens"), F.col("t.line").alias("lines"))
-    return made.select(key, held(F.col("tokens"), "tokens"), "lines").select(key, "tokens", held(F.col("lines"), "lines")).select(key, held(grams(F.col("tokens"), F.col("lines"), k), "grams"))
+    """(key, pos, h, first, last) of all k-grams."""
+    return _rows(docs, key, [text], words_with_lines, lambda hashes: np.arange(len(hashes)), k)
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, pos, h, first, last) of the winnowed k-grams."""
-    made = document_grams(docs, key, text)
-    made = made.select(key, "grams", held(F.col("grams.h"), "hashes"))
-    made = made.select(key, "grams", F.explode(winnowed(F.col("hashes"))).alias("pos"))
-    at = F.element_at("grams", F.col("pos") + 1)
-    return made.select(key, "pos", at["h"].alias("h"), at["first"].alias("first"), at["last"].alias("last"))
+    """(key, pos, h, first, last) of the winnowed k-grams of texts."""
+    return _rows(docs, key, [text], words_with_lines, winnowed, K)
+
+
+def token_fingerprints(docs: DataFrame, key: str) -> DataFrame:
+    """(key, pos, h, first, last) of the winnowed k-grams of token lists (key, tokens, lines)."""
+    return _rows(docs, key, ["tokens", "lines"], lambda tokens, lines: (tokens or [], lines or []), winnowed, K)
 
 
 def pairs(prints: DataFrame, key: str = "doc_id", least: float = LEAST_SIMILARITY) -> DataFrame:
     """(doc_a, doc_b, shared, similarity) of pairs that share fingerprints, by Jaccard of the fingerprint sets.
 
-    Only fingerprints of two documents or more enter the self-join.
+    Only fingerprints of two documents or more enter the self-join. The documents of one that very many share are cut
+    into blocks, and block meets block. Pairs whose sizes alone rule the similarity out go before they are counted.
     """
     each = prints.select(F.col(key).alias("doc"), "h").distinct()
     sizes = each.groupBy("doc").agg(F.count("*").alias("n"))
-    common = each.join(each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1").select("h"), "h")
-    a, b = common.select(F.col("doc").alias("doc_a"), "h"), common.select(F.col("doc").alias("doc_b"), "h")
-    shared = a.join(b, "h").where("doc_a < doc_b").groupBy("doc_a", "doc_b").agg(F.count("*").alias("shared"))
-    sized = shared.join(sizes.select(F.col("doc").alias("doc_a"), F.col("n").alias("na")), "doc_a").join(sizes.select(F.col("doc").alias("doc_b"), F.col("n").alias("nb")), "doc_b")
+    often = each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1").select("h", F.ceil(F.col("df") / BLOCK).cast("int").alias("blocks"))
+    common = each.join(sizes, "doc").join(often, "h").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    a = common.select(F.col("doc").alias("doc_a"), F.col("n").alias("na"), "h", F.col("own").alias("x"), every.alias("y"))
+    b = common.select(F.col("doc").alias("doc_b"), F.col("n").alias("nb"), "h", F.col("own").alias("y"), every.alias("x"))
+    # the most that two sets can share is the smaller one
+    possible = (F.col("doc_a") < F.col("doc_b")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * (least - 0.1))
+    shared = a.join(b, ["h", "x", "y"]).where(possible).groupBy("doc_a", "doc_b", "na", "nb").agg(F.count("*").alias("shared"))
     similarity = F.round(scoring.share(F.col("shared"), F.col("na") + F.col("nb") - F.col("shared")) * 100, 1)
-    return sized.select("doc_a", "doc_b", "shared", similarity.alias("similarity")).where(F.col("similarity") >= least)
+    return shared.select("doc_a", "doc_b", "shared", similarity.alias("similarity")).where(F.col("similarity") >= least)
 
 
 def merge_ranges(ranges: DataFrame, *keys: str) -> DataFrame:

@@ -7,21 +7,18 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import scoring, text
 from sparkloom.operators import code, duplication, findings, history, quality
+from sparkloom.session import written
 from sparkloom.sources import python_ast
 
 
 def analyze(files: DataFrame, changes: DataFrame | None = None, advisories: DataFrame | None = None) -> dict[str, DataFrame]:
     """Frames of one run over (path, source); one parse serves all of them. changes has the roles of a change log."""
-    nodes = python_ast.parse(files).persist()
+    nodes = written(python_ast.parse(files))
     loc = files.select("path", text.code_lines(F.col("source")).alias("loc"))
     functions = code.complexity(nodes)
     totals = functions.groupBy("path").agg(F.sum("complexity").alias("complexity"))
     tokens = python_ast.tokens(nodes).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("pos", "token", "lineno"))).alias("t"))
-    grams = tokens.select("path", duplication.held(F.col("t.token"), "tokens"), "t").select("path", "tokens", duplication.held(F.col("t.lineno"), "lines"))
-    grams = grams.select("path", duplication.held(duplication.grams(F.col("tokens"), F.col("lines")), "grams")).select("path", "grams", duplication.held(F.col("grams.h"), "hashes"))
-    prints = grams.select("path", "grams", F.explode(duplication.winnowed(F.col("hashes"))).alias("pos"))
-    at = F.element_at("grams", F.col("pos") + 1)
-    prints = prints.select("path", "pos", at["h"].alias("h"), at["first"].alias("first"), at["last"].alias("last")).persist()
+    prints = written(duplication.token_fingerprints(tokens.select("path", F.col("t.token").alias("tokens"), F.col("t.lineno").alias("lines")), "path"))
     pairs = duplication.pairs(prints, "path")
     ranges = duplication.shared_ranges(prints, pairs, "path")
     lines = duplication.duplicated_lines(ranges, loc.withColumnRenamed("path", "doc_id"))

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from sparkloom.functions import scoring, text
 from sparkloom.operators import duplication, findings, quality, usage
 from sparkloom.plans.history_queries import table
+from sparkloom.session import written
 
 #: Words that stand for a branch in prose.
 BRANCH = ("and", "or", "if", "und", "oder", "et", "ou", "y", "o")
 
 
 def kgram_hashes(s, d):
-    docs = duplication.document_grams(table(s, d, "documents"))
-    return docs.select("doc_id", F.posexplode("grams").alias("pos", "gram")).select("doc_id", "pos", F.col("gram.h").alias("h"))
+    return duplication.document_grams(table(s, d, "documents")).select("doc_id", "pos", "h")
 
 
 def winnow_fingerprints(s, d):
@@ -22,11 +22,11 @@ def winnow_fingerprints(s, d):
 
 
 def duplicate_pairs(s, d):
-    return duplication.pairs(duplication.fingerprints(table(s, d, "documents")).persist()).select("doc_a", "doc_b", F.col("shared").cast("long"), "similarity").orderBy(F.desc("similarity"), "doc_a", "doc_b")
+    return duplication.pairs(written(duplication.fingerprints(table(s, d, "documents")))).select("doc_a", "doc_b", F.col("shared").cast("long"), "similarity").orderBy(F.desc("similarity"), "doc_a", "doc_b")
 
 
 def _ranges(s, d):
-    prints = duplication.fingerprints(table(s, d, "documents")).persist()  # read four times
+    prints = written(duplication.fingerprints(table(s, d, "documents")))  # read four times
     return duplication.shared_ranges(prints, duplication.pairs(prints))
 
 
@@ -250,7 +250,7 @@ _BR = f"br AS (SELECT doc_id, source, lang, len(list_filter(regexp_extract_all(t
 _MI = f"""
 mi0 AS (SELECT hal.doc_id, round(volume, 2) AS volume, complexity, {_LOC.format(t='text')} AS loc FROM hal JOIN br USING (doc_id) JOIN documents d ON d.doc_id = hal.doc_id),
 mi1 AS (SELECT *, greatest(0.0, least(100.0, (171 - 5.2 * ln(greatest(volume, 1)) - 0.23 * complexity - 16.2 * ln(greatest(loc, 1))) * 100 / 171)) AS raw FROM mi0),
-mi AS (SELECT doc_id, volume, complexity, loc, round(raw, 1) AS mi, CASE WHEN raw >= 80 THEN 'A' WHEN raw >= 60 THEN 'B' WHEN raw >= 40 THEN 'C' ELSE 'D' END AS rating FROM mi1)"""
+mi AS (SELECT doc_id, volume, complexity, loc, round(raw, 1) AS mi, CASE WHEN raw >= 80 THEN 'Excellent' WHEN raw >= 60 THEN 'Good' WHEN raw >= 40 THEN 'Fair' ELSE 'Poor' END AS rating FROM mi1)"""
 
 
 def _health_sql(key: str) -> str:

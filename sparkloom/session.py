@@ -2,7 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import re
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def working_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, below spark.checkpoint.dir; where that is unset, one of a session
+    on a single machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
+        folder = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return f"{folder.rstrip('/')}/sparkloom-{uuid.uuid4().hex}"
 
 
 def build_session(app: str = "sparkloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -20,3 +36,10 @@ def build_session(app: str = "sparkloom", master: str | None = None, **conf: str
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def written(frame: DataFrame) -> DataFrame:
+    """The frame as a table of its own in a working folder: computed once, whoever reads it, and held by no executor."""
+    path, schema = working_folder(frame.sparkSession), frame.schema
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(schema).parquet(path)
