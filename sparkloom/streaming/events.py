@@ -1,10 +1,11 @@
-"""Streams of events: filtering, windows, deduplication, baselines and upserts.
+"""Streams of events: filtering, windows, deduplication and upserts.
 
 Each transformation takes and returns a DataFrame and works alike on streams and tables.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,30 +45,53 @@ def first_of_each(events: DataFrame, keys: list[str], ts: str = "ts", late: str
     return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
 
-def upsert(path: str, keys: list[str], order: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: keeps the newest row per key in a table, whatever is delivered twice."""
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The finished versions of an upserted table, oldest first."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(conf)
+    if not files.exists(folder):
+        return []
+    done = [s.getPath() for s in files.listStatus(folder) if files.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    return sorted(int(p.getName()[1:]) for p in done)
+
+
+def current(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """The newest finished version of an upserted table, empty if there is none."""
+    found = versions(spark, path)
+    return spark.read.schema(schema).parquet(f"{path}/v{found[-1]}") if found else spark.createDataFrame([], schema)
+
+
+def upsert(path: str, keys: list[str], order: str, keep: int = 2) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: keeps the newest row per key in a table, whatever is delivered twice.
+
+    Every batch writes a version of its own beside the others and reads the newest finished one, so a stream that
+    begins anew with another checkpoint goes on from what is there. A batch that comes again changes nothing, as the
+    newest row of a key stays the newest. The last `keep` versions stay for readers, older ones go.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        newest = batch.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), order).alias("row")).select("row.*")
-        old, new = f"{path}/v{epoch - 1}", f"{path}/v{epoch}"
-        try:
-            known = spark.read.schema(batch.schema).parquet(old)
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            known = spark.createDataFrame([], batch.schema)
-        both = known.unionByName(newest).groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), order).alias("row")).select("row.*")
-        both.write.mode("overwrite").parquet(new)
+        found = versions(spark, path)
+        newest = lambda rows: rows.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), order).alias("row")).select("row.*")
+        newest(current(spark, path, batch.schema).unionByName(newest(batch))).write.mode("overwrite").parquet(f"{path}/v{found[-1] + 1 if found else 0}")
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for old in found[: max(0, len(found) + 1 - keep)]:
+            gone = jvm.org.apache.hadoop.fs.Path(f"{path}/v{old}")
+            gone.getFileSystem(conf).delete(gone, True)
 
     return write
 
 
-def drain(stream: DataFrame, name: str, mode: str, checkpoint: str | None = None) -> DataFrame:
-    """Runs a stream over all that is there and returns the result as a table."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    query = writer.start()
+def drain(stream: DataFrame, folder: str, mode: str) -> DataFrame:
+    """Runs a stream over all that is there and returns its result as a table in the folder; nothing is gathered in the
+    driver. A complete result is that of the last batch."""
+    spark, name = stream.sparkSession, uuid.uuid4().hex
+    out, checkpoint = f"{folder}/stream-{name}", f"{folder}/stream-checkpoint-{name}"
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode == "append":
+        query = writer.format("parquet").option("path", out).start()
+    else:
+        query = writer.foreachBatch(lambda batch, epoch: batch.write.mode("overwrite").parquet(out)).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(out)
