@@ -10,8 +10,16 @@ from sparkloom.operators import findings, quality, usage
 
 FUNCTION = ("FunctionDef", "AsyncFunctionDef")
 #: Node kinds that are Halstead operators besides the operator kinds themselves.
-OPERATOR_KINDS = tuple("Add Sub Mult MatMult Div Mod Pow LShift RShift BitOr BitXor BitAnd FloorDiv Invert Not UAdd USub And Or Eq NotEq Lt LtE Gt GtE Is IsNot In NotIn".split())
-KEYWORD_KINDS = tuple("If For AsyncFor While Try With AsyncWith Return Break Continue Raise Assert Import ImportFrom Global Nonlocal Lambda Yield YieldFrom Await FunctionDef AsyncFunctionDef ClassDef Assign AugAssign AnnAssign Delete Call Subscript comprehension IfExp".split())
+OPERATOR_KINDS = (
+    "Add", "Sub", "Mult", "MatMult", "Div", "Mod", "Pow", "LShift", "RShift", "BitOr", "BitXor", "BitAnd", "FloorDiv", "Invert", "Not", "UAdd", "USub",
+    "And", "Or", "Eq", "NotEq", "Lt", "LtE", "Gt", "GtE", "Is", "IsNot", "In", "NotIn",
+)
+KEYWORD_KINDS = (
+    "If", "For", "AsyncFor", "While", "Try", "With", "AsyncWith", "Return", "Break", "Continue", "Raise", "Assert", "Import", "ImportFrom", "Global", "Nonlocal",
+    "Lambda", "Yield", "YieldFrom", "Await", "FunctionDef", "AsyncFunctionDef", "ClassDef", "Assign", "AugAssign", "AnnAssign", "Delete", "Call", "Subscript",
+    "comprehension", "IfExp",
+)
+#: Statements after which a block goes no further, and calls that may read any local name.
 TERMINATORS = ("Return", "Raise", "Break", "Continue")
 DYNAMIC_SCOPE = ("locals", "vars", "eval", "exec", "globals")
 
@@ -46,6 +54,19 @@ def complexity(nodes: DataFrame) -> DataFrame:
     return functions.join(points, ["path", "node_id"], "left").select("path", "name", "lineno", (F.coalesce("points", F.lit(0)) + 1).cast("long").alias("complexity"))
 
 
+def file_complexity(nodes: DataFrame) -> DataFrame:
+    """(path, functions, total, average, maximum) of every file, those without functions too; average to two places."""
+    paths = nodes.select("path").distinct()
+    rows = complexity(nodes).groupBy("path").agg(F.count("*").alias("functions"), F.sum("complexity").alias("total"), F.round(F.avg("complexity"), 2).alias("average"), F.max("complexity").alias("maximum"))
+    zero = {"functions": 0, "total": 0, "average": 0.0, "maximum": 0}
+    return paths.join(rows, "path", "left").na.fill(zero)
+
+
+def high_risk(nodes: DataFrame, above: int = 10) -> DataFrame:
+    """Functions more complex than `above`, the most complex first."""
+    return complexity(nodes).where(F.col("complexity") > above).orderBy(F.desc("complexity"), "path", "lineno")
+
+
 def halstead(nodes: DataFrame) -> DataFrame:
     kind = F.when(F.col("kind").isin(*OPERATOR_KINDS, *KEYWORD_KINDS), "operator").when(F.col("kind").isin("Name", "arg", "Attribute", "Constant"), "operand")
     token = F.when(kind == "operator", F.col("kind")).when(F.col("kind") == "Constant", F.concat(F.lit("const:"), attr("value"))).otherwise(F.col("name"))
@@ -108,16 +129,51 @@ def practices(nodes: DataFrame) -> DataFrame:
     function = F.col("kind").isin(*FUNCTION)
     rules = [
         ("bare_except", "", (F.col("kind") == "ExceptHandler") & yes("bare")),
-        ("mutable_default_arg", "", function & yes("mutable_default")),
         ("too_many_args", "", function & (F.coalesce(attr("args").cast("int"), F.lit(0)) > 5)),
         ("wildcard_import", "", (F.col("kind") == "ImportFrom") & yes("star")),
         ("dangerous_call", "", call & yes("bare") & attr("simple").isin("eval", "exec")),
     ]
     rows = nodes.select("path", F.col("lineno").alias("line"), _rules(rules).alias("r")).select("path", "line", F.col("r.rule").alias("rule"))
+    mutable = F.coalesce(attr("mutable_defaults").cast("int"), F.lit(0))
+    defaults = nodes.where(function & (mutable > 0)).select("path", F.col("lineno").alias("line"), F.explode(F.sequence(F.lit(1), mutable)).alias("nth"))
+    rows = rows.unionByName(defaults.select("path", "line", F.lit("mutable_default_arg").alias("rule")))
     globals_ = nodes.where(F.col("kind") == "Global").select("path", F.col("lineno").alias("line"), F.explode(F.split(attr("names"), ",")).alias("name"))
     return rows.unionByName(globals_.select("path", "line", F.lit("global_variable").alias("rule")))
 
 
+def all_findings(nodes: DataFrame) -> DataFrame:
+    """(path, line, rule, severity, in_test) of calls, assertions and secrets; all of a test file's one rung lower."""
+    from sparkloom.functions import scoring
+
+    test = text.is_test_path(F.col("path"))
+    found = secrets(nodes).select("path", "line", "rule", F.when(test, scoring.downgrade(F.col("severity"))).otherwise(F.col("severity")).alias("severity"), test.alias("in_test"))
+    return security(nodes).unionByName(found)
+
+
+def dead_items(nodes: DataFrame, files: DataFrame) -> DataFrame:
+    """(category, path, name, lineno, lines, confidence) of everything dead: functions, classes, imports, locals, and
+    statements that nothing reaches."""
+    none = F.lit(None).cast("string")
+    defined = dead_definitions(nodes).select(F.when(F.col("kind") == "class", "class").otherwise("function").alias("category"), "path", "name", "lineno", F.col("lines").cast("long").alias("lines"), "confidence")
+    other = lambda rows, category, name, lines=F.lit(0): rows.select(F.lit(category).alias("category"), "path", name.alias("name"), "lineno", lines.cast("long").alias("lines"), none.alias("confidence"))
+    return (
+        defined.unionByName(other(unused_imports(nodes, files), "import", F.col("name")))
+        .unionByName(other(unused_locals(nodes), "local", F.col("name")))
+        .unionByName(other(unreachable(nodes), "unreachable", none, F.col("remaining")))
+    )
+
+
+def hinted_functions(nodes: DataFrame) -> DataFrame:
+    """(path, name, label, lineno, parameters, filled): label is the name with its class before it."""
+    classes = nodes.where("kind = 'ClassDef'").select("path", F.col("node_id").alias("parent_id"), F.col("name").alias("owner"))
+    rows = nodes.where(F.col("kind").isin(*FUNCTION)).join(classes, ["path", "parent_id"], "left")
+    return rows.select("path", "name", F.concat_ws(".", "owner", "name").alias("label"), "lineno", (attr("slots").cast("long") - 1).alias("parameters"), attr("filled").cast("long").alias("filled"))
+
+
+def annotated_variables(nodes: DataFrame) -> DataFrame:
+    return nodes.groupBy("path").agg(F.count_if(F.col("kind") == "AnnAssign").alias("annotated_variables"))
+
+
 def type_hints(nodes: DataFrame) -> DataFrame:
     """Coverage per file: parameters but self and cls, and the return value."""
     slots = nodes.where(F.col("kind").isin(*FUNCTION)).select("path", attr("filled").cast("long").alias("filled"), attr("slots").cast("long").alias("total"))

@@ -68,19 +68,23 @@ def security_score(code: DataFrame, loc: Column, dependencies: DataFrame | None
     return total.select(F.round(scoring.security_score(F.col("code"), loc, worst), 1).alias("score"))
 
 
-def requirements(lines: DataFrame, most: int = 200) -> DataFrame:
+def requirements(lines: DataFrame) -> DataFrame:
     """From (source, line_no, line): package, version, pinned, operator, source. Comments and markers go; the first
-    mention of a name and version wins; at most `most` dependencies are looked up, in order of mention."""
+    mention of a name and version wins."""
     bare = F.trim(F.substring_index(F.substring_index("line", "#", 1), ";", 1))
     part = lambda i: F.regexp_extract(bare, text.REQUIREMENT, i)
     rows = lines.select("source", "line_no", F.lower(part(1)).alias("package"), part(2).alias("operator"), part(3).alias("version")).where("package <> ''")
     rows = first_wins(rows, [F.col("package"), F.col("version")], [F.col("source"), F.col("line_no")])
-    return rows.withColumn("pinned", F.col("operator") == "==").orderBy("source", "line_no").limit(most)
+    return rows.withColumn("pinned", F.col("operator") == "==").orderBy("source", "line_no")
 
 
-def advisory_matches(dependencies: DataFrame, advisories: DataFrame) -> DataFrame:
-    """Dependencies joined with the advisories on their version; up to three fixed versions, in text order."""
+def advisory_matches(dependencies: DataFrame, advisories: DataFrame, most: int = 200) -> DataFrame:
+    """Dependencies joined with the advisories on their version; up to three fixed versions, in text order. A lookup
+    asks for the first `most` dependencies, in order of mention. A record without details says so."""
     fixes = F.slice(F.array_sort(F.array_distinct("fixed_versions")), 1, 3)
+    dependencies = dependencies.orderBy("source", "line_no").limit(most)
+    if "summary" in advisories.columns:
+        advisories = advisories.withColumn("summary", F.trim(F.left(F.coalesce("summary", F.lit("Advisory details unavailable.")), F.lit(300))))
     out = dependencies.join(advisories.withColumn("fixed_versions", fixes), ["package", "version"])
     return out.orderBy(scoring.severity_rank(F.col("severity")), "package", "vulnerability_id")
 
@@ -92,3 +96,17 @@ def advisory_severity(word: Column, scores: Column, affected_words: Column) -> C
     high = F.exists(scores, lambda s: s.contains("C:H") | s.contains("I:H"))
     named = F.filter(F.transform(affected_words, lambda w: known[F.upper(w)]), lambda w: w.isNotNull())
     return F.coalesce(known[F.upper(word)], F.when(critical, "critical"), F.when(high, "high"), F.try_element_at(named, F.lit(1)), F.lit("medium"))
+
+
+def dependency_summary(dependencies: DataFrame, matches: DataFrame | None) -> DataFrame:
+    """One row: whether the advisories could be asked, dependencies, unpinned ones, advisories, vulnerable packages."""
+    row = dependencies.agg(F.count("*").alias("dependencies_checked"), F.count_if(~F.col("pinned")).alias("unpinned_count"))
+    if matches is None:
+        return row.select(F.lit(False).alias("available"), "*", F.lit(0).cast("long").alias("vulnerabilities"), F.lit(0).cast("long").alias("vulnerable_package_count"))
+    found = matches.agg(F.count("*").alias("vulnerabilities"), F.countDistinct("package").alias("vulnerable_package_count"))
+    return row.withColumn("available", F.lit(True)).join(found).select("available", "dependencies_checked", "unpinned_count", "vulnerabilities", "vulnerable_package_count")
+
+
+def severity_shares(counts: DataFrame) -> DataFrame:
+    """Each rung's share of all findings (severity, findings), 0 where there are none."""
+    return counts.withColumn("share", scoring.share(F.col("findings"), F.sum("findings").over(W.partitionBy())))

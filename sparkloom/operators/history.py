@@ -85,7 +85,9 @@ def coupling(baskets: DataFrame, most_items: int = 30, least_support: int = 3, l
     """
     rows = baskets.distinct()
     alone = rows.groupBy("item").agg(F.count("*").alias("n"))
-    usable = rows.groupBy("basket").agg(F.array_sort(F.collect_list("item")).alias("items")).where(F.size("items").between(2, most_items))
+    # counted before anything is collected, so that a giant basket is never one array
+    fit = rows.groupBy("basket").agg(F.count("*").alias("size")).where(F.col("size").between(2, most_items))
+    usable = rows.join(fit, "basket").groupBy("basket").agg(F.array_sort(F.collect_list("item")).alias("items"))
     pairs = usable.select(F.posexplode("items").alias("at", "a"), "items").select("a", F.explode(F.slice("items", F.col("at") + 2, F.size("items"))).alias("b"))
     support = pairs.groupBy("a", "b").agg(F.count("*").alias("co_changes")).where(F.col("co_changes") >= least_support)
     na, nb = alone.select(F.col("item").alias("a"), F.col("n").alias("na")), alone.select(F.col("item").alias("b"), F.col("n").alias("nb"))
@@ -102,3 +104,9 @@ def available(changes: DataFrame, commit: str = "sha", least: int = 5) -> bool:
 def period_days(changes: DataFrame) -> DataFrame:
     span = F.floor((F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / F.lit(86_400_000_000.0))
     return changes.agg(F.greatest(F.lit(1), span.cast("long")).alias("period_days"))
+
+
+def summary(spots: DataFrame, pairs: DataFrame, risky: DataFrame) -> DataFrame:
+    """One row: critical and high ones among the listed hotspots, listed couplings, and all files at risk."""
+    counts = spots.agg(F.count_if(F.col("category") == "critical").alias("critical_hotspots"), F.count_if(F.col("category") == "high").alias("high_hotspots"))
+    return counts.join(pairs.agg(F.count("*").alias("coupled_pairs"))).join(risky.agg(F.count("*").alias("knowledge_risk_files")))

@@ -46,7 +46,13 @@ def unpivoted(runs: DataFrame, *keys: str, metrics: list[str]) -> DataFrame:
 def differences(snapshots: DataFrame, metrics: DataFrame, run: str, *series: str) -> DataFrame:
     """Each run's metrics against the run before it in its series; pairs with a gap are left out."""
     before = F.lag("value").over(W.partitionBy(*series, "metric").orderBy(run))
-    rows = snapshots.withColumn("before", before).where(F.col("before").isNotNull() & F.col("value").isNotNull()).join(metrics, "metric")
+    return changed(snapshots.withColumn("before", before).join(metrics, "metric"))
+
+
+def changed(rows: DataFrame) -> DataFrame:
+    """Rows (before, value or after, threshold, higher_is_better) with delta, percent and direction; gaps are left out."""
+    rows = rows.withColumnRenamed("after", "value") if "after" in rows.columns else rows
+    rows = rows.where(F.col("before").isNotNull() & F.col("value").isNotNull())
     delta = F.round(F.col("value") - F.col("before"), 2)
     percent = F.when(F.col("before") != 0, F.round(delta / F.abs("before") * 100, 1))
     rows = rows.withColumn("delta", delta).withColumn("percent", percent)
@@ -77,3 +83,17 @@ def series(rows: DataFrame, order: list[str], limit: int = 50) -> DataFrame:
     """The newest `limit` rows, oldest first, numbered."""
     newest = rows.orderBy(*[F.desc(c) for c in order]).limit(limit)
     return newest.withColumn("point", F.row_number().over(W.orderBy(*order)).cast("long")).orderBy("point")
+
+
+def points(rows: DataFrame, value: str, *order: str) -> DataFrame:
+    """A series with each point's number, its change against the point before, and its height between the series'
+    lowest and highest value; a flat series lies in the middle."""
+    by, all_ = W.orderBy(*order), W.partitionBy()
+    low, high = F.min(value).over(all_), F.max(value).over(all_)
+    height = F.when(high > low, (F.col(value) - low) / (high - low)).otherwise(0.5)
+    return rows.select("*", F.row_number().over(by).cast("long").alias("point"), (F.col(value) - F.lag(value).over(by)).alias("delta"), height.alias("height"))
+
+
+def headlines(changes: DataFrame, wanted: bool = True) -> DataFrame:
+    """The headline changes, or all others."""
+    return changes.where(F.col("headline") if wanted else ~F.col("headline"))

@@ -10,10 +10,10 @@ from sparkloom.functions import scoring, text
 
 #: Names, decorators and files that a framework or an interpreter reaches.
 ENTRY_POINTS = ("main", "app", "application", "handler", "lambda_handler", "cli")
-FRAMEWORK_DECORATORS = tuple(
-    "route get post put patch delete websocket task job command group fixture hookimpl property setter getter deleter cached_property "
-    "staticmethod classmethod abstractmethod overload receiver signal event on listens_for validator field_validator model_validator "
-    "root_validator setup teardown before_request after_request".split()
+FRAMEWORK_DECORATORS = (
+    "route", "get", "post", "put", "patch", "delete", "websocket", "task", "job", "command", "group", "fixture", "hookimpl", "property", "setter",
+    "getter", "deleter", "cached_property", "staticmethod", "classmethod", "abstractmethod", "overload", "receiver", "signal", "event", "on", "listens_for",
+    "validator", "field_validator", "model_validator", "root_validator", "setup", "teardown", "before_request", "after_request",
 )
 SPECIAL_FILES = ("conftest.py", "setup.py", "manage.py", "wsgi.py", "asgi.py")
 
@@ -75,3 +75,28 @@ def coverage(slots: DataFrame, *keys: str, empty: float = 100.0) -> DataFrame:
 
 def worst_coverage(covered: DataFrame, *keys: str, least_items: int = 2, limit: int = 20) -> DataFrame:
     return covered.where(F.col("items") >= least_items).orderBy("coverage", F.desc("items"), *keys).limit(limit)
+
+
+def untyped_public(functions: DataFrame, limit: int = 30) -> DataFrame:
+    """Public functions (path, name, lineno, parameters, filled) with parameters and nothing annotated, most first."""
+    rows = functions.where(~F.col("name").startswith("_") & (F.col("filled") == 0) & (F.col("parameters") > 0))
+    return rows.select("path", F.col("label").alias("name"), "lineno", "parameters").orderBy(F.desc("parameters"), "path", "lineno").limit(limit)
+
+
+def dead_totals(items: DataFrame, lines_of_code: Column) -> DataFrame:
+    """One row from all dead items (category, lines, confidence): counts by category, dead lines and their share."""
+    per = lambda c: F.count_if(F.col("category") == c)
+    dead = F.col("category").isin("function", "class")
+    lines = F.coalesce(F.sum(F.when(dead, F.col("lines"))), F.lit(0)).cast("long")
+    counts = items.agg(
+        per("function").alias("dead_functions"), per("class").alias("dead_classes"), per("import").alias("unused_imports"), per("local").alias("unused_locals"), per("unreachable").alias("unreachable_code"),
+        F.count("*").alias("total_items"), lines.alias("dead_lines"), F.count_if(dead & (F.col("confidence") == "high")).alias("high_confidence_count"), lines_of_code.alias("loc"),
+    )
+    return counts.withColumn("dead_code_percentage", F.round(scoring.share(F.col("dead_lines") * 100, F.col("loc")), 2)).drop("loc")
+
+
+def dead_lists(items: DataFrame, most: int = 50) -> DataFrame:
+    """The items of each category that a report lists: definitions by length, all others by place, `most` of each."""
+    longest = F.when(F.col("category").isin("function", "class"), -F.col("lines")).otherwise(0)
+    order = W.partitionBy("category").orderBy(longest, "path", "lineno", "name")
+    return items.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)

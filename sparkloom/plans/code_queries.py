@@ -90,7 +90,7 @@ SQL = {
     "ast_halstead": _values("path, n1, n2, total_operators, total_operands", "'app.py', 16::BIGINT, 16::BIGINT, 24::BIGINT, 27::BIGINT", "'tests/test_app.py', 5, 3, 5, 3", "'helpers.py', 10, 24, 20, 35"),
     "ast_security_rules": _values("path, line, rule, severity", "'app.py', 15, 'dangerous_eval', 'critical'", "'helpers.py', 7, 'weak_hash', 'medium'", "'helpers.py', 3, 'hardcoded_secret', 'high'", "'tests/test_app.py', 6, 'unsafe_deserialization', 'medium'"),
     "ast_dead_code": _values("path, lineno, kind, name", "'helpers.py', 10, 'function', '_orphan'", "'helpers.py', 14, 'class', 'Box'", "'helpers.py', 15, 'method', 'get'", "'app.py', 1, 'import', 'os'", "'app.py', 3, 'import', 'unused_name'", "'app.py', 19, 'unreachable', '1'"),
-    "ast_type_hints": _values("path, items, filled, total, coverage, rating", "'app.py', 1::BIGINT, 0::BIGINT, 3::BIGINT, 0.0::DOUBLE, 'D'", "'helpers.py', 3, 3, 10, 30.0, 'D'", "'tests/test_app.py', 1, 0, 1, 0.0, 'D'"),
+    "ast_type_hints": _values("path, items, filled, total, coverage, rating", "'app.py', 1::BIGINT, 0::BIGINT, 3::BIGINT, 0.0::DOUBLE, 'Poor'", "'helpers.py', 3, 3, 10, 30.0, 'Poor'", "'tests/test_app.py', 1, 0, 1, 0.0, 'Poor'"),
     "ast_bad_practices": _values("path, line, rule", "'app.py', 6, 'mutable_default_arg'", "'app.py', 15, 'dangerous_call'", "'app.py', 16, 'bare_except'", "'helpers.py', 15, 'too_many_args'", "'helpers.py', 16, 'global_variable'", "'tests/test_app.py', 2, 'wildcard_import'"),
     "gitlog_parse": _values("sha, author, email, local_date, path, ins, dels", "'a1', 'Ann', 'ann@x.org', DATE '2026-01-01', 'src/a.py', 3, 1", "'b2', 'bob@x.org', 'bob@x.org', DATE '2026-01-03', 'src/b.py', 1, 1", "'b2', 'bob@x.org', 'bob@x.org', DATE '2026-01-03', 'pkg/new.py', 4, 0"),
     "path_rules": _values("raw, result", "'a.py', 'a.py'", "'old.py => new.py', 'new.py'", "'src/{x => y}/m.py', 'src/y/m.py'", "'src/{ => sub}/m.py', 'src/sub/m.py'", "'src/{sub => }/m.py', 'src/m.py'", "'app.py', 'false'", "'tests/test_app.py', 'true'", "'pkg/conftest.py', 'true'", "'pkg/thing_test.py', 'true'", "'test/x.py', 'true'", "'latest/x.py', 'false'", "'https://host/o/repo.git', 'repo'", "'https://host/o/repo/', 'repo'"),

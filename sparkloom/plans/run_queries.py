@@ -126,7 +126,7 @@ QUERIES = {
 SQL = {
     "unused_entities": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderdate >= TIMESTAMP '2001-01-01')",
     "unused_per_scope": "SELECT l_partkey, l_suppkey FROM lineitem GROUP BY 1, 2 HAVING count(*) FILTER (WHERE l_returnflag = 'R') = 0",
-    "annotation_coverage": f"""WITH {_COV} SELECT source, lang, items, filled, total, "full", partial, untyped, round(raw, 1) AS coverage, CASE WHEN raw >= 90 THEN 'A' WHEN raw >= 70 THEN 'B' WHEN raw >= 40 THEN 'C' ELSE 'D' END AS rating FROM cv""",
+    "annotation_coverage": f"""WITH {_COV} SELECT source, lang, items, filled, total, "full", partial, untyped, round(raw, 1) AS coverage, CASE WHEN raw >= 90 THEN 'Excellent' WHEN raw >= 70 THEN 'Good' WHEN raw >= 40 THEN 'Fair' ELSE 'Poor' END AS rating FROM cv""",
     "worst_coverage": f"WITH {_COV} SELECT source, lang, items, round(raw, 1) AS coverage FROM cv WHERE items >= 2 ORDER BY round(raw, 1), items DESC, source, lang LIMIT 20",
     "metric_snapshots": f"WITH {_M} SELECT * FROM u",
     "snapshot_diff": f"WITH {_C} SELECT * FROM c",

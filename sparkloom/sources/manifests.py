@@ -10,6 +10,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Folders that hold no project's own manifests, and files that make a folder a Python project.
+PRUNED = (".git", "node_modules", ".venv", "venv", "__pycache__")
+MARKERS = ("pyproject.toml", "setup.py", "setup.cfg", "requirements.txt", "Pipfile")
+
+
+def own_files(files: DataFrame) -> DataFrame:
+    """Files (path, ...) none of whose folders is pruned."""
+    folders = F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1)
+    return files.where(~F.arrays_overlap(folders, F.array(*[F.lit(x) for x in PRUNED])))
+
+
+def is_project(paths: DataFrame) -> DataFrame:
+    """One row: whether any of the paths is a Python file or a project's marker."""
+    name = F.element_at(F.split("path", "/"), -1)
+    return paths.agg(F.coalesce(F.bool_or(name.endswith(".py") | name.isin(*MARKERS)), F.lit(False)).alias("is_project"))
+
+
 def requirement_lines(files: DataFrame) -> DataFrame:
     """(source, line_no, line) of (path, source) whose name speaks of requirements."""
     named = files.where(F.rlike(F.lower("path"), F.lit(r"[^/]*requirements[^/]*\.txt$")))

@@ -85,7 +85,7 @@ def attributes(node: ast.AST) -> dict[str, str]:
             a = node.args
             named = [x for x in (*a.posonlyargs, *a.args, *a.kwonlyargs, *filter(None, (a.vararg, a.kwarg))) if x.arg not in ("self", "cls")]
             out |= {"args": str(len(a.args)), "slots": str(len(named) + 1), "filled": str(sum(x.annotation is not None for x in named) + (node.returns is not None))}
-            out |= {"mutable_default": str(any(isinstance(d, ast.List | ast.Dict | ast.Set) for d in a.defaults)), "decorators": ",".join(filter(None, (dotted(d.func if isinstance(d, ast.Call) else d).split(".")[-1] for d in node.decorator_list)))}
+            out |= {"mutable_defaults": str(sum(isinstance(d, ast.List | ast.Dict | ast.Set) for d in a.defaults)), "decorators": ",".join(filter(None, (dotted(d.func if isinstance(d, ast.Call) else d).split(".")[-1] for d in node.decorator_list)))}
         case ast.ClassDef():
             out |= {"bases": str(len(node.bases)), "decorators": ",".join(filter(None, (dotted(d.func if isinstance(d, ast.Call) else d).split(".")[-1] for d in node.decorator_list)))}
         case ast.BoolOp():

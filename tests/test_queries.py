@@ -1,10 +1,10 @@
 import pytest
 from comparison import duck_rows, spark_rows
 
-from sparkloom.plans import code_queries, history_queries, run_queries, text_queries
+from sparkloom.plans import code_queries, history_queries, rule_queries, run_queries, store_queries, text_queries
 from sparkloom.streaming import event_queries
 
-MODULES = (history_queries, text_queries, run_queries, code_queries, event_queries)
+MODULES = (history_queries, text_queries, run_queries, store_queries, code_queries, rule_queries, event_queries)
 NAMES = [(m, n) for m in MODULES for n in m.QUERIES]
 
 
