@@ -24,13 +24,21 @@ def _judged(docs: DataFrame, judge: Callable[..., DataFrame], condition: Column)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a language; texts in several languages stay, whatever the main one's share."""
+    """Drops texts without a language; texts in several languages stay, whatever the main one's share.
+
+    Null and empty texts, and those without a letter, have none and go; equal rows stay or go together; a null id is
+    an id like others; columns of any name are carried.
+    """
     model = language_id.train(docs.where(remainder("doc_id", 3) != 1))
     return _judged(docs, lambda d, **k: language_id.identify(d, model, **k), F.col("lang_pred") != language_id.UND)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the classifier predicts to be toxic."""
+    """Drops documents that the classifier predicts to be toxic.
+
+    Null and empty texts hold no toxic word and stay; equal rows stay or go together; labels of unknown or null ids
+    are ignored; columns of any name are carried.
+    """
     rest = remainder("doc_id", 5)
     net = toxicity.train(docs.where(rest != 0), tables(spark, sf_dir, "labels").where(rest != 0))
     return _judged(docs, lambda d, **k: toxicity.score(d, net, **k), F.col("predicted") == 0)
@@ -39,7 +47,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each linked group, and every document without a word.
 
-    Rows are told apart by id and text; of rows equal in both, one stays. Keys to drop are broadcast if few.
+    Rows are told apart by id and text; of rows equal in both, one stays, whatever its other columns. Null and empty
+    texts link with nothing and stay; null ids come after all others. Keys to drop are broadcast if few.
     """
     found = stored(ngram_join.join(docs).where("n_shingles > 0"), "groups")
     keys = found.groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("many"))
@@ -56,7 +65,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, whole."""
+    """Each document as often as the mix takes it, whole.
+
+    Null and empty texts have no words and are not taken; equal rows count on their own; a null source is a source;
+    documents without a label have quality 1; columns of any name are carried.
+    """
     own = {f"__c{i}": c for i, c in enumerate(docs.columns)}
     at = {c: n for n, c in own.items()}
     plain = docs.select(*[F.col(f"`{c}`").alias(n) for n, c in own.items()])
@@ -68,7 +81,10 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, ids and the digests of ids and decoded text."""
+    """doc_id, lang, source, n_tokens, ids and the digests of ids and decoded text.
+
+    A null text is an empty one, with no tokens; equal rows are encoded alike, each on its own; a null id is kept.
+    """
     return bpe.encode(docs, bpe.default_vocabulary(), keep=("doc_id", "lang", "source"), outputs=("n_tokens", "ids", "ids_sha256", "decoded_sha256"))
 
 
