@@ -2,7 +2,7 @@
 
 Every source gets a target of words. Complete epochs of the source come first; the rest is a weighted sample without
 replacement: each document draws the exponential key -ln(u) / quality, documents are taken in order of the key, and
-a prefix sum over their sizes ends the sample at the budget. The order is cut into sqrt(rows) key ranges, whose sums
+a prefix sum over their sizes ends the sample at the budget. The order is cut into sqrt(rows) key ranges of like numbers of rows, whose sums
 are enough to decide all ranges but the one that holds the budget's end; only that range is sorted row by row, so no
 source, however large, meets in one task.
 
@@ -56,11 +56,26 @@ def targets(sources: DataFrame, weights: tuple[float, ...], share: float, most:
     return filled.select("__src", "source_size", F.when(F.col("__final").isNull() | (F.col("__final") * F.col("__w") > full), full).otherwise(F.col("__final") * F.col("__w")).cast("double").alias("target"))
 
 
-def plan_mix(sized: DataFrame, weights: tuple[float, ...], share: float, most: float) -> tuple[DataFrame, Column]:
-    """From (__src, __size, __key): one row per source with what decides its rows, and the rows' range column."""
-    n_ranges = F.lit(float(max(1, int(sized.count() ** 0.5))))
-    at = F.floor((F.lit(1.0) - F.exp(-F.col("__key"))) * n_ranges).cast("long")
-    ranges = sized.groupBy("__src", at.alias("__range")).agg(F.sum("__size").alias("__sum"))
+def with_ranges(sized: DataFrame, most_kinds: int = 1000) -> DataFrame:
+    """sized with __range: sqrt(rows) ranges of the key, by the share of its source's keys that are smaller.
+
+    The share is that of the mixture of exponentials that the source's qualities give, so ranges hold about as many
+    rows each, whatever the qualities; with more than `most_kinds` qualities in all it is that of quality 1. It never
+    falls with the key, so ranges only cut the order of the keys.
+    """
+    kinds = stored(sized.groupBy("__src", "__quality").agg(F.count("*").alias("n")), "kinds")
+    facts = kinds.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("kinds")).first()
+    n_ranges = F.lit(float(max(1, int(facts["n"] ** 0.5))))
+    if facts["kinds"] > most_kinds:
+        return sized.withColumn("__range", F.floor((F.lit(1.0) - F.exp(-F.col("__key"))) * n_ranges).cast("long"))
+    shares = kinds.groupBy("__src").agg(F.sort_array(F.collect_list(F.struct(F.col("__quality").alias("q"), "n"))).alias("__kinds"), F.sum("n").alias("__rows"))
+    below = F.aggregate("__kinds", F.lit(0.0), lambda a, k: a + k["n"] * (F.lit(1.0) - F.exp(-F.col("__key") * k["q"])))
+    return sized.join(F.broadcast(shares), "__src").withColumn("__range", F.floor(below / F.col("__rows") * n_ranges).cast("long")).drop("__kinds", "__rows")
+
+
+def plan_mix(sized: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
+    """From (__src, __size, __range): one row per source with what decides its rows."""
+    ranges = sized.groupBy("__src", "__range").agg(F.sum("__size").alias("__sum"))
     ranges = stored(ranges, "mix")
     plan = targets(ranges.groupBy("__src").agg(F.sum("__sum").alias("source_size")), weights, share, most)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
@@ -70,7 +85,7 @@ def plan_mix(sized: DataFrame, weights: tuple[float, ...], share: float, most: f
     # the range in which the budget ends; where it ends in none, all ranges are taken
     end = run.where(F.col("__upto") > F.col("__rest")).groupBy("__src").agg(F.min(F.struct("__range", (F.col("__upto") - F.col("__sum")).alias("__before"))).alias("__end"))
     plan = plan.join(end, "__src", "left").select("__src", "source_size", "target", "__epochs", "__rest", F.col("__end.__range").alias("__end"), F.col("__end.__before").alias("__before"))
-    return stored(plan, "mix"), at
+    return stored(plan, "mix")
 
 
 def mix(docs: DataFrame, size: Column, source: Column, id_text: Column, quality: Column, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17, whole: bool = False) -> DataFrame:
@@ -79,10 +94,12 @@ def mix(docs: DataFrame, size: Column, source: Column, id_text: Column, quality:
     `whole` False: the one document a source's budget ends in gives only as many words as fill it. True: that
     document is taken whole if at least half of it fits, else not at all.
     """
-    sized = docs.withColumn("__src", source_key(source)).withColumn("__size", size).withColumn("__quality", quality)
-    sized = sized.withColumn("__id", id_text).withColumn("__key", draw_key(F.col("__id"), F.col("__size"), F.col("__quality"), seed))
-    plan, at = plan_mix(sized.select("__src", "__size", "__key"), weights, share, most)
-    rows = sized.withColumn("__range", at).join(plan, "__src")
+    own = {f"__c{i}": c for i, c in enumerate(docs.columns)}  # names of our own, whatever the table's are
+    sized = docs.select(*[F.col(f"`{c}`").alias(n) for n, c in own.items()], source_key(source).alias("__src"), size.alias("__size"), quality.alias("__quality"), id_text.alias("__id"))
+    sized = sized.withColumn("__key", draw_key(F.col("__id"), F.col("__size"), F.col("__quality"), seed))
+    sized = with_ranges(sized)
+    plan = plan_mix(sized.select("__src", "__size", "__range"), weights, share, most)
+    rows = sized.join(plan, "__src")
     base = F.col("__epochs") * F.col("__size")
     clear = rows.where(F.col("__end").isNull() | (F.col("__range") != F.col("__end")))
     clear = clear.withColumn("__taken", base + F.when(F.col("__end").isNull() | (F.col("__range") < F.col("__end")), F.when(F.col("__rest") > 0, F.col("__size")).otherwise(0)).otherwise(0))
@@ -93,7 +110,7 @@ def mix(docs: DataFrame, size: Column, source: Column, id_text: Column, quality:
         some = F.when(some * 2 >= F.col("__size"), F.col("__size")).otherwise(0)
     cut = rows.where(F.col("__range") == F.col("__end")).withColumn("__taken", base + some)
     out = clear.unionByName(cut).withColumn("__taken", F.col("__taken").cast("long"))
-    return out.select(*docs.columns, "__size", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), "__taken")
+    return out.select(*[F.col(n).alias(c) for n, c in own.items()], "__size", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), "__taken")
 
 
 def label_quality(labels: DataFrame) -> DataFrame:

@@ -48,3 +48,20 @@ def test_better_documents_are_taken_more_often(spark):
     got = mixing.mix(rows, F.col("n"), F.lit("s"), F.col("doc_id").cast("string"), F.col("q"), share=0.3, whole=True)
     good, bad = (got.where(f"q = {q}").agg(F.sum("__taken")).first()[0] for q in (4.0, 1.0))
     assert good > 2 * bad and abs(good + bad - 12_000) <= 10
+
+
+def test_ranges_are_even_and_in_order(spark):
+    """Whatever the qualities, no range has many times the rows of another, and ranges follow the keys."""
+    rows = spark.range(20_000).select(F.lit("s").alias("__src"), F.lit(5).cast("long").alias("__size"), F.element_at(F.array(F.lit(0.02), F.lit(1.0), F.lit(50.0)), (F.col("id") % 3 + 1).cast("int")).alias("__quality"), F.col("id").cast("string").alias("__id"))
+    rows = rows.withColumn("__key", mixing.draw_key(F.col("__id"), F.col("__size"), F.col("__quality"), 17))
+    got = mixing.with_ranges(rows).groupBy("__range").agg(F.count("*").alias("n"), F.min("__key").alias("low"), F.max("__key").alias("high")).orderBy("__range").collect()
+    assert len(got) > 130 and max(r["n"] for r in got) < 220
+    assert all(a["high"] < b["low"] for a, b in zip(got[:-1], got[1:], strict=True))
+    even = sorted(map(tuple, mixing.mix(rows.select("__id"), F.lit(5).cast("long"), F.lit("s"), F.col("__id"), F.col("__id").cast("double") % 7 + 0.1, share=0.4).collect()))
+    assert abs(sum(r[-1] for r in even) - 40_000) <= 1
+
+
+def test_columns_of_any_name(spark):
+    rows = spark.createDataFrame([(1, "a b c", "s", 7.0, "x", 1), (2, "d e", None, 8.0, "y", 2)], "doc_id long, text string, source string, target double, source_size string, __src int")
+    got = mixing.mix(rows, mixing.word_count(F.col("text")), F.col("source"), F.col("doc_id").cast("string"), F.lit(1.0))
+    assert got.columns[:6] == rows.columns and sorted(r["target"] for r in got.select("target").collect()) == [7.0, 8.0]
