@@ -7,7 +7,8 @@ the new tail is computed, so each trie node is visited once. Terminal nodes stor
 
 Defined cases: null and empty texts have no tokens; bytes that no piece covers count as one token each, by the byte
 pieces; ties in score go to fewer tokens; a text is counted whole; repeated rows and null ids are allowed, since rows
-are keyed in the one table written for the purpose.
+are keyed in the one table written for the purpose; an empty table gives an empty result; columns of any other name and
+type are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import default_vocabulary, pieces, read_tokenizer
-from .common import stored
+from .common import bounded_batches, stored, tidied
 from .word_table import Head, distinct_words, partitions_for, split_head, split_words
 
 
@@ -74,11 +75,12 @@ def count_words(words: DataFrame, scores: dict[bytes, float], parts: int) -> Dat
             counts = [trie.count(w.encode()) for w in batch.column("word").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(counts, pa.int64())], ["word", "n", "tokens"])
 
-    return words.repartitionByRange(parts, "word").sortWithinPartitions("word").mapInArrow(run, "word string, n long, tokens long")
+    return words.repartitionByRange(parts, "word").sortWithinPartitions("word").mapInArrow(tidied(run), "word string, n long, tokens long")
 
 
 def count_tokens(docs: DataFrame, scores: dict[bytes, float], text_col: str = "text", id_col: str = "doc_id", head_words: int = 1 << 18) -> DataFrame:
     """(doc_id, n_pretokens, n_tokens) of every row."""
+    bounded_batches(docs.sparkSession)
     words = stored(distinct_words(docs, text_col), "words")
     table = stored(count_words(words, scores, partitions_for(words.count(), 200_000)), "counts")
     head, outside = split_head(table, head_words)
@@ -97,7 +99,7 @@ def count_tokens(docs: DataFrame, scores: dict[bytes, float], text_col: str = "t
             rest = pa.ListArray.from_arrays(pa.array(np.searchsorted(other, at), pa.int32()), flat.dictionary.take(pa.array(codes[other])).cast(pa.string()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at), pa.int64()), pa.array(total[at[1:]] - total[at[:-1]], pa.int64()), rest], ["doc_id", "n_pretokens", "known", "others"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), split_words(F.col(text_col)).alias("words")).mapInArrow(run, "doc_id long, n_pretokens long, known long, others array<string>")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), split_words(F.col(text_col)).alias("words")).mapInArrow(tidied(run), "doc_id long, n_pretokens long, known long, others array<string>")
     rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "places")
     others = rows.select("row", F.explode("others").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
     found = others.join(table.where(outside).select("word", "tokens"), "word").groupBy("row").agg(F.sum(F.col("times") * F.col("tokens")).alias("rest"))

@@ -1,8 +1,9 @@
-"""The distinct-word table that BPE encoding and token counting share.
+"""Splitting texts into words, and the distinct-word table that token counting joins back.
 
 Words are split in Spark by the byte-level tokenizer's pattern. Each distinct word is handled once. Its answer goes
 back to the places it stands at in two ways that together cover every word: the words seen most, up to a fixed number
-of a fixed length, travel to the executors as one broadcast; all others meet their places in a shuffled join.
+and length, travel to the executors as one broadcast; all others meet their places in a shuffled join. (BPE encoding
+joins all words back; see packets.)
 """
 
 from __future__ import annotations
@@ -59,7 +60,10 @@ def distinct_words(docs: DataFrame, text_col: str, held: int = 1_000_000) -> Dat
     Each task counts its words (up to `held` of them before it sends what it has) and sends them packed, by hash
     part; a part adds up what it gets. A word is at most one entry per task and part, so none is a hot spot.
     """
-    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # by the plan's estimate of the input where it has one, within a range that the session's setting spans
+    size = int(docs.select(text_col)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    usual = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = 4 * usual if size >= 1 << 60 else min(64 * usual, max(4 * usual, size >> 26))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, int] = {}
@@ -97,10 +101,12 @@ class Head:
         return np.fromiter((get(w, -1) for w in words.to_pylist()), dtype=np.int64, count=len(words))
 
 
-def split_head(table: DataFrame, most: int = 1 << 18, longest: int = 48, parts: int = 8) -> tuple[Head, Column]:
+def split_head(table: DataFrame, most: int = 1 << 18, longest: int = 48, parts: int = 8, very: int = 1 << 14, longer: int = 1024) -> tuple[Head, Column]:
     """The head of a stored word table, collected with the most frequent word first, and the condition for the others.
 
-    Words are ranked by the bin of their count's logarithm, so that a histogram of a few hundred rows decides.
+    Words are ranked by the bin of their count's logarithm, so that a histogram of a few hundred rows decides. Words of
+    up to `longer` bytes enter as well if they make up one in `very` words or more, which at most `very` of them can:
+    a long word that very many documents hold is no join key either.
     """
     level = F.floor(F.log2(F.col("n").cast("double")) * parts).cast("int")
     short = F.octet_length("word") <= longest
@@ -110,7 +116,8 @@ def split_head(table: DataFrame, most: int = 1 << 18, longest: int = 48, parts:
         if total + words > most:
             break
         total, least = total + words, at
-    inside = short & (level >= least)
+    all_ = table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    inside = (short & (level >= least)) | ((F.octet_length("word") <= longer) & (F.col("n") > all_ / very) & (F.lit(most) > 0))
     return Head(table.where(inside).toArrow().sort_by([("n", "descending"), ("word", "ascending")]).drop_columns(["n"])), ~inside
 
 

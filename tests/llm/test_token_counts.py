@@ -1,5 +1,6 @@
 import random
 
+from sparkloom.llm import bpe
 from sparkloom.llm import token_counts as tc
 
 
@@ -35,3 +36,34 @@ def test_odd_rows(odd_docs, no_docs):
     assert len(rows) == odd_docs.count()
     assert [r["n_tokens"] for r in rows if r["doc_id"] in (2, 3)] == [0, 0]
     assert tc.op3_token_counts(no_docs).count() == 0
+
+
+def test_whole_query_by_brute_force(spark):
+    """Words by the tokenizer's own splitter, each one's best segmentation by trying all, over odd texts too."""
+    from test_bpe import ODD
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tc.default_vocabulary())
+    vocabulary = tc.pieces(tc.read_tokenizer(tc.default_vocabulary()))
+    scores, back = tc.zipf_scores(vocabulary), {c: b for c, b in bpe.byte_alphabet().items()}
+    texts = [t for t in ODD if t is None or len(t) < 5000] + ["the cat " * 30, "=" * 200 + " " + "=" * 200, "Zw\u00f6lf Boxk\u00e4mpfer jagen Viktor quer \u00fcber den gro\u00dfen Sylter Deich"]
+    expected, known = [], {}
+    for i, text in enumerate(texts):
+        words = []
+        for k, segment in enumerate((text or "").split("<|endoftext|>")):
+            words += [b"<|endoftext|>"] * (k > 0) + [bytes(back[c] for c in w) for w, _ in tokenizer.pre_tokenizer.pre_tokenize_str(segment)]
+        for w in words:
+            if w not in known:
+                known[w] = plain(w, scores)
+        expected.append((i, len(words), sum(known[w] for w in words)))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for head in (1 << 18, 0):
+        assert sorted(tuple(r) for r in tc.count_tokens(frame, scores, head_words=head).collect()) == expected
+
+
+def test_frequent_long_words_are_in_the_head(spark):
+    from sparkloom.llm.word_table import split_head
+
+    table = spark.createDataFrame([("-" * 300, 90_000), ("a", 50_000_000), ("b" * 300, 1), ("c" * 2000, 90_000)], "word string, n long")
+    head, outside = split_head(table)
+    assert sorted(len(w) for w in head.table["word"].to_pylist()) == [1, 300] and sorted(len(r["word"]) for r in table.where(outside).collect()) == [300, 2000]
