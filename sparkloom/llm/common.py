@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,10 +15,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Paths of the tables that `stored` has written, for `release`.
+_WRITTEN: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a session of one machine
+    gets a folder of its own, and one of several machines is refused."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir has to name a folder that all machines of {master} share")
         folder = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -27,15 +38,43 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/sparkloom-{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete all tables that `stored` has written, once no result that reads them is needed any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+def bounded_batches(spark: SparkSession, megabytes: int = 8) -> None:
+    """From now on Arrow batches of the session hold so many megabytes at most, or one row: texts can be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{megabytes}m")
+
+
 def small_side(df: DataFrame, name: str, most: int = 100_000) -> DataFrame:
     """df stored; marked for broadcast if it has at most `most` rows, else left to a shuffled join."""
     df = stored(df, name)
     return F.broadcast(df) if df.count() <= most else df
 
 
+def tidied(function: Callable) -> Callable:
+    """The function, which maps batches to batches, and which gives memory back to the system as it goes: an executor's
+    idle workers live on, and what their allocators keep adds up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in function(batches):
+            yield out
+            pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return run
+
+
 def remainder(id_col: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo the modulus; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % F.lit(modulus)
@@ -99,7 +138,7 @@ def joined_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(texts: pa.Array, most_bytes: int = 4 << 20):
+def slices(texts: pa.Array, most_bytes: int = 1 << 20):
     """(start, length) of runs of texts of about most_bytes each; a longer text stands alone, whole."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
     start, total = 0, 0

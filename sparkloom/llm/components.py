@@ -21,9 +21,10 @@ def components(edges: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         parent = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("to"))
         parent = stored(parent, "parents")
-        for _ in range(3):
+        for _ in range(2):
             up = parent.select(F.col("node").alias("to"), F.col("to").alias("further"))
-            parent = stored(parent.join(up, "to", "left").select("node", F.coalesce("further", "to").alias("to")), "parents")
+            parent = parent.join(up, "to", "left").select("node", F.coalesce("further", "to").alias("to"))
+        parent = stored(parent, "parents")
         maps.append(parent)
         a = parent.select(F.col("node").alias("a"), F.col("to").alias("ta"))
         b = parent.select(F.col("node").alias("b"), F.col("to").alias("tb"))

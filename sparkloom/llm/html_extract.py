@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import boosting
-from .common import bounded_batches
+from .common import bounded_batches, tidied
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template svg math xmp noembed noframes".split())
@@ -428,7 +428,7 @@ def main_text(pages: DataFrame, model: boosting.Boosted, html_col: str = "html",
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*part.schema.names[1:], "text", "n_chars"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[1:])
-    return given.mapInArrow(run, f"{kinds}, text string, n_chars long")
+    return given.mapInArrow(tidied(run), f"{kinds}, text string, n_chars long")
 
 
 def op10_html_extract(pages: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from the words' gram likelihoods. Languages enter the document's set, in order o
 gain in log-likelihood exceeds a penalty for one more free proportion.
 
 Defined cases: a null text or one without a letter is `und` with score 0; without any labelled text every document
-is `und`; rows are judged one by one, so repeated rows get the same answer; other columns are carried or ignored.
+is `und`; rows are judged one by one, so repeated rows get the same answer, and train once; columns of any other name
+and type are ignored, or carried as they are if `keep` names them.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTER, joined_bytes, keep_share, remainder, runs, slices, small_side, stored
+from .common import LETTER, bounded_batches, joined_bytes, keep_share, remainder, runs, slices, small_side, stored, tidied
 
 UND = "und"
 BITS = 16
@@ -70,14 +71,17 @@ def single_best(model: LanguageModel, texts: pa.Array) -> np.ndarray:
 
 
 def _em(like: np.ndarray, first: np.ndarray, count: np.ndarray, pi: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions after up to `rounds` steps and each document's log-likelihood less its words' maxima."""
+    """Proportions after up to `rounds` steps and each document's log-likelihood less its words' maxima. A document
+    stops when its own proportions stand still, whatever others are with it."""
+    live = np.ones(pi.shape[1], bool)
     for _ in range(rounds):
         part = np.repeat(pi, count, axis=1) * like
         part /= np.maximum(part.sum(axis=0), 1e-30)
-        new = np.add.reduceat(part, first, axis=1) / count
-        moved = np.abs(new - pi).max()
-        pi = new.astype(np.float32)
-        if moved < 2e-3:
+        new = (np.add.reduceat(part, first, axis=1) / count).astype(np.float32)
+        moved = np.abs(new - pi).max(axis=0)
+        pi = np.where(live, new, pi)
+        live &= moved >= 2e-3
+        if not live.any():
             break
     total = np.log(np.maximum((np.repeat(pi, count, axis=1) * like).sum(axis=0), 1e-30))
     return pi, np.add.reduceat(total.astype(np.float64), first)
@@ -139,7 +143,7 @@ def _count_map(text_col: str, label_col: str, model=None):
             at = np.flatnonzero(hit)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(hit[at], pa.int64())], ["lang", "gram", "n"])
 
-    return run
+    return tidied(run)
 
 
 def _fit(counts: DataFrame, alpha: float) -> LanguageModel:
@@ -152,18 +156,21 @@ def _fit(counts: DataFrame, alpha: float) -> LanguageModel:
     return LanguageModel([str(x) for x in langs], np.log(n / n.sum(axis=1, keepdims=True)).astype(np.float32))
 
 
-def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", sample_per_lang: int = 3000, alpha: float = 0.5) -> LanguageModel:
+def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", sample_per_lang: int = 3000, most_langs: int = 128, alpha: float = 0.5) -> LanguageModel:
     """Learn the languages from labelled documents.
 
     The model is fitted on a sample bounded by `sample_per_lang` documents a language (in expectation), picked by a
-    hash of the id. A second round leaves out documents whose label the first round's model contradicts.
+    hash of id and text, equal rows once. `most_langs` bounds the languages: those with most labelled rows, ties by
+    name. A second round leaves out documents whose label the first round's model contradicts.
     """
     spark = docs.sparkSession
-    seen = docs.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull())
-    sizes = seen.groupBy(F.col(label_col).alias("__lang")).agg(F.count("*").alias("__n"))
-    rows = seen.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"), F.col(label_col).alias("__lang"))
-    sample = rows.join(small_side(sizes, "langs"), "__lang").where(keep_share(F.lit(float(sample_per_lang)) / F.col("__n"), "__id")).select(F.col("__lang").alias("lang"), "text")
-    sample = stored(sample.repartition(16), "langid")
+    bounded_batches(spark)
+    rows = docs.select(F.col(id_col).cast("string").alias("__id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("__lang"))
+    rows = rows.where(F.col("text").isNotNull() & F.col("__lang").isNotNull())
+    sizes = rows.groupBy("__lang").agg(F.count("*").alias("__n")).orderBy(F.desc("__n"), "__lang").limit(most_langs)
+    share = F.lit(float(sample_per_lang)) / F.col("__n")
+    sample = rows.join(small_side(sizes, "langs"), "__lang").where(keep_share(share, "__id", "text")).select(F.col("__lang").alias("lang"), "text", "__id")
+    sample = stored(sample.dropDuplicates().select("lang", "text").repartition(16), "langid")
     schema = "lang string, gram int, n long"
     first = _fit(sample.mapInArrow(_count_map("text", "lang"), schema), alpha)
     if len(first.langs) < 2:
@@ -174,15 +181,18 @@ def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_c
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), penalty: float = 1.0) -> DataFrame:
-    """The columns in `keep`, and lang_pred, score (the share of lang_pred in the text) and n_langs (size of the set)."""
+    """The columns in `keep`, and lang_pred, score (the share of lang_pred in the text) and n_langs (size of the set).
+
+    Only the text goes to Python, and only the answer comes back; all other columns stay where they are.
+    """
     spark = docs.sparkSession
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
         names = np.array([*m.langs, UND], dtype=object)
-        for batch in batches:
-            texts = batch.column("__text")
+        for texts in batches:
             lettered = np.asarray(pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False))
             pred, score, size = np.full(len(texts), len(m.langs)), np.zeros(len(texts)), np.zeros(len(texts), np.int32)
             if m.langs:
@@ -191,14 +201,14 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep
                     here = slice(start, start + n)
                     pred[here], score[here], size[here] = pi.argmax(axis=0), pi.max(axis=0), (pi > 0).sum(axis=0)
             pred[~lettered], score[~lettered], size[~lettered] = len(m.langs), 0.0, 0
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], pa.array(names[pred], pa.string()), pa.array(np.clip(score, 0, 1), pa.float64()), pa.array(size, pa.int32())],
-                [*batch.schema.names[1:], "lang_pred", "score", "n_langs"],
-            )
-
-    given = docs.select(F.col(text_col).cast("string").alias("__text"), *keep)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[1:])
-    return given.mapInArrow(run, f"{kinds}, lang_pred string, score double, n_langs int")
+            yield pa.StructArray.from_arrays([pa.array(names[pred], pa.string()), pa.array(np.clip(score, 0, 1), pa.float64()), pa.array(size, pa.int32())], ["lang_pred", "score", "n_langs"])
+
+    def judge_all(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from tidied(run)(batches)
+
+    judge = F.arrow_udf(judge_all, "lang_pred string, score double, n_langs int").asNondeterministic()  # so that it runs once a row
+    found = docs.select(*keep, judge(F.col(text_col).cast("string")).alias("__found"))
+    return found.select(*keep, "__found.lang_pred", "__found.score", "__found.n_langs")
 
 
 def op1_language_id(docs: DataFrame) -> DataFrame:

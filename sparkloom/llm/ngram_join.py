@@ -41,7 +41,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, bounded_batches, joined_bytes, mixed, run_hashes, runs, slices, small_side, stored
+from .common import LOWER, SPACE, bounded_batches, joined_bytes, mixed, run_hashes, runs, slices, small_side, stored, tidied
 from .components import components
 from .word_table import partitions_for
 
@@ -170,7 +170,7 @@ def sizes_and_classes(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), _longs([len(s) for s in sets]), _longs([m[0] for m in marks]), _longs([m[1] for m in marks]), pa.array(sketches, pa.binary())], ["doc_id", "text_hash", "n", "s1", "s2", "sketch"])
 
     text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, "doc_id long, text_hash long, n long, s1 long, s2 long, sketch binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(tidied(run), "doc_id long, text_hash long, n long, s1 long, s2 long, sketch binary")
 
 
 def frequent_tokens(docs: DataFrame, text_col: str, total: int, most: int, least_df: int = 8) -> tuple[np.ndarray, np.ndarray, int]:
@@ -200,7 +200,7 @@ def frequent_tokens(docs: DataFrame, text_col: str, total: int, most: int, least
                     seen.add(mark)
                     held.append(s)
                     size += len(s)
-            if size > 8_000_000:
+            if size > 3_000_000:
                 yield flush(held)
                 held, size = [], 0
         if size:
@@ -219,7 +219,7 @@ def frequent_tokens(docs: DataFrame, text_col: str, total: int, most: int, least
         keep = df >= least_df
         return pd.DataFrame({"token": tokens[first][keep].astype(np.int64), "df": df[keep]})
 
-    rows = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "part int, tokens binary, counts binary")
+    rows = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(tidied(count), "part int, tokens binary, counts binary")
     counts = stored(rows.groupBy("part").applyInPandas(merge, "token long, df long"), "tokens")
     level = F.floor(F.log2(F.col("df").cast("double")) * 2).cast("int")
     bins = sorted(((r["level"], r["n"]) for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()), reverse=True)
@@ -280,7 +280,7 @@ def posting_lists(docs: DataFrame, text_col: str, frequent: tuple[np.ndarray, np
                 keys.append(prefix_keys(s, classes_of(s, tokens, level, near, shift), percent) >> np.uint64(64 - bits))
                 ids.append(mark[0] >> (63 - id_bits))
                 size += len(keys[-1])
-            if size > 4_000_000:
+            if size > 2_000_000:
                 yield flush(keys, ids)
                 keys, ids, size = [], [], 0
         if size:
@@ -310,7 +310,7 @@ def posting_lists(docs: DataFrame, text_col: str, frequent: tuple[np.ndarray, np
         use &= length > 1
         return pa.table({"list": _longs(np.repeat(name[use], length[use]).view(np.int64)), "id": _longs(own[np.repeat(use, length)])})
 
-    posted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(post, "part int, keys binary, ids binary")
+    posted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(tidied(post), "part int, keys binary, ids binary")
     return posted.groupBy("part").applyInArrow(merge, "list long, id long")
 
 
@@ -401,7 +401,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def candidates(dealt: DataFrame, sketches: DataFrame, percent: int, forest: bool) -> DataFrame:
+def candidates(dealt: DataFrame, sketches: DataFrame, percent: int, forest: bool, parts: int) -> DataFrame:
     """(a, b, bucket) of classes to verify, each pair once, from rows (bucket, side, cls, n, comp): all possible pairs
     of a bucket, or a spanning forest of them."""
 
@@ -419,8 +419,8 @@ def candidates(dealt: DataFrame, sketches: DataFrame, percent: int, forest: bool
                 yield pa.RecordBatch.from_arrays([_longs(np.minimum(cls[a], cls[b])), _longs(np.maximum(cls[a], cls[b])), _longs(np.full(len(a), table["bucket"][0].as_py()))], ["a", "b", "bucket"])
 
     rows = dealt.join(sketches, "cls").select("bucket", "side", "cls", "n", "comp", "sketch")
-    rows = rows.repartition(partitions_for(dealt.count(), 100_000), "bucket").sortWithinPartitions("bucket")
-    return rows.mapInArrow(run, "a long, b long, bucket long").groupBy("a", "b").agg(F.min("bucket").alias("bucket"))
+    rows = rows.repartition(max(6, parts), "bucket").sortWithinPartitions("bucket")
+    return rows.mapInArrow(tidied(run), "a long, b long, bucket long").groupBy("a", "b").agg(F.min("bucket").alias("bucket"))
 
 
 def neighbourhoods(placed: DataFrame) -> DataFrame:
@@ -481,7 +481,7 @@ def class_sets(docs: DataFrame, wanted: DataFrame, text_col: str, id_col: str) -
             yield pa.RecordBatch.from_arrays([_longs([r[0] for r in rows]), _longs([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.binary())], ["s1", "s2", "tokens"])
 
     found = given.join(named, "id", "left_semi").select("text").unionByName(without.join(nameless, "text_hash", "left_semi").select("text"))
-    return found.mapInArrow(run, "s1 long, s2 long, tokens binary")
+    return found.mapInArrow(tidied(run), "s1 long, s2 long, tokens binary")
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text_col: str, id_col: str, percent: int) -> DataFrame:
@@ -512,8 +512,8 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text_col: st
                     right.append(b)
             yield pa.RecordBatch.from_arrays([_longs(left), _longs(right)], ["a", "b"])
 
-    dealt = rows.repartition(partitions_for(n, 10_000), "bucket").sortWithinPartitions("bucket", F.col("tokens").isNull())
-    return dealt.select("bucket", "a", "b", "tokens").mapInArrow(run, "a long, b long")
+    dealt = rows.repartition(max(6, ceil(n / 10_000)), "bucket").sortWithinPartitions("bucket", F.col("tokens").isNull())
+    return dealt.select("bucket", "a", "b", "tokens").mapInArrow(tidied(run), "a long, b long")
 
 
 def _open(listed: DataFrame, found: DataFrame) -> DataFrame:
@@ -548,8 +548,8 @@ def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", percen
         near = stored(neighbourhoods(placed), "near")
         large = small_side(near.groupBy("part").agg(F.count("*").alias("m")).where(F.col("m") > block), "large")
         last = seed == rounds
-        dealt = stored(block_against_block(near, large, block) if last else cut_anew(near, large, block, seed), "dealt")
-        pairs = stored(candidates(dealt, sketches, percent, forest=not last), "pairs")
+        dealt = block_against_block(near, large, block) if last else cut_anew(near, large, block, seed)
+        pairs = stored(candidates(dealt, sketches, percent, forest=not last, parts=ceil(near.count() / 50_000)), "pairs")
         more = stored(verified(pairs, classes, docs, text_col, id_col, percent), "links")
         links = more if links is None else links.unionByName(more)
         found = stored(components(links), "linked")

@@ -28,7 +28,10 @@ def odd_docs(spark):
         (5, " ".join(f"w{i % 977}" for i in range(60_000)), "en", "b", 300_000, 0.4, "long"),
         (None, None, None, None, None, None, None),
     ]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string")
+    clashing = ("label", "part", "__id", "__doc", "target", "source_size", "n", "cls", "words", "chunk", "bucket", "__found", "__c0", "size")
+    rows = [(*r, *[f"{c} {i}" if i % 3 else None for c in clashing]) for i, r in enumerate(rows)]
+    names = "".join(f", `{c}` string" for c in clashing)
+    return spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string{names}")
 
 
 @pytest.fixture(scope="session")

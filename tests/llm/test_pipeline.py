@@ -37,6 +37,23 @@ def test_odd_rows(spark, odd_docs, data):
     assert [name for name, _ in cp.STAGES][0] == "language ID" and re.search("BPE", cp.STAGES[-1][0])
 
 
+def test_odd_rows_of_the_other_stages(spark, odd_docs, data):
+    """Toxicity, mixing and encoding: what becomes of null and empty texts, repeated rows, null ids and other columns."""
+    key = lambda r: (r["doc_id"], r["text"])
+    given = sorted(map(key, odd_docs.collect()), key=str)
+    judged = cp.toxic(spark, odd_docs, data)
+    assert judged.columns == odd_docs.columns
+    left = sorted(map(key, judged.collect()), key=str)
+    assert [k for k in left if not (k[1] or "").strip()] == [k for k in given if not (k[1] or "").strip()]
+    assert all(given.count(k) == left.count(k) for k in left)
+    taken = cp.mixed(spark, odd_docs, data)
+    assert taken.columns == odd_docs.columns and taken.where("text IS NULL OR trim(text) = ''").count() == 0
+    assert {key(r) for r in taken.collect()} <= set(given)
+    out = cp.tokens(spark, odd_docs, data).collect()
+    assert len(out) == len(given) and sorted((r["doc_id"] for r in out), key=str) == sorted((k[0] for k in given), key=str)
+    assert all(r["n_tokens"] == len(r["ids"]) for r in out) and sum(r["n_tokens"] == 0 for r in out) == sum(not k[1] for k in given)
+
+
 def test_mixed_texts_stay(spark, docs, data):
     """A clean text of several languages, none with half of its words, has a language and stays."""
     lead = {r["lang"]: r["text"] for r in docs.where("lang IS NOT NULL AND length(text) > 1500").groupBy("lang").agg(F.min("text").alias("text")).collect()}

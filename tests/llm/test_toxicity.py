@@ -78,3 +78,51 @@ def test_portions_change_no_net(monkeypatch):
 def test_threshold_of_counts():
     z, y, count = np.array([-3.0, -2.0, 1.0, 1.0, 3.0]), np.array([0, 0, 0, 1, 1]), np.array([40, 5, 2, 9, 20])
     assert tx.threshold(z, y, count=count) == tx.threshold(np.repeat(z, count), np.repeat(y, count)) == -0.5
+
+
+def small_net(rng):
+    """A net of few embeddings in double precision, and documents for it, an empty one too."""
+    net = tx.fresh(rng, buckets=40)
+    for name in ("emb", "taps", "bias", "out"):
+        setattr(net, name, rng.normal(0, 0.5, np.shape(getattr(net, name))))
+    net.out_bias = 0.3
+    return net, [rng.integers(0, 40, (n, tx.FEATURES)).astype(np.int32) for n in (5, 1, 0, 12, 3)]
+
+
+def plain_logit(net, words):
+    """One document's logit by loops over windows, filters and taps, with PAD empty rows after the words."""
+    rows = [sum(net.emb[k] for k in word) for word in words] + [np.zeros(tx.DIM)] * tx.PAD
+    total, f = net.out_bias, 0
+    for i, width in enumerate(tx.WIDTHS):
+        for c in range(tx.FILTERS):
+            shots = [sum(rows[s + j] @ net.taps[:, sum(tx.WIDTHS[:i]) + j, c] for j in range(width)) + net.bias[f] for s in range(len(words) + 1)]
+            total += max(0.0, max(shots)) * net.out[f]
+            f += 1
+    return total
+
+
+def test_forward_pass():
+    net, docs = small_net(np.random.default_rng(6))
+    at = np.concatenate(([0], np.cumsum([len(d) for d in docs])))
+    got = tx.logits(net, np.concatenate(docs), at)
+    assert np.allclose(got, [plain_logit(net, d) for d in docs])
+
+
+def test_gradients_are_the_loss_s_slopes():
+    rng = np.random.default_rng(7)
+    net, docs = small_net(rng)
+    y, part = np.array([1.0, 0.0, 1.0, 0.0, 1.0]), np.arange(5)
+    loss = lambda: np.mean([np.logaddexp(0, z) - t * z for z, t in zip((plain_logit(net, d) for d in docs), y, strict=True)])
+    found = tx.gradients(net, docs, y, part)
+    full = np.zeros_like(net.emb)
+    full[found["buckets"]] = found["emb"]
+    for name, slopes in (("emb", full), ("taps", found["taps"]), ("bias", found["bias"]), ("out", found["out"])):
+        array = getattr(net, name)
+        for at in rng.choice(array.size, min(60, array.size), replace=False):
+            at = np.unravel_index(at, array.shape)
+            kept, sides = array[at], []
+            for step in (1e-6, -1e-6):
+                array[at] = kept + step
+                sides.append(loss())
+            array[at] = kept
+            assert abs((sides[0] - sides[1]) / 2e-6 - slopes[at]) < 1e-5
