@@ -1,12 +1,13 @@
 """Byte-level BPE encoding and decoding through a distinct-word table.
 
 Words are split in Spark, each distinct word is encoded once by the tokenizer, and its ids return to the places the
-word stands at. The query and the pipeline turn ids into bytes by a lookup in a broadcast id-to-piece list, which takes the
-place of a join with the id-to-piece table; only `decode`, which neither of them calls, makes that join.
+word stands at by a join on chunk and word number (see packets). The ids decode through a join with the id-to-piece
+table: `encode` joins those of each chunk's distinct words in Arrow, and `decode` joins given ids in Spark.
 
 Defined cases: a null text is an empty one, with no tokens and the digest of nothing; the special token's string is
-one token, as the tokenizer reads it; a document is handled whole, whatever its length; repeated rows and null ids
-are allowed, since places are keyed by a hash of id and text, which equal rows share with equal words.
+one token, as the tokenizer reads it; a document is handled whole, whatever its length; repeated rows and null ids are
+allowed, as rows are told apart by their place in a chunk; an empty table gives an empty result; columns of any other
+name and type are ignored, or carried as they are if `keep` names them.
 """
 
 from __future__ import annotations
@@ -14,16 +15,15 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
-from .word_table import Head, distinct_words, split_head, split_words
+from .packets import answered, chunked, finished
 
 
 def default_vocabulary() -> str:
@@ -52,68 +52,31 @@ def pieces(description: str) -> list[bytes]:
     return [bytes(back[c] for c in by_id[i]) if i in by_id else b"" for i in range(max(by_id) + 1)]
 
 
-def encode_words(words: DataFrame, description: str) -> DataFrame:
-    """(word, n, n_ids, ids_text, piece): ids in decimal with commas, and the bytes that the ids decode to."""
-    shared = words.sparkSession.sparkContext.broadcast((description, pieces(description)))
+def encoder(description: str) -> Callable[[pa.Array], pa.ListArray]:
+    """A function from distinct words to their ids; it makes the tokenizer where it runs."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def answer(words: pa.Array, rows: int = 10_000) -> pa.ListArray:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        spec, piece = shared.value
-        tokenizer = Tokenizer.from_str(spec)
-        for batch in batches:
-            ids = [e.ids for e in tokenizer.encode_batch(batch.column("word").to_pylist(), add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("word"), batch.column("n"), pa.array([len(i) for i in ids], pa.int32()), pa.array([",".join(map(str, i)) for i in ids], pa.string()), pa.array([b"".join([piece[k] for k in i]) for i in ids], pa.binary())],
-                ["word", "n", "n_ids", "ids_text", "piece"],
-            )
-
-    return words.mapInArrow(run, "word string, n long, n_ids int, ids_text string, piece binary")
-
-
-def places(batch: pa.RecordBatch, head: Head) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray, np.ndarray]:
-    """For a batch with a list column `words`: each place's head row, or the number of head rows plus its number among
-    the document's other words; documents' first places (n + 1); the batch's distinct words; and of the other words,
-    in order of documents, their number among the distinct words and each document's first (n + 1)."""
-    lists = batch.column("words")
-    flat = lists.flatten().dictionary_encode()
-    lengths = np.diff(np.asarray(lists.offsets)) if len(lists) else np.zeros(0, np.int64)
-    at = np.concatenate(([0], np.cumsum(lengths)))
-    codes, known = np.asarray(flat.indices).astype(np.int64), head.places(flat.dictionary)
-    value = known[codes] if len(codes) else np.zeros(0, np.int64)
-    other = np.flatnonzero(value < 0)
-    n = max(1, len(known))
-    of = np.searchsorted(at, other, side="right") - 1
-    pairs, inverse = np.unique(of * n + codes[other], return_inverse=True)
-    first = np.searchsorted(pairs // n, np.arange(len(lists) + 1))
-    value[other] = head.table.num_rows + inverse - first[of]
-    return value, at, flat.dictionary, pairs % n, first
-
-
-class Digests:
-    """Ids and bytes of documents given as places. Words outside the head come with their ids; the bytes of those are
-    looked up in the id-to-piece table."""
-
-    def __init__(self, head: Head, piece_table: list[bytes]):
-        self.n = np.asarray(head.table["n_ids"]).astype(np.int64)
-        self.ids = np.array(head.table["ids_text"].to_pylist(), dtype=object)
-        self.piece = np.array(head.table["piece"].to_pylist(), dtype=object)
-        self.table = piece_table
-
-    def parts(self, value: np.ndarray, others: dict[int, str]) -> tuple[int, str, bytes]:
-        n_ids, ids, piece = self.n, self.ids, self.piece
-        own = value >= len(n_ids)
-        if not own.any():
-            return int(n_ids[value].sum()), ",".join(ids[value].tolist()), b"".join(piece[value].tolist())
-        rest, inside = value[own] - len(n_ids), value[~own]
-        texts, bytes_ = np.empty(len(value), object), np.empty(len(value), object)
-        texts[~own], bytes_[~own] = ids[inside], piece[inside]
-        found = [others[i] for i in rest.tolist()]
-        split = [[int(x) for x in f.split(",")] for f in found]
-        texts[own] = np.array(found, dtype=object)
-        bytes_[own] = np.array([b"".join([self.table[k] for k in i]) for i in split] + [b""], dtype=object)[:-1]
-        return int(n_ids[inside].sum()) + sum(map(len, split)), ",".join(texts.tolist()), b"".join(bytes_.tolist())
+        tokenizer, ids = Tokenizer.from_str(description), []
+        for start in range(0, len(words), rows):  # an encoding is much larger than its ids
+            ids.append(pa.array([e.ids for e in tokenizer.encode_batch(words.slice(start, rows).to_pylist(), add_special_tokens=False)], pa.list_(pa.int32())))
+        return pa.concat_arrays(ids) if ids else pa.array([], pa.list_(pa.int32()))
+
+    return answer
+
+
+def joined_pieces(lists: pa.ListArray, table: pa.Table, rows: int = 50_000) -> list[bytes]:
+    """The bytes of each list of ids, by a join with the id-to-piece table (id, piece), so many lists at a time."""
+    out: list[bytes] = []
+    for start in range(0, len(lists), rows):
+        part = lists.slice(start, rows)
+        ids, ends = part.flatten(), np.cumsum(np.asarray(pc.list_value_length(part)))
+        flat = pa.table({"id": ids, "at": pa.array(np.arange(len(ids)))})
+        found = flat.join(table, "id", join_type="left outer", use_threads=False).sort_by("at")["piece"].combine_chunks()
+        out += pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), found), pa.scalar(b"", pa.binary())).to_pylist()
+    return out
 
 
 def sha(data: bytes) -> str:
@@ -125,60 +88,47 @@ def read_back(data: bytes) -> str:
     return data.decode("utf-8", errors="replace")
 
 
-def pieces_of(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """Batches of at most so many rows, to bound what a task holds."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
-
+def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), outputs: tuple[str, ...] = ("n_tokens", "ids_sha256", "decoded_sha256"), per_chunk: int = 4_000_000) -> DataFrame:
+    """The columns in `keep` and those in `outputs`: n_tokens, ids (array<int>), decoded, ids_sha256, decoded_sha256.
 
-def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", id_col: str = "doc_id", keep: tuple[str, ...] = ("doc_id",), outputs: tuple[str, ...] = ("n_tokens", "ids_sha256", "decoded_sha256"), head_words: int = 1 << 18) -> DataFrame:
-    """The columns in `keep` and those in `outputs`: n_tokens, ids (array<int>), decoded, ids_sha256, decoded_sha256."""
-    spark: SparkSession = docs.sparkSession
+    `per_chunk` words bound what a task holds at once, besides a single longer text.
+    """
     description = read_tokenizer(vocabulary)
-    table = stored(encode_words(distinct_words(docs, text_col), description), "words")
-    head, outside = split_head(table, head_words)
-    shared = spark.sparkContext.broadcast((head.table, pieces(description)))
+    by_id = pieces(description)
+    shared = docs.sparkSession.sparkContext.broadcast((np.arange(len(by_id), dtype=np.int32), by_id))
     kinds = {"n_tokens": "long", "ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
-    whole = (F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    key, key2 = F.xxhash64(*whole), F.hash(*whole)  # 96 bits together
-    given = docs.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(keep)], key.alias("key"), key2.alias("key2"), split_words(F.col(text_col)).alias("words"))
-    names = [f"__{i}" for i in range(len(keep))]
 
-    def other_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, seen = Head(shared.value[0]), set()
-        for batch in pieces_of(batches):
-            own = zip(batch.column("key").to_pylist(), batch.column("key2").to_pylist(), strict=True)
-            batch = batch.filter(pa.array([k not in seen and seen.add(k) is None for k in own], pa.bool_()))  # equal rows ask once
-            _, _, words, number, first = places(batch, head)
-            count = np.diff(first)
-            at = np.arange(len(number)) - np.repeat(first[:-1], count)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column("key")), count), pa.int64()), pa.array(np.repeat(np.asarray(batch.column("key2")), count), pa.int32()), pa.array(at, pa.int32()), words.take(pa.array(number))], ["key", "key2", "at", "word"])
-
-    def payload(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, pack = Head(shared.value[0]), zstandard.ZstdCompressor(level=1)
-        for batch in pieces_of(batches):
-            value, at, _, _, _ = places(batch, head)
-            blobs = [pack.compress(value[at[i] : at[i + 1]].astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], batch.column("key"), batch.column("key2"), pa.array(blobs, pa.binary())], [*names, "key", "key2", "blob"])
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digests, unpack = Digests(Head(shared.value[0]), shared.value[1]), zstandard.ZstdDecompressor()
-        for batch in pieces_of(batches):
-            rows: dict[str, list] = {c: [] for c in outputs}
-            for blob, found in zip(batch.column("blob").to_pylist(), batch.column("found").to_pylist(), strict=True):
-                value = np.frombuffer(unpack.decompress(blob), np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel().astype(np.int64)
-                total, ids, piece = digests.parts(value, {f["at"]: f["ids_text"] for f in found or ()})
-                for c in outputs:
-                    rows[c].append(total if c == "n_tokens" else sha(ids.encode()) if c == "ids_sha256" else [int(x) for x in ids.split(",") if x] if c == "ids" else read_back(piece) if c == "decoded" else sha(read_back(piece).encode()))
-            made = [pa.array(rows[c], {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}[kinds[c]]) for c in outputs]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *made], [*names, *outputs])
-
-    given_kinds = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, keep, strict=True))
-    wanted = given.select("key", "key2", "words").mapInArrow(other_words, "key long, key2 int, at int, word string")
-    found = wanted.join(table.where(outside).select("word", "ids_text"), "word").groupBy("key", "key2").agg(F.collect_set(F.struct("at", "ids_text")).alias("found"))
-    rows = given.mapInArrow(payload, f"{given_kinds}, key long, key2 int, blob binary").join(found, ["key", "key2"], "left")
-    out = rows.select(*names, "blob", "found").mapInArrow(finish, f"{given_kinds}, " + ", ".join(f"{c} {kinds[c]}" for c in outputs))
+    def finish(lists: pa.ListArray) -> Callable[[np.ndarray, np.ndarray], list[pa.Array]]:
+        flat, length = np.asarray(lists.flatten()), np.asarray(pc.list_value_length(lists)).astype(np.int64)
+        starts = np.concatenate(([0], np.cumsum(length)))
+        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(flat).cast(pa.string())), ",")
+        texts = np.array(texts.to_pylist(), dtype=object)
+        wanted = {"decoded", "decoded_sha256"} & set(outputs)
+        ids, by_piece = shared.value
+        piece = np.array(joined_pieces(pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(flat)), pa.table({"id": pa.array(ids), "piece": pa.array(by_piece, pa.binary())})), dtype=object) if wanted else None
+
+        def make(value: np.ndarray, first: np.ndarray) -> list[pa.Array]:
+            n, out = len(first) - 1, {}
+            count = np.concatenate(([0], np.cumsum(length[value]))) if len(value) else np.zeros(1, np.int64)
+            out["n_tokens"] = pa.array(count[first[1:]] - count[first[:-1]], pa.int64())
+            if "ids" in outputs:
+                within = np.arange(int(count[-1])) - np.repeat(count[:-1], length[value])
+                out["ids"] = pa.ListArray.from_arrays(pa.array(count[first], pa.int32()), pa.array(flat[within + np.repeat(starts[:-1][value], length[value])].astype(np.int32)))
+            if "ids_sha256" in outputs:
+                own = texts[value].tolist()
+                out["ids_sha256"] = pa.array([sha(",".join(own[first[i] : first[i + 1]]).encode()) for i in range(n)], pa.string())
+            if wanted:
+                own = piece[value].tolist()
+                read = [read_back(b"".join(own[first[i] : first[i + 1]])) for i in range(n)]
+                out["decoded"], out["decoded_sha256"] = pa.array(read, pa.string()), pa.array([sha(x.encode()) for x in read], pa.string())
+            return [out[c] for c in outputs]
+
+        return make
+
+    chunks = chunked(docs, text_col, keep, per_chunk)
+    names = [f"__{i}" for i in range(len(keep))]
+    schema = ", ".join([*(f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, keep, strict=True)), *(f"{c} {kinds[c]}" for c in outputs)])
+    out = finished(chunks, answered(chunks, encoder(description)), finish, schema, [*names, *outputs])
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], *outputs)
 
 

@@ -1,8 +1,10 @@
 import hashlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from sparkloom.llm import bpe
+from sparkloom.llm import bpe, packets
 
 ODD = [
     "Hello  world\n\n  x <|endoftext|>  a's I'LL'll \u00a0\u3000\u00e9", None, "", "  ", "<|endoftext|><|endoftext|> ", "\u65e5\u672c\u8a9e 123\u0663 \u2003\u200b \x85 x\x1c y",
@@ -26,11 +28,11 @@ def expected(tokenizer, rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("head", [1 << 18, 3])
-def test_equal_to_the_library(spark, tokenizer, head):
+@pytest.mark.parametrize("chunk", [2_000_000, 3])
+def test_equal_to_the_library(spark, tokenizer, chunk):
     rows = [(i, t) for i, t in enumerate(ODD)] + [(3, ODD[0]), (3, ODD[0]), (None, ODD[5])]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted((tuple(r) for r in bpe.encode(df, bpe.default_vocabulary(), head_words=head).collect()), key=str)
+    got = sorted((tuple(r) for r in bpe.encode(df, bpe.default_vocabulary(), per_chunk=chunk).collect()), key=str)
     assert got == expected(tokenizer, rows)
 
 
@@ -47,6 +49,19 @@ def test_odd_rows(odd_docs, no_docs, tokenizer):
 
 def test_round_trip_through_the_piece_join(spark):
     rows = [(i, t) for i, t in enumerate(ODD)]
-    encoded = bpe.encode(spark.createDataFrame(rows, "doc_id long, text string"), bpe.default_vocabulary(), outputs=("ids",), head_words=5)
+    encoded = bpe.encode(spark.createDataFrame(rows, "doc_id long, text string"), bpe.default_vocabulary(), outputs=("ids",), per_chunk=5)
     got = {r["doc_id"]: r["text"] for r in bpe.decode(encoded, bpe.default_vocabulary(), "doc_id").collect()}
     assert got == {i: t or "" for i, t in rows}
+
+
+def test_packed_forms():
+    """Everything that a packet holds comes back as it was."""
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 5, 3000):
+        places = rng.integers(0, rng.choice([3, 255, 256, 257, 70_000, 1 << 24], n) if n else 1, n)
+        assert packets.to_places(packets.from_places(places)).tolist() == places.tolist()
+        words = pa.array(["".join(rng.choice(list("ab \u00e9\U0001f600"), int(rng.integers(0, 9)))) for _ in range(n)], pa.string())
+        assert packets.to_words(packets.from_words(words)).equals(words)
+        for most in (200, 1 << 17):
+            lists = pa.array([rng.integers(0, most, int(rng.integers(0, 4))).tolist() for _ in range(n)], pa.list_(pa.int32()))
+            assert packets.to_lists(packets.from_lists(lists)).to_pylist() == lists.to_pylist()
