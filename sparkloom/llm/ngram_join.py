@@ -484,8 +484,12 @@ def class_sets(docs: DataFrame, wanted: DataFrame, text_col: str, id_col: str) -
     return found.mapInArrow(tidied(run), "s1 long, s2 long, tokens binary")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text_col: str, id_col: str, percent: int) -> DataFrame:
-    """The pairs (a, b, bucket) that link; a bucket gets each of its sets once, before its pairs."""
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text_col: str, id_col: str, percent: int, most: int = 500) -> DataFrame:
+    """The pairs (a, b, bucket) that link; a bucket gets each of its sets once, before its pairs. A bucket of more than
+    `most` pairs is dealt out by their first class."""
+    many = small_side(pairs.groupBy("bucket").agg(F.count("*").alias("m")).where(F.col("m") > most), "many")
+    part = F.pmod(F.xxhash64("a"), F.ceil(F.col("m") / most))
+    pairs = pairs.join(many, "bucket", "left").select("a", "b", F.when(F.col("m").isNull(), F.col("bucket")).otherwise(F.xxhash64("bucket", part)).alias("bucket"))
     need = pairs.select("bucket", F.col("a").alias("cls")).union(pairs.select("bucket", "b")).distinct()
     need = stored(need.join(classes.select("cls", "s1", "s2", "low", "text_hash"), "cls"), "need")
     n = need.count()
@@ -555,10 +559,12 @@ def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", percen
         found = stored(components(links), "linked")
         if not last:
             placed = stored(_open(listed.drop("comp"), found), "open")
-    # ids: the smallest of each class, then of each component
-    grouped = classes.select("s1", "s2", "cls", "low").join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    smallest = grouped.groupBy("component").agg(F.min("low").alias("component_id"))
-    by_class = grouped.join(smallest, "component").select("s1", "s2", "component", "component_id")
+    # ids: the smallest of each class, then of each component; most classes are one of their own
+    linked = classes.select("cls", "low").join(found.withColumnRenamed("node", "cls"), "cls")
+    smallest = small_side(linked.groupBy("component").agg(F.min("low").alias("least")), "smallest")
+    least = linked.join(smallest, "component").select("cls", "component", "least")
+    by_class = classes.select("s1", "s2", "cls", "low").join(least, "cls", "left")
+    by_class = by_class.select("s1", "s2", F.coalesce("component", "cls").alias("component"), F.when(F.col("component").isNull(), F.col("low")).otherwise(F.col("least")).alias("component_id"))
     slim = members.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "s1", "s2")
     out = slim.where("n_shingles > 0").join(by_class, ["s1", "s2"]).select("doc_id", "text_hash", "n_shingles", "component", "component_id")
     alone = slim.where("n_shingles = 0").select("doc_id", "text_hash", "n_shingles", F.lit(-1).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
