@@ -53,7 +53,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = stored(ngram_join.join(docs).where("n_shingles > 0"), "groups")
     keys = found.groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("many"))
     rank = lambda: F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
-    first = found.groupBy("component").agg(F.min(rank()).alias("first"))
+    first = small_side(found.groupBy("component").agg(F.min(rank()).alias("first")), "first", 1_000_000)
     keys = stored(keys.join(first, "component").withColumn("stays", rank() == F.col("first")).select("doc_id", "text_hash", "many", "stays"), "keys")
     gone = small_side(keys.where("NOT stays").select("doc_id", "text_hash").distinct(), "gone", 1_000_000)
     twice = small_side(keys.where("stays AND many > 1").select("doc_id", "text_hash").distinct(), "twice", 1_000_000)
@@ -85,7 +85,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null text is an empty one, with no tokens; equal rows are encoded alike, each on its own; a null id is kept.
     """
-    return bpe.encode(docs, bpe.default_vocabulary(), keep=("doc_id", "lang", "source"), outputs=("n_tokens", "ids", "ids_sha256", "decoded_sha256"))
+    return bpe.encode(docs, bpe.default_vocabulary(), keep=("doc_id", "lang", "source"), outputs=("n_tokens", "ids", "ids_sha256", "decoded_sha256"), per_chunk=2_000_000)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
