@@ -12,7 +12,8 @@ Buckets of more than `block` classes are cut into blocks by hash and dealt out a
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components, and rows with a null label, link
 with nothing and are their own component; equal rows are members of one class and linked with each other; a null id
-takes the smallest id of its component, or stays null; vectors of other lengths than most never meet.
+takes the smallest id of its component, or stays null; vectors of other lengths than most never meet; an empty table
+gives an empty result; columns of any other name and type are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from math import acos, ceil, log, log2, pi
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -118,18 +120,27 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _groups(table: pa.Table) -> Iterator[tuple[int, int]]:
-    """(first row, rows) of the buckets with two rows or more."""
-    bucket = np.asarray(table["bucket"])
-    first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-    length = np.diff(np.append(first, len(bucket)))
-    for i in np.flatnonzero(length > 1):
-        yield int(first[i]), int(length[i])
+def _pairs(bucket: np.ndarray, side: np.ndarray, most: int = 400_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs (a, b) of rows that a bucket judges, about `most` at a time, or one bucket's: all of its pairs (side
+    0), or those between its two blocks (sides 1 and 2). Rows come sorted by bucket."""
+    first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, np.int64)
+    end = np.repeat(np.append(first[1:], len(bucket)), np.diff(np.append(first, len(bucket))))
+    later = end - np.arange(len(bucket)) - 1  # rows after each in its bucket
+    upto = np.cumsum(later)
+    start = 0
+    while start < len(bucket):
+        stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + most, side="right")))
+        n = later[start:stop]
+        a = np.repeat(np.arange(start, stop), n)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
+        ok = (side[a] != side[b]) | (side[a] == 0)
+        if ok.any():
+            yield a[ok], b[ok]
+        start = stop
 
 
-def _partners(side: np.ndarray) -> np.ndarray:
-    """Which pairs of a bucket's rows it judges: all (side 0), or those between its two blocks (sides 1 and 2)."""
-    return np.triu(np.ones((len(side), len(side)), bool), 1) & ((side[:, None] != side[None, :]) | (side[0] == 0))
+def _apart(codes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(codes[a] ^ codes[b]).sum(axis=1)
 
 
 def _dealt(rows: DataFrame, block: int, checked: int = 200_000) -> DataFrame:
@@ -178,51 +189,52 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, vector_col: str
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _buckets(batches):
             codes = np.frombuffer(b"".join(table["code"].to_pylist()), np.uint64).reshape(table.num_rows, -1)
-            side = np.asarray(table["side"])
             need = np.zeros(table.num_rows, bool)
-            for first, m in _groups(table):
-                c = codes[first : first + m]
-                apart = np.bitwise_count(c[:, None, :] ^ c[None, :, :]).sum(axis=2)
-                hit = _partners(side[first : first + m]) & (apart <= most_apart)
-                need[first : first + m] = hit.any(axis=0) | hit.any(axis=1)
+            for a, b in _pairs(np.asarray(table["bucket"]), np.asarray(table["side"])):
+                hit = _apart(codes, a, b) <= most_apart
+                need[a[hit]] = need[b[hit]] = True
             yield from table.select(["bucket", "side", "cls", "key"]).filter(pa.array(need)).to_batches()
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _buckets(batches):
-            cls, many, side, bucket = (np.asarray(table[c]) for c in ("cls", "many", "side", "bucket"))
-            out: list[tuple] = []
-            vectors = table["v"].combine_chunks() if isinstance(table["v"], pa.ChunkedArray) else table["v"]
-            for first, m in _groups(table):
-                here = slice(first, first + m)
-                units = _units(_matrix(vectors.slice(first, m)))
-                dim = units.shape[1]
-                turned = units.astype(np.float32) @ rotations(dim)
-                keys = band_keys(units, bits, bands, np.asarray(table["label_key"].slice(first, m)))
-                band = _band_of(keys, int(np.asarray(table["key"].slice(first, 1))[0]))
-                pairs = _partners(side[here])
-                for j in range(band):  # the first band that a pair shares judges it
-                    pairs &= keys[:, None, j] != keys[None, :, j]
-                # unbiased estimates: sign code of one against the turned vector of the other
-                sign = np.where(turned > 0, 1, -1).astype(np.float32)
-                factor = (sign * turned).sum(axis=1)
-                estimate = (sign @ turned.T) / factor[:, None]
-                fit = factor / np.sqrt(turned.shape[1] * (turned * turned).sum(axis=1))
-                spread = sigmas * np.sqrt(np.maximum(1 - fit * fit, 0) / (fit * fit) / (dim - 1 if dim > 1 else 1) / (turned.shape[1] / dim))
-                pairs &= estimate + spread[:, None] * np.sqrt(max(0.0, 1 - threshold * threshold)) >= threshold - 1e-6
-                a, b = np.nonzero(pairs)
-                if not len(a):
-                    continue
-                cosine = units @ units.T if len(a) * 4 > m else None
-                good = (cosine[a, b] if cosine is not None else (units[a] * units[b]).sum(axis=1)) >= threshold
-                a, b = a[good], b[good]
-                if not len(a):
-                    continue
-                links = np.bincount(a, many[here][b], m) + np.bincount(b, many[here][a], m)
-                low = _forest(a, b, m)
-                at = np.flatnonzero(links)
-                out.append((cls[here][at], links[at].astype(np.int64), cls[here][low[at]]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out]), pa.int64()) for k in range(3)], ["cls", "links", "root"])
+        for whole in _buckets(batches):
+            sizes = np.asarray(pc.list_value_length(whole["v"]))
+            for dim in np.unique(sizes).tolist():
+                found = judged(whole.filter(pa.array(sizes == dim)), dim)
+                if found is not None:
+                    yield found
+
+    def judged(table: pa.Table, dim: int) -> pa.RecordBatch | None:
+        cls, many, side, bucket, label, key = (np.asarray(table[c]) for c in ("cls", "many", "side", "bucket", "label_key", "key"))
+        units = _units(_matrix(table["v"].combine_chunks()))
+        turned = units.astype(np.float32) @ rotations(dim)
+        codes = np.packbits(turned[:, :CODE_BITS] > 0, axis=1).view(np.uint64)
+        keys = np.concatenate([band_keys(units[i : i + 2048], bits, bands, label[i : i + 2048]) for i in range(0, len(units), 2048)])
+        band = (keys == key.astype(np.uint64)[:, None]).argmax(axis=1)
+        # unbiased estimates: sign code of one against the turned vector of the other
+        sign = np.where(turned > 0, 1, -1).astype(np.float32)
+        factor = (sign * turned).sum(axis=1)
+        fit = factor / np.sqrt(turned.shape[1] * (turned * turned).sum(axis=1))
+        spread = sigmas * np.sqrt(np.maximum(1 - fit * fit, 0) / (fit * fit) / (dim - 1 if dim > 1 else 1) / (turned.shape[1] / dim))
+        room = spread * np.sqrt(max(0.0, 1 - threshold * threshold))
+        left, right = [], []
+        for all_a, all_b in _pairs(bucket, side):
+            near = _apart(codes, all_a, all_b) <= most_apart
+            all_a, all_b = all_a[near], all_b[near]
+            for start in range(0, len(all_a), 20_000):
+                a, b = all_a[start : start + 20_000], all_b[start : start + 20_000]
+                first = (keys[a] == keys[b]).argmax(axis=1) == band[a]  # the first band that a pair shares judges it
+                a, b = a[first], b[first]
+                likely = np.einsum("ij,ij->i", sign[a], turned[b]) / factor[a] + room[a] >= threshold - 1e-6
+                a, b = a[likely], b[likely]
+                good = (units[a] * units[b]).sum(axis=1) >= threshold
+                left.append(a[good])
+                right.append(b[good])
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
+        if not len(a):
+            return None
+        links = (np.bincount(a, many[b], len(cls)) + np.bincount(b, many[a], len(cls))).astype(np.int64)
+        low, at = _forest(a, b, len(cls)), np.flatnonzero(links)
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (cls[at], links[at], cls[low[at]])], ["cls", "links", "root"])
 
     parts = partitions_for(n * bands, 400_000)
     coded = classes.select("cls", "many", "v", F.xxhash64(F.lit("label"), "label").alias("label_key"))
@@ -235,12 +247,6 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, vector_col: str
     return _finish(rows, classes, found)
 
 
-def _band_of(keys: np.ndarray, key: int) -> int:
-    """The band whose key all rows share."""
-    hit = np.flatnonzero((keys == np.uint64(key & 0xFFFFFFFFFFFFFFFF)).all(axis=0))
-    return int(hit[0]) if len(hit) else 0
-
-
 def _finish(rows: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
     """Rows with their class's links and the smallest id of its component."""
     linked = components(found.select(F.col("cls").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "cls")

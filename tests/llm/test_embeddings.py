@@ -58,6 +58,25 @@ def test_dedup_equals_sql(spark, data):
     assert spark_rows(rows) == duck_rows(data, ed.OP6_SQL)
 
 
+def test_dedup_of_ten_thousand(spark):
+    """10,000 vectors with 800 pairs between 0.93 and 0.97 and a group of 300: links against brute force, at most one
+    in a thousand lost and none added."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(8_100, 64))
+    base = ed._units(x[:800])
+    side = rng.normal(size=(800, 64))
+    side = ed._units(side - (base * side).sum(axis=1, keepdims=True) * base)
+    cosine = rng.uniform(0.93, 0.97, (800, 1))
+    x = np.concatenate([x, cosine * base + np.sqrt(1 - cosine**2) * side, x[5000] + rng.normal(0, 0.2, (300, 64)), x[:800]])
+    frame = spark.createDataFrame([(i, v.tolist(), 1, 0.0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int, score double")
+    got = {r["vec_id"]: r["n_links"] for r in ed.near_duplicates(frame).collect()}
+    unit, want = ed._units(x), np.zeros(len(x), int)
+    for start in range(0, len(x), 1000):
+        want[start : start + 1000] = (unit[start : start + 1000] @ unit.T >= 0.93).sum(axis=1) - 1
+    found = np.array([got[i] for i in range(len(x))])
+    assert len(got) == len(x) and (found <= want).all() and want.sum() - found.sum() <= 1e-3 * want.sum()
+
+
 @pytest.mark.parametrize("n", [1_000, 10_000, 100_000, 1_000_000])
 @pytest.mark.parametrize("dim", [8, 64])
 def test_pairs_at_the_threshold_meet(n, dim):
@@ -115,5 +134,54 @@ def test_search_in_blocks_and_odd_rows(spark, vectors):
     assert got == [(20, 1, 21, 1.0), (20, 2, 22, 1.0)]
 
 
+@pytest.mark.parametrize("copies", [21, 22, 23, 25, 26, 27, 30, 31, 33])
+def test_ties_go_to_smaller_ids(spark, copies):
+    rng = np.random.default_rng(copies)
+    one, query = rng.normal(size=64).tolist(), rng.normal(size=64).tolist()
+    rows = [(20, query, 1, 0.0), *[(100 + i, one, 1, 0.0) for i in range(copies) if (100 + i) % 20], (7, one, 2, 0.0)]
+    got = sorted((r["rank"], r["vec_id"]) for r in pi.op7_permutation_index(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert [v for _, v in got] == sorted(r[0] for r in rows[1:])[:20]
+
+
+@pytest.fixture(scope="module")
+def many(spark):
+    """More vectors than are ranked again: 12,000 random ones, and 700 copies of one among them."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(12_000, 64)).astype(np.float32)
+    x[500:1200] = x[500]
+    return x, spark.createDataFrame([(i, v.tolist(), 1, 0.0) for i, v in enumerate(x)], SCHEMA).repartition(6)
+
+
+def test_recall_where_the_index_excludes_most(many):
+    """Of 12,000 vectors 5% are ranked again, and 0.9 of the nearest are among them; ties end at the smaller ids; the
+    count, and the answer from other partitions, are the same."""
+    x, table = many
+    answer = pi.op7_permutation_index(table)
+    got = {}
+    for r in answer.collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    wide, asked = x.astype(float), [i for i in range(len(x)) if i % 20 == 0 and not 500 <= i < 1200]
+    hits = []
+    for q in asked:
+        s = wide @ wide[q]
+        s[q] = -np.inf
+        hits.append(len(set(np.lexsort((np.arange(len(x)), -s))[:20].tolist()) & set(got[q].values())) / 20)
+    assert np.mean(hits) >= 0.9
+    assert [got[500][k] for k in range(1, 21)] == list(range(501, 521))
+    assert answer.count() == 20 * len([i for i in range(len(x)) if i % 20 == 0])
+    again = {(r["query_id"], r["rank"]): r["vec_id"] for r in pi.op7_permutation_index(table.repartition(3, "vec_id")).collect()}
+    assert again == {(q, k): v for q, found in got.items() for k, v in found.items()}
+
+
+def test_footrule():
+    """What a query adds up is half the footrule distance, taken from its maximum, with absent pivots at the end."""
+    rng = np.random.default_rng(2)
+    near = np.array([rng.permutation(12)[:6] for _ in range(40)])
+    own = rng.permutation(12)[:6]
+    place = lambda order, p: order.tolist().index(p) if p in order else 6
+    plain = [sum(6 - max(place(own, p), place(row, p)) for p in range(12)) for row in near]
+    assert pi.InvertedFiles(near, 12).nearness(own).tolist() == plain
+
+
 def test_empty_dedup(vectors):
     assert ed.op6_embedding_dedup(vectors.limit(0)).count() == 0
