@@ -7,9 +7,12 @@ pivot in common: the footrule distance, taken from its maximum. The vectors of t
 the exact inner product, in double precision.
 
 Pivots are a bounded sample; all vectors are indexed. For inner products of vectors of different lengths, vectors get
-one more component that makes their norms equal, which keeps the order of inner products. Candidates and queries are
-dealt out in blocks by a hash of id and vector; a block pair sends each query's best, so no more than k rows per query
-and block travel, and the answer doesn't depend on how the rows come partitioned.
+one more component that makes their norms equal, which keeps the order of inner products. Some of the pivots are the
+centres of cells; cells of more than `block` vectors are cut into blocks by a hash of id and vector. A query first
+searches its own cell. The k-th best found there, and how far a cell's vectors lie from its centre at most, tell which
+other cells can hold anything better: only those are searched then. Where vectors form clusters these are few; where
+they point everywhere, as random ones do, they are most. A block sends each query's best, so no more than k rows per
+query and block travel, and the answer doesn't depend on how the rows come partitioned.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part; a query whose own row
 is the only one finds nothing; fewer candidates than k are all returned; ties go to the smaller id, null ids last,
@@ -19,10 +22,12 @@ compared with those of the same length only; columns of any other name and type
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -87,8 +92,7 @@ def search_block(candidates: pa.Table, queries: pa.Table, pivots: list[np.ndarra
         if len(own) >= 32 and few < len(x):
             p = lifted(own, most)
             index = InvertedFiles(orders(lifted(x, most) @ p.T, min(listed, len(p))), len(p))
-            unit = y / np.sqrt((y * y).sum(axis=1, keepdims=True))
-            wanted = orders(unit.astype(np.float32) @ p[:, :-1].T, min(asked, len(p)))
+            wanted = orders(_unit(y).astype(np.float32) @ p[:, :-1].T, min(asked, len(p)))
             later = np.arange(len(x), dtype=np.int64)
         for i in range(len(y)):
             at = np.arange(len(x)) if index is None else np.argpartition(later - index.nearness(wanted[i]).astype(np.int64) * len(x), few)[: few + 1]
@@ -103,9 +107,66 @@ def search_block(candidates: pa.Table, queries: pa.Table, pivots: list[np.ndarra
     return pa.table({"query_row": pa.array(flat["query_row"], pa.int64()), "query_id": pa.array(flat["query_id"], pa.int64()), "vec_id": pa.array(flat["vec_id"], pa.int64(), mask=flat["vec_id"] == NO_ID), "score": pa.array(flat["score"], pa.float64())})
 
 
+def _unit(y: np.ndarray) -> np.ndarray:
+    return y / np.sqrt((y * y).sum(axis=1, keepdims=True))
+
+
+def _by_size(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """The lengths of a column's vectors, and the rows that have them."""
+    size = np.asarray(pc.list_value_length(column))
+    for dim in np.unique(size).tolist():
+        yield dim, np.flatnonzero(size == dim)
+
+
+def celled(rows: DataFrame, centres: list[np.ndarray], most: float) -> DataFrame:
+    """rows (..., v) with the number of their nearest centre, -1 where none has their length, and the cosine with it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell, cosine = np.full(batch.num_rows, -1), np.zeros(batch.num_rows)
+            for dim, at in _by_size(batch.column("v")):
+                own = [i for i, c in enumerate(centres) if len(c) == dim]
+                if own:
+                    near = lifted(_rows(batch.column("v").take(pa.array(at))), most) @ lifted(np.array([centres[i] for i in own]), most).T
+                    cell[at], cosine[at] = np.array(own)[near.argmax(axis=1)], near.max(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(cosine, pa.float64())], [*batch.schema.names, "cell", "cosine"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(run, f"{kinds}, cell int, cosine double")
+
+
+def cells_to_search(queries: DataFrame, centres: list[np.ndarray], widest: dict[int, float], most: float) -> DataFrame:
+    """(q_row, q_id, q_v, to_cell) from queries (q_row, q_id, q_v, home, least): the cells but the own one that can hold
+    a vector of at least the inner product `least`, null for any. `widest` is the cells' smallest cosine with their
+    centres; the angle between query and vector is at least that of query and centre less that of centre and vector."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            least = np.array([-np.inf if x is None else x for x in batch.column("least").to_pylist()])
+            home, row, to = np.asarray(batch.column("home")), [], []
+            for dim, at in _by_size(batch.column("q_v")):
+                y = _rows(batch.column("q_v").take(pa.array(at)))
+                norm, unit = np.sqrt((y * y).sum(axis=1)), _unit(y).astype(np.float32)
+                for cell, cosine in widest.items():
+                    if cell >= 0 and len(centres[cell]) != dim:
+                        continue
+                    best = np.full(len(at), np.inf)
+                    if cell >= 0:
+                        apart = np.arccos(np.clip(unit @ lifted(centres[cell][None], most)[0, :-1], -1, 1))
+                        best = norm * most * (np.cos(np.maximum(0, apart - np.arccos(np.clip(cosine, -1, 1)))) + 1e-5)  # centres are in single precision
+                    go = (best >= least[at]) & (home[at] != cell)
+                    row.append(at[go])
+                    to.append(np.full(int(go.sum()), cell))
+            own = pa.array(np.concatenate(row) if row else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(own) for c in ("q_row", "q_id", "q_v")), pa.array(np.concatenate(to) if to else np.zeros(0, np.int64), pa.int32())], ["q_row", "q_id", "q_v", "to_cell"])
+
+    return queries.select("q_row", "q_id", "q_v", "home", "least").mapInArrow(run, "q_row long, q_id long, q_v array<double>, to_cell int")
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vector_col: str = "embedding", id_col: str = "vec_id", n_pivots: int = 512, listed: int = 256, asked: int = 64, share: float = 0.05, block: int = 16384, seed: int = 9) -> DataFrame:
     """(query_id, rank, vec_id, score). A vector lists `listed` pivots, a query asks `asked` of them; `share` of each
     block, at least 20 k rows, is ranked again exactly."""
+    spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), is_query.alias("asks"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = rows.where(usable("v")).withColumn("row", F.monotonically_increasing_id())
     rows = stored(rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))), "vectors")
@@ -114,20 +175,34 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vector_col: str =
     draw = F.xxhash64(F.lit(seed), "v")
     some = rows.where(F.pmod(F.xxhash64(F.lit(seed + 1), "v"), F.lit(max(1, facts["n"] // (8 * n_pivots)))) == 0)
     pivots, most = [np.array(r["v"]) for r in some.select("v").distinct().orderBy(draw).limit(n_pivots).collect()], float(facts["norm"] or 1.0)
-    c_blocks, q_blocks = max(1, ceil(facts["n"] / block)), max(1, ceil(facts["asks"] / block))
+    centres = pivots[: ceil(facts["n"] / block)]
+    rows = stored(celled(rows.drop("norm"), centres, most), "cells")
+    cells = {r["cell"]: (r["n"], r["cosine"]) for r in rows.groupBy("cell").agg(F.count("*").alias("n"), F.min("cosine").alias("cosine")).collect()}  # one row a centre
+    subs = F.broadcast(spark.createDataFrame([(c, ceil(n / block)) for c, (n, _) in cells.items()], "to_cell int, subs int"))
+    q_blocks = max(1, ceil(facts["asks"] / block))
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     nameless = F.when(F.col("vec_id").isNull(), F.col("row"))  # rows without an id aren't told apart by it
-    dealt = lambda what, n: F.pmod(F.xxhash64(F.lit(what), "vec_id", "v", nameless), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    candidates = rows.select("vec_id", "row", "v", dealt("c", c_blocks).alias("cb")).withColumn("qb", every(q_blocks))
+    dealt = rows.join(subs, F.col("cell") == F.col("to_cell")).withColumn("sub", F.pmod(F.xxhash64(F.lit("c"), "vec_id", "v", nameless), F.col("subs")).cast("int"))
+    candidates = dealt.select("vec_id", "row", "v", "cell", "sub").withColumn("qb", every(F.lit(q_blocks)))
     # names of their own: both sides read one table
-    queries = rows.where("asks").select(F.col("vec_id").alias("q_id"), F.col("row").alias("q_row"), F.col("v").alias("q_v"), dealt("q", q_blocks).alias("to_qb")).withColumn("to_cb", every(c_blocks))
+    queries = rows.where("asks").select(F.col("row").alias("q_row"), F.col("vec_id").alias("q_id"), F.col("v").alias("q_v"), F.col("cell").alias("home"))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         return search_block(left, right, pivots, most, k, listed, asked, share)
 
-    found = candidates.groupBy("qb", "cb").cogroup(queries.groupBy("to_qb", "to_cb")).applyInArrow(run, "query_row long, query_id long, vec_id long, score double")
+    def search(sent: DataFrame) -> DataFrame:
+        sent = sent.join(subs, "to_cell").withColumn("to_qb", F.pmod(F.xxhash64(F.lit("q"), "q_row"), F.lit(q_blocks)).cast("int")).withColumn("to_sub", every(F.col("subs"))).drop("subs")
+        return candidates.groupBy("cell", "sub", "qb").cogroup(sent.groupBy("to_cell", "to_sub", "to_qb")).applyInArrow(run, "query_row long, query_id long, vec_id long, score double")
+
     rank = F.row_number().over(W.partitionBy("query_row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id")))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    best = lambda found: found.withColumn("rank", rank).where(F.col("rank") <= k)
+    found = search(queries.select("q_row", "q_id", "q_v", F.col("home").alias("to_cell")))
+    if len(cells) > 1:
+        found = stored(best(found).drop("rank"), "found")
+        least = found.groupBy("query_row").agg(F.count("*").alias("m"), F.min("score").alias("s")).select(F.col("query_row").alias("q_row"), F.when(F.col("m") == k, F.col("s")).alias("least"))
+        more = cells_to_search(queries.join(least, "q_row", "left"), centres, {c: cosine for c, (_, cosine) in cells.items()}, most)
+        found = found.unionByName(search(more))
+    return best(found).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op7_permutation_index(vectors: DataFrame) -> DataFrame:

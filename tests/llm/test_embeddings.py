@@ -1,9 +1,11 @@
 import numpy as np
 import pytest
 from comparison import duck_rows, spark_rows
+from pyspark.sql import functions as F
 
 from sparkloom.llm import embedding_dedup as ed
 from sparkloom.llm import permutation_index as pi
+from sparkloom.llm.common import stored
 
 SCHEMA = "vec_id long, embedding array<float>, label int, score double"
 
@@ -123,8 +125,6 @@ def test_search(spark, data, vectors):
 
 
 def test_search_in_blocks_and_odd_rows(spark, vectors):
-    from pyspark.sql import functions as F
-
     asks = F.coalesce(F.col("vec_id") % 20 == 0, F.lit(False))
     exact = spark_rows(pi.nearest(vectors, asks, share=1.0))
     assert spark_rows(pi.nearest(vectors, asks, share=1.0, block=50)) == exact
@@ -173,6 +173,26 @@ def test_recall_where_the_index_excludes_most(many):
     assert again == {(q, k): v for q, found in got.items() for k, v in found.items()}
 
 
+def test_only_cells_that_can_hold_better_are_searched(spark, monkeypatch):
+    """Forty tight clusters: the answer in cells equals that of one block, and queries meet few cells."""
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=(40, 16))
+    x = centre[np.arange(4000) % 40] * rng.uniform(0.9, 1.1, (4000, 1)) + rng.normal(0, 0.02, (4000, 16))
+    frame = spark.createDataFrame([(i, v.tolist(), 1, 0.0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int, score double")
+    asks = F.col("vec_id") % 20 == 0
+    whole = spark_rows(pi.nearest(frame, asks, share=1.0, block=5000))
+    visits, real = [], pi.cells_to_search
+
+    def counted(*args):
+        found = stored(real(*args), "visits")
+        visits.append(found.count())
+        return found
+
+    monkeypatch.setattr(pi, "cells_to_search", counted)
+    assert spark_rows(pi.nearest(frame, asks, share=1.0, block=100)) == whole
+    assert visits[0] < 0.3 * 200 * 40
+
+
 def test_footrule():
     """What a query adds up is half the footrule distance, taken from its maximum, with absent pivots at the end."""
     rng = np.random.default_rng(2)
