@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sparkloom.functions import text
 from sparkloom.operators import code, findings, usage
+from sparkloom.session import working_folder
 from sparkloom.sources import manifests, python_ast
 
 #: (line of code, rule, severity); no rule for the near misses.
@@ -205,11 +207,26 @@ def project_marker(s, d):
     return out
 
 
+def source_files(s, d):
+    """Python files of a folder and the folders below it, with bytes that aren't UTF-8 left out; other files and hidden
+    folders are not read."""
+    folder, jvm = working_folder(s), s.sparkContext._jvm
+    for path, content in (("a.py", b"x = 'caf\xff'\n"), ("sub/deep/b.py", "y = '\u00e9'\n".encode()), ("notes.txt", b"no"), (".git/c.py", b"z = 1\n")):
+        target = jvm.org.apache.hadoop.fs.Path(f"{folder}/{path}")
+        out = target.getFileSystem(s.sparkContext._jsc.hadoopConfiguration()).create(target)
+        out.write(bytearray(content))
+        out.close()
+    rows = python_ast.read_files(s, folder)
+    name = F.regexp_replace("path", "^.*/(sparkloom-[^/]*)/", "")
+    counts = code.counts(python_ast.parse(rows)).select("path")
+    return rows.join(counts, "path").select(name.alias("path"), "source", text.code_lines(F.col("source")).alias("loc"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         ast_rule_hits, ast_findings_per_file, ast_practice_hits, ast_counts, ast_complexity_files, ast_high_risk, dead_code_lists, dead_code_totals, untyped_public, type_hint_files, ast_tokens,
-        requirements_scan, project_marker,
+        requirements_scan, project_marker, source_files,
     )
 }
 
@@ -233,5 +250,6 @@ SQL = {
     "type_hint_files": "SELECT path, items, filled, total, \"full\", partial, untyped, annotated_variables, coverage::DOUBLE AS coverage, rating FROM (" + _values('path, items, filled, total, "full", partial, untyped, annotated_variables, coverage, rating', [("pkg/hinted.py", 7, 4, 18, 2, 1, 4, 2, 22.2, "Poor")]) + ")",
     "ast_tokens": _values("pos, token, lineno", [(1, "Assign", 1), (2, "ATTR", 1), (3, "ID", 1), (6, "BinOp", 1), (7, "Call", 1), (8, "ID", 1), (10, "LIT:int", 1), (11, "LIT:str", 1), (12, "Add", None), (13, "LIT:NoneType", 1)]),
     "requirements_scan": _values("source, package, operator, version, pinned", [("deep/requirements-dev.txt", "flask", "==", "2.0", True), ("requirements.txt", "requests", ">=", "2.1", False), ("deep/requirements-dev.txt", "pytest", "~=", "8.0", False), ("pyproject.toml", "flask", "==", "3.0", True), ("pyproject.toml", "rich", ">=", "13.0", False), ("pyproject.toml", "httpx", ">=", "0.27", False)]),
+    "source_files": "SELECT path, source || chr(10) AS source, 1::BIGINT AS loc FROM (" + _values("path, source", [("a.py", "x = ''caf''"), ("sub/deep/b.py", "y = ''\u00e9''")]) + ")",
     "project_marker": _values("listing, is_project", [("code", True), ("marker", True), ("neither", False), ("none", False)]),
 }
