@@ -231,23 +231,25 @@ QUERIES = {
 }
 
 
-def _values(names: str, rows: list[tuple]) -> str:
+def _values(names: str, rows: list[tuple], longs: str = "", doubles: str = "") -> str:
+    """The rows as SQL values; the columns named in longs and doubles have those types."""
     cell = lambda x: "NULL" if x is None else str(x).upper() if isinstance(x, bool) else f"'{x}'" if isinstance(x, str) else str(x)
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) v({names})"
+    typed = lambda c: f"{c}::BIGINT AS {c}" if c.strip('"') in longs.split() else f"{c}::DOUBLE AS {c}" if c in doubles.split() else c
+    return f"SELECT {', '.join(map(typed, names.split(', ')))} FROM (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) v({names})"
 
 
 _IN_TEST = [(line, rule, LADDER[severity]) for line, rule, severity in HITS if rule != "assert_for_validation"]
 SQL = {
     "ast_rule_hits": _values("path, line, rule, severity, in_test", [("pkg/rules.py", *h, False) for h in HITS] + [("tests/test_rules.py", *h, True) for h in _IN_TEST]),
-    "ast_findings_per_file": _values("path, issue_count, highest_severity, is_test, first_line, first_rule", [("pkg/rules.py", len(HITS), "critical", False, 1, "dangerous_eval"), ("tests/test_rules.py", len(_IN_TEST), "high", True, 1, "dangerous_eval")]),
+    "ast_findings_per_file": _values("path, issue_count, highest_severity, is_test, first_line, first_rule", [("pkg/rules.py", len(HITS), "critical", False, 1, "dangerous_eval"), ("tests/test_rules.py", len(_IN_TEST), "high", True, 1, "dangerous_eval")], "issue_count"),
     "ast_practice_hits": _values("line, rule", [(1, "wildcard_import"), (3, "mutable_default_arg"), (3, "mutable_default_arg"), (5, "dangerous_call"), (10, "bare_except"), (12, "too_many_args"), (13, "global_variable"), (13, "global_variable")]),
-    "ast_counts": _values("path, functions, classes", [("pkg/rules.py", 0, 0), ("tests/test_rules.py", 0, 0), ("pkg/dead.py", 5, 2), ("pkg/hinted.py", 7, 1), ("pkg/branchy.py", 2, 0), ("pkg/practices.py", 3, 0), ("pkg/empty.py", 0, 0), ("*", 17, 3)]),
-    "ast_complexity_files": "SELECT path, functions::BIGINT AS functions, total::BIGINT AS total, maximum::BIGINT AS maximum, average::DOUBLE AS average FROM (" + _values("path, functions, total, maximum, average", [("pkg/branchy.py", 2, 14, 13, 7.0), ("pkg/dead.py", 5, 7, 2, 1.4), ("pkg/empty.py", 0, 0, 0, 0.0)]) + ")",
-    "ast_high_risk": _values("path, name, lineno, complexity", [("pkg/branchy.py", "big", 1, 13)]),
+    "ast_counts": _values("path, functions, classes", [("pkg/rules.py", 0, 0), ("tests/test_rules.py", 0, 0), ("pkg/dead.py", 5, 2), ("pkg/hinted.py", 7, 1), ("pkg/branchy.py", 2, 0), ("pkg/practices.py", 3, 0), ("pkg/empty.py", 0, 0), ("*", 17, 3)], "functions classes"),
+    "ast_complexity_files": _values("path, functions, total, maximum, average", [("pkg/branchy.py", 2, 14, 13, 7.0), ("pkg/dead.py", 5, 7, 2, 1.4), ("pkg/empty.py", 0, 0, 0, 0.0)], "functions total maximum", "average"),
+    "ast_high_risk": _values("path, name, lineno, complexity", [("pkg/branchy.py", "big", 1, 13)], "complexity"),
     "dead_code_lists": _values("category, place, name, lineno, lines", [("function", 1, "long_one", 20, 6), ("function", 2, "never", 8, 4), ("function", 3, "_alone", 16, 4), ("class", 1, "Lost", 26, 3), ("import", 1, "os", 1, 0), ("import", 2, "j", 2, 0), ("local", 1, "y", 9, 0), ("local", 2, "unused", 13, 0), ("unreachable", 1, None, 11, 1), ("unreachable", 2, None, 24, 1)]),
-    "dead_code_totals": _values("dead_functions, dead_classes, unused_imports, unused_locals, unreachable_code, total_items, dead_lines, high_confidence_count, dead_code_percentage", [(3, 1, 2, 2, 2, 10, 17, 1, 17.0)]),
-    "untyped_public": _values("name, lineno, parameters", [("Box.put", 14, 4), ("none", 4, 3)]),
-    "type_hint_files": "SELECT path, items, filled, total, \"full\", partial, untyped, annotated_variables, coverage::DOUBLE AS coverage, rating FROM (" + _values('path, items, filled, total, "full", partial, untyped, annotated_variables, coverage, rating', [("pkg/hinted.py", 7, 4, 18, 2, 1, 4, 2, 22.2, "Poor")]) + ")",
+    "dead_code_totals": _values("dead_functions, dead_classes, unused_imports, unused_locals, unreachable_code, total_items, dead_lines, high_confidence_count, dead_code_percentage", [(3, 1, 2, 2, 2, 10, 17, 1, 17.0)], "dead_functions dead_classes unused_imports unused_locals unreachable_code total_items dead_lines high_confidence_count", "dead_code_percentage"),
+    "untyped_public": _values("name, lineno, parameters", [("Box.put", 14, 4), ("none", 4, 3)], "parameters"),
+    "type_hint_files": _values('path, items, filled, total, "full", partial, untyped, annotated_variables, coverage, rating', [("pkg/hinted.py", 7, 4, 18, 2, 1, 4, 2, 22.2, "Poor")], "items filled total full partial untyped annotated_variables", "coverage"),
     "ast_tokens": _values("pos, token, lineno", [(1, "Assign", 1), (2, "ATTR", 1), (3, "ID", 1), (6, "BinOp", 1), (7, "Call", 1), (8, "ID", 1), (10, "LIT:int", 1), (11, "LIT:str", 1), (12, "Add", None), (13, "LIT:NoneType", 1)]),
     "requirements_scan": _values("source, package, operator, version, pinned", [("deep/requirements-dev.txt", "flask", "==", "2.0", True), ("requirements.txt", "requests", ">=", "2.1", False), ("deep/requirements-dev.txt", "pytest", "~=", "8.0", False), ("pyproject.toml", "flask", "==", "3.0", True), ("pyproject.toml", "rich", ">=", "13.0", False), ("pyproject.toml", "httpx", ">=", "0.27", False)]),
     "source_files": "SELECT path, source || chr(10) AS source, 1::BIGINT AS loc FROM (" + _values("path, source", [("a.py", "x = ''caf''"), ("sub/deep/b.py", "y = ''\u00e9''")]) + ")",

@@ -41,7 +41,8 @@ def with_baseline(events: DataFrame, key: str, value: str, usable: str, at: list
             known = now if getattr(row, usable) else known
         if known is not None:
             state.update((known,))
-        yield pd.DataFrame(rows, columns=[key, *fields, "baseline", "delta"])
+        made = pd.DataFrame(rows, columns=[key, *fields, "baseline", "delta"])
+        yield made.astype({"baseline": "float64", "delta": "float64"})
 
     schema = ", ".join([f"{key} {kinds[key]}", *(f"{f} {kinds[f]}" for f in fields), "baseline double", "delta double"])
     return _run(events.select(key, *fields, usable), [key], step, schema, "known double")
@@ -66,7 +67,7 @@ def status_changes(events: DataFrame, key: str, said: str, at: list[str]) -> Dat
             status = word
         if status is not None:
             state.update((status,))
-        yield pd.DataFrame(rows, columns=[key, *at, "was", "became"])
+        yield pd.DataFrame(rows, columns=[key, *at, "was", "became"]).astype({"was": "string", "became": "string"})
 
     schema = ", ".join([f"{key} {kinds[key]}", *(f"{f} {kinds[f]}" for f in at), "was string", "became string"])
     return _run(events.select(key, *at, said), [key], step, schema, "status string")
