@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, stored
+from .common import mixed, small_side, stored
 from .components import components
 from .word_table import partitions_for
 
@@ -162,10 +162,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, vector_col: str
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = rows.withColumn("ok", usable("v") & F.col("label").isNotNull())
-    rows = rows.withColumn("cls", F.when(F.col("ok"), F.xxhash64("label", F.transform("v", lambda x: x + F.lit(0.0)))))
-    rows = stored(rows, "vectors")
-    classes = rows.where("ok").groupBy("cls").agg(F.count("*").alias("many"), F.min("vec_id").alias("low"), F.first("label").alias("label"), F.first("v").alias("v"))
-    classes = stored(classes, "classes")
+    # equal vectors of a label by two hashes, with one zero
+    mark = lambda seed: F.when(F.col("ok"), F.xxhash64(F.lit(seed), "label", F.transform("v", lambda x: x + F.lit(0.0))))
+    rows = stored(rows.withColumn("h1", mark(1)).withColumn("h2", mark(2)), "vectors")
+    classes = rows.where("ok").groupBy("h1", "h2").agg(F.count("*").alias("many"), F.min("vec_id").alias("low"), F.first("label").alias("label"), F.first("v").alias("v"))
+    classes = stored(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
     n = classes.count()
     bits, bands = band_plan(n, threshold, miss)
     # codes of a pair at the threshold differ in this many bits at most, with room for `sigmas` standard errors
@@ -249,12 +250,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, vector_col: str
 
 def _finish(rows: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
     """Rows with their class's links and the smallest id of its component."""
-    linked = components(found.select(F.col("cls").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "cls")
-    grouped = classes.select("cls", "many", "low").join(linked, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    smallest = grouped.groupBy("component").agg(F.min("low").alias("component_id"))
+    linked = stored(components(found.select(F.col("cls").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "cls"), "linked")
+    members = classes.select("cls", "low").join(linked, "cls")
+    smallest = small_side(members.groupBy("component").agg(F.min("low").alias("least")), "smallest")
+    least = members.join(smallest, "component").select("cls", "component", "least")
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
-    by_class = grouped.join(smallest, "component").join(links, "cls", "left").select("cls", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"), "component_id")
-    out = rows.where("ok").join(by_class, "cls").select("vec_id", "n_links", "component_id")
+    by_class = classes.select("h1", "h2", "cls", "many", "low").join(least, "cls", "left").join(links, "cls", "left")
+    component_id = F.when(F.col("component").isNull(), F.col("low")).otherwise(F.col("least"))
+    by_class = by_class.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"), component_id.alias("component_id"))
+    out = rows.where("ok").join(by_class, ["h1", "h2"]).select("vec_id", "n_links", "component_id")
     return out.unionByName(rows.where("NOT ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
 
 

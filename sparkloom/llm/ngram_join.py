@@ -16,8 +16,8 @@ proportion to the set. A set emits keys at each level that a partner's size can
 
 The posting lists of one hub, the member that most lists have, are one neighbourhood: its members meet once, whatever
 number of lists they share. Neighbourhoods of more than `block` members are cut into blocks by hash. Sizes and parity
-sketches rule pairs out, both for certain. Two rounds verify a spanning forest of each block's remaining pairs, the
-closest ones first, with blocks cut anew; what they confirm becomes components. At last all remaining pairs of a
+sketches rule pairs out, both for certain. A round, or `rounds` of them with blocks cut anew, verifies a spanning forest
+of each block's remaining pairs, the closest ones first; what they confirm becomes components. At last all remaining pairs of a
 neighbourhood that lie in two components are verified, block against block, so no link between components is lost.
 
 Tokens are compared as 64-bit hashes, sets by 126 bits. Index keys and the classes in posting lists are cut to as many
@@ -547,11 +547,12 @@ def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", percen
     wanted = classes.join(listed.select("cls").distinct(), "cls").select("s1", "s2", "cls")
     sketches = members.where("sketch IS NOT NULL").select("s1", "s2", "sketch").join(wanted, ["s1", "s2"])
     sketches = stored(sketches.groupBy("cls").agg(F.first("sketch").alias("sketch")), "sketches")
-    links, placed = None, listed
-    for seed in range(rounds + 1):
+    links, placed, found, seed, last = None, listed, None, 0, False
+    while not last and (found is None or not placed.isEmpty()):
         near = stored(neighbourhoods(placed), "near")
         large = small_side(near.groupBy("part").agg(F.count("*").alias("m")).where(F.col("m") > block), "large")
-        last = seed == rounds
+        # a further forest is for neighbourhoods that were cut
+        last = seed > 0 and (seed >= rounds or large.isEmpty())
         dealt = block_against_block(near, large, block) if last else cut_anew(near, large, block, seed)
         pairs = stored(candidates(dealt, sketches, percent, forest=not last, parts=ceil(near.count() / 50_000)), "pairs")
         more = stored(verified(pairs, classes, docs, text_col, id_col, percent), "links")
@@ -559,6 +560,7 @@ def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", percen
         found = stored(components(links), "linked")
         if not last:
             placed = stored(_open(listed.drop("comp"), found), "open")
+        seed += 1
     # ids: the smallest of each class, then of each component; most classes are one of their own
     linked = classes.select("cls", "low").join(found.withColumnRenamed("node", "cls"), "cls")
     smallest = small_side(linked.groupBy("component").agg(F.min("low").alias("least")), "smallest")

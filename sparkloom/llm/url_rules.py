@@ -126,7 +126,7 @@ def judge(pages: DataFrame, rules: DataFrame, given: tuple[tuple[str, str, str],
     rows = rows.withColumn("__host", host_of(F.col("__url"))).withColumn("__path", path_of(F.col("__url")))
     rule, verdict = given_rule(F.col("__host"), F.col("__path"), given)
     rows = rows.withColumn("__rule", rule).withColumn("__given", verdict).withColumn("__items", basket(F.col("__url"), F.col("__host"), F.col("__path")))
-    rows = rows.withColumn("__key", F.xxhash64("__items"))
+    rows = rows.withColumn("__key", F.md5(F.array_join("__items", "\n")))
     out = rows
     if "alike" in rules.columns and not rules.isEmpty():
         distinct = rows.where(F.col("__given").isNull() & (F.size("__items") > 0)).groupBy("__key").agg(F.first("__items").alias("items"))
