@@ -53,8 +53,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = stored(ngram_join.join(docs).where("n_shingles > 0"), "groups")
     keys = found.groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("many"))
     rank = lambda: F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
-    first = small_side(found.groupBy("component").agg(F.min(rank()).alias("first")), "first", 1_000_000)
-    keys = stored(keys.join(first, "component").withColumn("stays", rank() == F.col("first")).select("doc_id", "text_hash", "many", "stays"), "keys")
+    first = found.groupBy("component").agg(F.min(rank()).alias("first"), F.max(rank()).alias("last")).where("first <> last").select("component", "first")
+    first = small_side(first, "first", 200_000)  # groups of more than one key
+    keys = stored(keys.join(first, "component", "left").withColumn("stays", F.col("first").isNull() | (rank() == F.col("first"))).select("doc_id", "text_hash", "many", "stays"), "keys")
     gone = small_side(keys.where("NOT stays").select("doc_id", "text_hash").distinct(), "gone", 1_000_000)
     twice = small_side(keys.where("stays AND many > 1").select("doc_id", "text_hash").distinct(), "twice", 1_000_000)
     mark = F.xxhash64(F.col("text"))
