@@ -36,23 +36,26 @@ def words_with_lines(text: str | None) -> tuple[list[str], list[int]]:
     return words, lines
 
 
-def gram_hashes(tokens: list[str], k: int = K) -> list[str]:
-    """16 hexadecimal digits for every k-gram."""
-    return [md5("|".join(tokens[i : i + k]).encode(), usedforsecurity=False).hexdigest()[:16] for i in range(len(tokens) - k + 1)]
+def gram_hashes(tokens: list[str], k: int = K) -> np.ndarray:
+    """The first 64 bits of every k-gram's digest, as numbers, which order as their digits do."""
+    if len(tokens) < k:
+        return np.zeros(0, np.uint64)
+    parts = [t.encode() for t in tokens]
+    ends = np.cumsum([len(p) + 1 for p in parts])
+    data, starts = b"|".join(parts), np.concatenate(([0], ends[:-1]))
+    return np.frombuffer(b"".join([md5(data[a:b]).digest()[:8] for a, b in zip(starts.tolist(), (ends[k - 1 :] - 1).tolist(), strict=False)]), ">u8").astype(np.uint64)
 
 
-def winnowed(hashes: list[str], window: int = WINDOW) -> np.ndarray:
+def winnowed(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Sorted positions (from 0) of the selected k-grams: each window's least hash, the rightmost of equals; of fewer
     k-grams than a window, the leftmost least."""
     if len(hashes) < window:
-        return np.array([min(range(len(hashes)), key=hashes.__getitem__)] if hashes else [], np.int64)
-    values = np.array(hashes, dtype=f"S{max(map(len, hashes))}")
-    order = np.unique(values, return_inverse=True)[1]  # ranks compare as the digits do
-    parts = np.lib.stride_tricks.sliding_window_view(order, window)[:, ::-1]
+        return np.array([hashes.argmin()] if len(hashes) else [], np.int64)
+    parts = np.lib.stride_tricks.sliding_window_view(hashes, window)[:, ::-1]
     return np.unique(np.arange(len(parts)) + window - 1 - parts.argmin(axis=1))
 
 
-def _rows(docs: DataFrame, key: str, columns: list[str], tokens_of: Callable, chosen: Callable[[list[str]], np.ndarray], k: int) -> DataFrame:
+def _rows(docs: DataFrame, key: str, columns: list[str], tokens_of: Callable, chosen: Callable[[np.ndarray], np.ndarray], k: int) -> DataFrame:
     """(key, pos, h, first, last) of the chosen k-grams of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,15 +64,19 @@ def _rows(docs: DataFrame, key: str, columns: list[str], tokens_of: Callable, ch
             for row, values in enumerate(zip(*(batch.column(c).to_pylist() for c in columns), strict=True)):
                 tokens, lines = tokens_of(*values)
                 hashes = gram_hashes(tokens, k)
-                use = chosen(hashes).tolist()
+                picked = chosen(hashes)
+                use = picked.tolist()
                 at += [row] * len(use)
                 pos += use
-                digits += [hashes[i] for i in use]
+                digits += [f"{h:016x}" for h in hashes[picked].tolist()]
                 first += [lines[i] for i in use]
                 last += [lines[i + k - 1] for i in use]
             yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(at, pa.int64())), pa.array(pos, pa.int32()), pa.array(digits, pa.string()), pa.array(first, pa.int32()), pa.array(last, pa.int32())], [key, "pos", "h", "first", "last"])
 
-    return docs.select(key, *columns).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, {_SCHEMA}")
+    docs, cores = docs.select(key, *columns), docs.sparkSession.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < cores:  # a few large files or row groups
+        docs = docs.repartition(cores)
+    return docs.mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, {_SCHEMA}")
 
 
 def document_grams(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K) -> DataFrame:
@@ -93,10 +100,11 @@ def pairs(prints: DataFrame, key: str = "doc_id", least: float = LEAST_SIMILARIT
     Only fingerprints of two documents or more enter the self-join. The documents of one that very many share are cut
     into blocks, and block meets block. Pairs whose sizes alone rule the similarity out go before they are counted.
     """
-    each = prints.select(F.col(key).alias("doc"), "h").distinct()
-    sizes = each.groupBy("doc").agg(F.count("*").alias("n"))
-    often = each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1").select("h", F.ceil(F.col("df") / BLOCK).cast("int").alias("blocks"))
-    common = each.join(sizes, "doc").join(often, "h").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    each = prints.select(F.col(key).alias("doc"), "h")
+    sizes = each.distinct().groupBy("doc").agg(F.count("*").alias("n"))
+    # fingerprints of two documents at least; the others, nearly all, go before anything else is joined
+    often = each.groupBy("h").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("df")).where("low <> high").select("h", F.ceil(F.col("df") / BLOCK).cast("int").alias("blocks"))
+    common = each.join(often, "h").distinct().join(sizes, "doc").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     a = common.select(F.col("doc").alias("doc_a"), F.col("n").alias("na"), "h", F.col("own").alias("x"), every.alias("y"))
     b = common.select(F.col("doc").alias("doc_b"), F.col("n").alias("nb"), "h", F.col("own").alias("y"), every.alias("x"))

@@ -1,5 +1,7 @@
+import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from sparkloom.operators import duplication as dup
@@ -21,8 +23,14 @@ def winnow_plain(hashes, w=5):
 def test_winnowing(seed):
     rng = random.Random(seed)
     for _ in range(30):
-        hashes = [rng.choice("abcdefgh") for _ in range(rng.choice([0, 1, 4, 5, 6, 40]))]
-        assert dup.winnowed(hashes).tolist() == winnow_plain(hashes)
+        hashes = [rng.choice([*range(8), 2**64 - 1]) for _ in range(rng.choice([0, 1, 4, 5, 6, 40]))]
+        assert dup.winnowed(np.array(hashes, np.uint64)).tolist() == winnow_plain(hashes)
+
+
+def test_gram_hashes():
+    tokens = ["a", "\u00e9t\u00e9", "", "b|c", *"defghij"]
+    want = [int(hashlib.md5("|".join(tokens[i : i + 9]).encode()).hexdigest()[:16], 16) for i in range(len(tokens) - 8)]
+    assert dup.gram_hashes(tokens).tolist() == want and len(dup.gram_hashes(tokens[:8])) == 0
 
 
 def test_pairs_in_blocks(spark, monkeypatch):
