@@ -22,6 +22,13 @@ def share(part: Column, whole: Column, empty: float = 0.0) -> Column:
     return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(empty))
 
 
+def rounded(x: Column, places: int) -> Column:
+    """x rounded as binary arithmetic has it: 39.995 times 100 falls short of 3999.5 or not, and decides. `F.round` goes
+    by the decimal digits instead."""
+    scale = F.lit(float(10**places))
+    return F.round(x * scale) / scale
+
+
 def decay(ts: Column, now: Column) -> Column:
     """Halves every HALF_LIFE_DAYS; the future counts as now."""
     micros = lambda t: F.unix_micros(t.cast("timestamp"))
