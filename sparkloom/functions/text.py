@@ -96,5 +96,9 @@ def code_lines(source: Column) -> Column:
     return F.size(F.filter(F.split(source, "\n"), lambda x: (F.trim(x) != "") & ~F.startswith(F.trim(x), F.lit("#")))).cast("long")
 
 
+def joined_lines(lines: Column, start: Column, end: Column) -> Column:
+    return F.array_join(F.slice(lines, start, end - start + 1), "\n")
+
+
 def line_slice(source: Column, start: Column, end: Column) -> Column:
-    return F.array_join(F.slice(F.split(source, "\n"), start, end - start + 1), "\n")
+    return joined_lines(F.split(source, "\n"), start, end)

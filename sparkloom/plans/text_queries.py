@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloom.functions import scoring, text
-from sparkloom.operators import duplication, findings, quality, usage
+from sparkloom.operators import duplication, findings, quality, shared_lines, usage
 from sparkloom.plans.history_queries import table
 from sparkloom.session import written
 
@@ -43,9 +43,18 @@ def duplication_pct(s, d):
     return lines.agg(F.sum("duplicated").cast("long").alias("duplicated"), F.sum("loc").cast("long").alias("loc")).withColumn("percent", F.round(scoring.share(F.col("duplicated") * 100, F.col("loc")), 4))
 
 
+def _shared(s, d):
+    return shared_lines.find(table(s, d, "documents"))
+
+
 def duplicate_snippets(s, d):
-    rows = _ranges(s, d).join(table(s, d, "documents").select("doc_id", "text"), "doc_id")
-    return rows.select("doc_id", "other_id", F.col("start").alias("start_line"), text.line_slice(F.col("text"), F.col("start"), F.col("end")).alias("code"))
+    """Lines of a text that several documents have are cut out once for each range and partner."""
+    found = _shared(s, d)
+    reps = shared_lines.few(found.ranges.select(F.col("rep").alias("doc_id")).distinct())
+    texts = table(s, d, "documents").join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.split("text", "\n").alias("lines"))
+    rows = shared_lines.members_of(found.ranges, found.members, "other_rep", "other_id").select("rep", "other_id", "start", "end").join(texts, "rep")
+    cut = rows.select("rep", "other_id", "start", text.joined_lines(F.col("lines"), F.col("start"), F.col("end")).alias("code"))
+    return shared_lines.members_of(cut, found.members, "rep", "doc_id").where("doc_id <> other_id").select("doc_id", "other_id", F.col("start").alias("start_line"), "code")
 
 
 def sloc(s, d):
