@@ -30,8 +30,12 @@ def _ranges(s, d):
     return duplication.shared_ranges(prints, duplication.pairs(prints))
 
 
+def _shared(s, d):
+    return shared_lines.find(table(s, d, "documents"))
+
+
 def duplicate_ranges(s, d):
-    return _ranges(s, d).select("doc_id", "other_id", F.col("start").alias("start_line"), F.col("end").alias("end_line"))
+    return shared_lines.all_pairs(_shared(s, d)).select("doc_id", "other_id", F.col("start").alias("start_line"), F.col("end").alias("end_line"))
 
 
 def _locs(s, d):
@@ -43,10 +47,6 @@ def duplication_pct(s, d):
     return lines.agg(F.sum("duplicated").cast("long").alias("duplicated"), F.sum("loc").cast("long").alias("loc")).withColumn("percent", F.round(scoring.share(F.col("duplicated") * 100, F.col("loc")), 4))
 
 
-def _shared(s, d):
-    return shared_lines.find(table(s, d, "documents"))
-
-
 def duplicate_snippets(s, d):
     """Lines of a text that several documents have are cut out once for each range and partner."""
     found = _shared(s, d)
