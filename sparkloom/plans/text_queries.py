@@ -25,11 +25,6 @@ def duplicate_pairs(s, d):
     return duplication.pairs(written(duplication.fingerprints(table(s, d, "documents")))).select("doc_a", "doc_b", F.col("shared").cast("long"), "similarity").orderBy(F.desc("similarity"), "doc_a", "doc_b")
 
 
-def _ranges(s, d):
-    prints = written(duplication.fingerprints(table(s, d, "documents")))  # read four times
-    return duplication.shared_ranges(prints, duplication.pairs(prints))
-
-
 def _shared(s, d):
     return shared_lines.find(table(s, d, "documents"))
 
@@ -43,7 +38,9 @@ def _locs(s, d):
 
 
 def duplication_pct(s, d):
-    lines = duplication.duplicated_lines(_ranges(s, d), _locs(s, d))
+    found = _shared(s, d)
+    merged = duplication.merge_ranges(found.ranges.select("rep", "start", "end"), "rep")
+    lines = duplication.duplicated_lines(shared_lines.members_of(merged, found.members, "rep", "doc_id"), _locs(s, d))
     return lines.agg(F.sum("duplicated").cast("long").alias("duplicated"), F.sum("loc").cast("long").alias("loc")).withColumn("percent", F.round(scoring.share(F.col("duplicated") * 100, F.col("loc")), 4))
 
 
