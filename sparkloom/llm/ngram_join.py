@@ -220,7 +220,7 @@ def frequent_tokens(docs: DataFrame, text_col: str, total: int, most: int, least
         return pd.DataFrame({"token": tokens[first][keep].astype(np.int64), "df": df[keep]})
 
     rows = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(tidied(count), "part int, tokens binary, counts binary")
-    counts = stored(rows.groupBy("part").applyInPandas(merge, "token long, df long"), "tokens")
+    counts = stored(rows.groupBy("part").applyInPandas(merge, "token long, df long"), "tokens", gather=True)
     level = F.floor(F.log2(F.col("df").cast("double")) * 2).cast("int")
     bins = sorted(((r["level"], r["n"]) for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()), reverse=True)
     kept, least = 0, 1 << 30
@@ -491,7 +491,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text_col: st
     part = F.pmod(F.xxhash64("a"), F.ceil(F.col("m") / most))
     pairs = pairs.join(many, "bucket", "left").select("a", "b", F.when(F.col("m").isNull(), F.col("bucket")).otherwise(F.xxhash64("bucket", part)).alias("bucket"))
     need = pairs.select("bucket", F.col("a").alias("cls")).union(pairs.select("bucket", "b")).distinct()
-    need = stored(need.join(classes.select("cls", "s1", "s2", "low", "text_hash"), "cls"), "need")
+    need = stored(need.join(classes.select("cls", "s1", "s2", "low", "text_hash"), "cls"), "need", gather=True)
     n = need.count()
     sets = class_sets(docs, need.select("low", "text_hash").distinct(), text_col, id_col)
     slim = need.select("bucket", "cls", "s1", "s2")
@@ -542,7 +542,7 @@ def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", percen
     id_bits = min(63, ceil(log2(max(facts["many"], 2))) + 8)
     lists = posting_lists(docs, text_col, frequent, percent, facts["total"], id_bits)
     by_id = classes.select(F.shiftright("s1", 63 - id_bits).alias("id"), "cls", "n")
-    listed = stored(stored(lists, "lists").distinct().join(by_id, "id").select("list", "cls", "n"), "lists")
+    listed = stored(lists.distinct().join(by_id, "id").select("list", "cls", "n"), "lists")
     listed = stored(listed.join(listed.groupBy("cls").agg(F.count("*").cast("int").alias("deg")), "cls").withColumn("comp", F.col("cls")), "lists")
     wanted = classes.join(listed.select("cls").distinct(), "cls").select("s1", "s2", "cls")
     sketches = members.where("sketch IS NOT NULL").select("s1", "s2", "sketch").join(wanted, ["s1", "s2"])
@@ -555,7 +555,7 @@ def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", percen
         last = seed > 0 and (seed >= rounds or large.isEmpty())
         dealt = block_against_block(near, large, block) if last else cut_anew(near, large, block, seed)
         pairs = stored(candidates(dealt, sketches, percent, forest=not last, parts=ceil(near.count() / 50_000)), "pairs")
-        more = stored(verified(pairs, classes, docs, text_col, id_col, percent), "links")
+        more = stored(verified(pairs, classes, docs, text_col, id_col, percent), "links", gather=True)
         links = more if links is None else links.unionByName(more)
         found = stored(components(links), "linked")
         if not last:
