@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import bpe, language_id, mixing, ngram_join, toxicity
-from sparkloom.llm.common import remainder, small_side, stored, tables
+from sparkloom.llm.common import heap_returned, remainder, small_side, stored, tables
 
 
 def _judged(docs: DataFrame, judge: Callable[..., DataFrame], condition: Column) -> DataFrame:
@@ -89,12 +89,22 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, bpe.default_vocabulary(), keep=("doc_id", "lang", "source"), outputs=("n_tokens", "ids", "ids_sha256", "decoded_sha256"), per_chunk=2_000_000)
 
 
+def _afresh(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, begun without the heap that the stages before it made the executors take."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        heap_returned(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("language ID", language),
-    ("toxicity", toxic),
-    ("n-gram Jaccard join", near_duplicates),
-    ("mixing sources to target weights", mixed),
-    ("BPE encoding and decoding", tokens),
+    ("language ID", _afresh(language)),
+    ("toxicity", _afresh(toxic)),
+    ("n-gram Jaccard join", _afresh(near_duplicates)),
+    ("mixing sources to target weights", _afresh(mixed)),
+    ("BPE encoding and decoding", _afresh(tokens)),
 ]
 
 #: Language ID and toxicity rest on trained models, which SQL can't express.
