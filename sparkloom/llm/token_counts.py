@@ -18,11 +18,12 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import default_vocabulary, pieces, read_tokenizer
-from .common import bounded_batches, stored, tidied
+from .common import bounded_batches, heap_returned, stored_by_workers, tidied
 from .word_table import Head, distinct_words, partitions_for, split_head, split_words
 
 
@@ -66,7 +67,7 @@ class TrieCounter:
 
 
 def count_words(words: DataFrame, scores: dict[bytes, float], parts: int) -> DataFrame:
-    """(word, n, tokens): words meet in byte ranges, sorted, so that shared prefixes are neighbours."""
+    """(word, n, tokens), stored: words meet in byte ranges, sorted, so that shared prefixes are neighbours."""
     shared = words.sparkSession.sparkContext.broadcast(scores)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,20 +76,22 @@ def count_words(words: DataFrame, scores: dict[bytes, float], parts: int) -> Dat
             counts = [trie.count(w.encode()) for w in batch.column("word").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(counts, pa.int64())], ["word", "n", "tokens"])
 
-    return words.repartitionByRange(parts, "word").sortWithinPartitions("word").mapInArrow(tidied(run), "word string, n long, tokens long")
+    return stored_by_workers(words.repartitionByRange(parts, "word").sortWithinPartitions("word"), tidied(run), "word string, n long, tokens long", "counts")
 
 
 def count_tokens(docs: DataFrame, scores: dict[bytes, float], text_col: str = "text", id_col: str = "doc_id", head_words: int = 1 << 18) -> DataFrame:
     """(doc_id, n_pretokens, n_tokens) of every row."""
     bounded_batches(docs.sparkSession)
-    words = stored(distinct_words(docs, text_col), "words")
-    table = stored(count_words(words, scores, partitions_for(words.count(), 200_000)), "counts")
+    words = distinct_words(docs, text_col)
+    heap_returned(docs.sparkSession)  # splitting texts makes heaps grow
+    table = count_words(words, scores, partitions_for(words.count(), 200_000))
     head, outside = split_head(table, head_words)
     shared = docs.sparkSession.sparkContext.broadcast(head.table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = Head(shared.value)
         tokens = np.append(np.asarray(head.table["tokens"]), 0)
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
             lists = batch.column("words")
             flat = lists.flatten().dictionary_encode()
@@ -97,10 +100,12 @@ def count_tokens(docs: DataFrame, scores: dict[bytes, float], text_col: str = "t
             total = np.concatenate(([0], np.cumsum(tokens[known][codes] if len(codes) else np.zeros(0, np.int64))))
             other = np.flatnonzero(known[codes] < 0) if len(codes) else np.zeros(0, np.int64)
             rest = pa.ListArray.from_arrays(pa.array(np.searchsorted(other, at), pa.int32()), flat.dictionary.take(pa.array(codes[other])).cast(pa.string()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at), pa.int64()), pa.array(total[at[1:]] - total[at[:-1]], pa.int64()), rest], ["doc_id", "n_pretokens", "known", "others"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at), pa.int64()), pa.array(total[at[1:]] - total[at[:-1]], pa.int64()), rest, pa.array(np.arange(row, row + batch.num_rows))], ["doc_id", "n_pretokens", "known", "others", "row"])
+            row += batch.num_rows
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), split_words(F.col(text_col)).alias("words")).mapInArrow(tidied(run), "doc_id long, n_pretokens long, known long, others array<string>")
-    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "places")
+    split = docs.select(F.col(id_col).cast("long").alias("doc_id"), split_words(F.col(text_col)).alias("words"))
+    rows = stored_by_workers(split, tidied(run), "doc_id long, n_pretokens long, known long, others array<string>, row long", "places")
+    heap_returned(docs.sparkSession)
     others = rows.select("row", F.explode("others").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
     found = others.join(table.where(outside).select("word", "tokens"), "word").groupBy("row").agg(F.sum(F.col("times") * F.col("tokens")).alias("rest"))
     out = rows.select("doc_id", "n_pretokens", "known", "row").join(found, "row", "left")

@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored_by_workers, tidied
 
 END_OF_TEXT = "<|endoftext|>"
 #: White space as the tokenizer's pattern knows it.
@@ -55,7 +56,7 @@ def _packed(counts: dict[str, int], parts: int) -> pa.RecordBatch:
 
 
 def distinct_words(docs: DataFrame, text_col: str, held: int = 1_000_000) -> DataFrame:
-    """(word, n): every distinct word and how often it stands in the corpus.
+    """(word, n), stored: every distinct word and how often it stands in the corpus.
 
     Each task counts its words (up to `held` of them before it sends what it has) and sends them packed, by hash
     part; a part adds up what it gets. A word is at most one entry per task and part, so none is a hot spot.
@@ -77,13 +78,26 @@ def distinct_words(docs: DataFrame, text_col: str, held: int = 1_000_000) -> Dat
         if counts:
             yield _packed(counts, parts)
 
-    def add(key: tuple, rows: pa.Table) -> pa.Table:
-        tables = [pa.ipc.open_stream(blob.as_buffer()).read_all() for blob in rows["words"]]
-        total = pa.concat_tables(tables).group_by("word").aggregate([("n", "sum")])
-        return pa.table({"word": total["word"], "n": total["n_sum"]})
+    def total(blobs: list[pa.Scalar]) -> pa.RecordBatch:
+        tables = [pa.ipc.open_stream(blob.as_buffer()).read_all() for blob in blobs]
+        found = pa.concat_tables(tables).group_by("word").aggregate([("n", "sum")]).combine_chunks()
+        return pa.table({"word": found["word"], "n": found["n_sum"]}).to_batches()[0]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, blobs = None, []
+        for batch in batches:  # sorted, so a part's rows are neighbours
+            for part, blob in zip(batch.column("part").to_pylist(), batch.column("words"), strict=True):
+                if part != at and blobs:
+                    yield total(blobs)
+                    blobs = []
+                at = part
+                blobs.append(blob)
+        if blobs:
+            yield total(blobs)
 
     packed = docs.select(split_words(F.col(text_col)).alias("words")).mapInArrow(count, "part int, words binary")
-    return packed.groupBy("part").applyInArrow(add, "word string, n long")
+    dealt = packed.repartition("part").sortWithinPartitions("part")
+    return stored_by_workers(dealt, tidied(add), "word string, n long", "words")
 
 
 @dataclass
